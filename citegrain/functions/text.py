@@ -6,6 +6,7 @@ import html
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from citegrain.functions import patterns as P
 
@@ -62,7 +63,7 @@ def compact_block(c: Column | str) -> Column:
     return strip_ws(t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 

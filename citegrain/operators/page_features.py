@@ -12,7 +12,7 @@ from citegrain.functions.text import compact, compact_block, let, text_or_empty,
 _LINK = "array<struct<url:string,text:string>>"
 
 # What the Arrow job emits per page, besides the key columns.
-PIECES = T._parse_datatype_string(
+PIECES = (
     f"title string, language string, meta array<struct<name:string,content:string>>, canonical string,"
     f"hreflang array<struct<hreflang:string,href:string>>, headings array<struct<level:string,text:string>>,"
     f"anchors {_LINK}, ld_blocks array<string>, ld_valid int, ld_types array<string>, visible_text string,"
@@ -34,7 +34,7 @@ def html_pieces(pages: DataFrame, url: str = "url", html: str = "html", keys=("p
     """
     keep = [k for k in keys if k != url]
     source = pages.select(*keep, F.col(url).alias("url"), F.col(html).alias("_html"))
-    schema = T.StructType([f for f in source.schema if f.name != "_html"] + list(PIECES))
+    schema = T.StructType([f for f in source.schema if f.name != "_html"] + list(T.StructType.fromDDL(PIECES)))
 
     def run(batches):
         import pyarrow as pa

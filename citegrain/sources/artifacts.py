@@ -31,7 +31,7 @@ def read_artifact(spark: SparkSession, root: str, name: str, schema: str, keep_c
 
     Missing files give no row; corrupt ones are dropped (or kept with ``_corrupt_record``).
     """
-    declared = T._parse_datatype_string(f"{schema}, {CORRUPT} string")
+    declared = T.StructType.fromDDL(f"{schema}, {CORRUPT} string")
     rows = (
         spark.read.schema(declared).option("multiLine", True).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT).json(f"{root.rstrip('/')}/*/{name}.json")

@@ -39,7 +39,7 @@ def episodes_stream(events: DataFrame, gap: str = "1 hour", delay: str = "10 min
 
 
 ACTIVE_SCHEMA = "run_id string, active boolean, reason string, updated_at timestamp"
-_STATE_SCHEMA = "updated_ms bigint, status string, stage string, failed boolean"
+_STATE_SCHEMA = "updated_ms bigint, status string, status_ms bigint, stage string, stage_ms bigint, failed boolean"
 
 
 def _decide(status: str, stage: str, failed: bool) -> tuple[bool, str]:
@@ -70,23 +70,22 @@ def active_runs_stream(events: DataFrame, delay: str = "10 minutes") -> DataFram
                 "run_id": [key[0]], "active": [active], "reason": [reason], "updated_at": [pd.Timestamp(ms, unit="ms")],
             })
 
+        updated, status, status_ms, stage, stage_ms, failed = state.get if state.exists else (0, "", 0, "", 0, False)
         if state.hasTimedOut:
-            updated, *_ = state.get
-            state.remove()
+            state.update((updated, status, status_ms, stage, stage_ms, failed))
             yield row(False, "stale", updated)
             return
-        updated, status, stage, failed = state.get if state.exists else (0, "", "", False)
         for chunk in chunks:
             for event in chunk.sort_values("ts").itertuples():
                 ms = int(event.ts.timestamp() * 1000)
-                failed = bool(failed or event.error)
-                if ms < updated:
-                    status, stage = status or event.status or "", stage or event.stage or ""
-                    continue
-                updated, status, stage = ms, event.status or status, event.stage or stage
-        active, reason = _decide(status.lower(), stage.lower(), failed)
-        state.update((updated, status, stage, failed))
+                updated, failed = max(updated, ms), bool(failed or event.error)
+                if event.status and ms >= status_ms:
+                    status, status_ms = event.status, ms
+                if event.stage and ms >= stage_ms:
+                    stage, stage_ms = event.stage, ms
         low = stage.lower()
+        active, reason = _decide(status.lower(), low, failed)
+        state.update((updated, status, status_ms, stage, stage_ms, failed))
         limit = S.AUDITOR_STALE_SECONDS if low.startswith("auditor") or low == "evidence_ready" else S.STALE_SECONDS
         deadline = updated + limit * 1000
         if active and deadline > state.getCurrentWatermarkMs():

@@ -72,7 +72,7 @@ def doc_shape_counts(spark, sf):
     return table(spark, sf, "documents").select(
         "doc_id", M.heading_count("text").alias("headings"), M.bullet_count("text").alias("bullets"),
         M.question_mark_count("text").alias("question_marks"), M.table_line_count("text").alias("table_lines"),
-        M.count_of("text", M.QUESTION_SPAN).alias("questions"), M.count_of("text", "https?://").alias("raw_urls"),
+        M.question_count("text").alias("questions"), M.count_of("text", "https?://").alias("raw_urls"),
     )
 
 
@@ -221,14 +221,15 @@ def doc_questions(spark, sf):
 
 
 SPECS = "text || ' Range ' || n_chars || ' km, price ¥' || (doc_id * 1000) || ' or ' || (doc_id % 97) || '% off until 2024/05 in x7 kW and ' || (n_chars % 7) || ' seats '"
+# The look-arounds of the shared pattern as word boundaries: RE2 has no look-arounds.
 NUMBER_RE2 = (
-    r"(?i)(?:^|[^A-Za-z0-9_])(¥\s?\d[\d,]*(?:\.\d+)?|\d[\d,]*(?:\.\d+)?\s?"
-    r"(?:%|km|kWh|kW|円|yen|万円|年|ヶ月|か月|人|名|seats?|L|litres?|リットル|mm|m|hours?|minutes?|分|歳))(?:[^A-Za-z0-9_]|$)"
+    r"(?i)(?:\B¥\s?\d[\d,]*(?:\.\d+)?\b|\b\d[\d,]*(?:\.\d+)?\s?(?:(?:km|kWh|kW|yen|seats?|L|litres?|mm|m|hours?|minutes?)\b"
+    r"|(?:%|円|万円|年|ヶ月|か月|人|名|リットル|分|歳)\B))"
 )
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all({SPECS}, {quoted(NUMBER_RE2)}, 1),
+WITH d AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all({SPECS}, {quoted(NUMBER_RE2)}),
               lambda x: NOT regexp_matches(lower(x), '{M.NUMBER_NOISE}')), lambda x: trim(x)) AS n FROM documents)
 SELECT doc_id, array_to_string({distinct_in_order('n')}, ' | ') AS numbers FROM d""")
 def numeric_mentions(spark, sf):

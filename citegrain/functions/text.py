@@ -109,7 +109,9 @@ def wordish_count(c: Column | str) -> Column:
 
 
 def blank_split_count(c: Column | str) -> Column:
-    return F.regexp_count(text_or_empty(c), F.lit(P.NOT_WS + "+"))
+    """Pieces between white space."""
+    count = lambda t: F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+    return let(compact(c), count)
 
 
 def match_tokens(c: Column | str) -> Column:

@@ -276,3 +276,39 @@ def link_host_counts(features: DataFrame) -> DataFrame:
             F.sum("n").alias("links"), F.count("*").alias("linking_pages"), F.sum("n_pdf").alias("pdf_links")
         )
     )
+
+
+def page_manifest(features: DataFrame, status_code: Column, static_code: Column | None = None, blocked: Column | None = None) -> DataFrame:
+    """Extraction manifest of pages with Markdown: status, score policy, metrics, signals, capped lists.
+
+    ``status_code`` is that of the rendered page; the static one fills in where it is missing.
+    """
+    from citegrain.operators.crawl import extraction_quality
+    from citegrain.operators.signals import evidence_signals
+
+    code = F.coalesce(status_code, static_code) if static_code is not None else status_code
+    pdfs = F.filter("links", lambda l: l["is_pdf"])
+    dates = M.visible_dates("clean_text")
+    measured = features.withColumns({"extraction_metrics": M.markdown_metrics("markdown"), "_dates": dates, "_pdfs": pdfs})
+    measured = measured.withColumns({
+        "_q": extraction_quality(F.col("extraction_metrics"), code, blocked),
+        "geo_signals": evidence_signals(
+            "markdown", schema_types=F.col("schema_types"), json_ld_present=F.col("json_ld_valid_count") > 0,
+            canonical=F.col("canonical_url"), description=F.col("description"), robots=F.col("robots_meta"),
+            hreflang_count=F.size("hreflang"), pdf_count=F.size("_pdfs"), dates=F.col("_dates"),
+            header_chars=F.col("content_regions.header_chars"), footer_chars=F.col("content_regions.footer_chars"),
+        ),
+    })
+    return measured.withColumns({
+        "resource_type": F.when(U.is_pdf_url("url"), "pdf").otherwise("html"),
+        "crawl_status": F.col("_q.extraction_status"),
+        "extraction_status": F.col("_q.extraction_status"),
+        "content_score_policy": F.when(F.col("_q.scoring_allowed"), "score").otherwise("exclude_from_content_score"),
+        "geo_analysis_ready": F.col("_q.scoring_allowed"),
+        "extraction_quality_score": F.col("_q.extraction_quality_score"),
+        "status_code": code,
+        "links": F.slice("links", 1, MAX_LINKS),
+        "linked_pdfs": F.slice("_pdfs", 1, 80),
+        "images": F.slice("images", 1, MAX_IMAGES),
+        "visible_dates": F.col("_dates"),
+    }).drop("_q", "_dates", "_pdfs")

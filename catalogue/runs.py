@@ -440,31 +440,40 @@ def raw_answer_refs(spark, sf):
 
 # --- sitemaps -----------------------------------------------------------------------------
 
-def landed_sitemaps(spark, sf):
-    """Pages as landed sitemap files: an index per site naming one file per language."""
-    p = table(spark, sf, "pages").select(U.site_domain(U.host("url")).alias("site"), F.regexp_extract("url", r"^[a-z]+://[^/]+/([a-z]+)/", 1).alias("lang"), "url", "page_id")
-    loc = lambda c: F.concat(F.lit("<loc> "), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit(" </loc>"))
-    name = lambda lang: F.concat(F.lit("https://"), F.col("site"), F.lit("/s-"), lang, F.lit(".xml?v=1"))
-    files = p.groupBy("site", "lang").agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("u")).select(
-        "site", name(F.col("lang")).alias("sitemap_url"),
-        F.concat(F.lit("<urlset>"), F.array_join(F.transform("u", lambda x: F.concat(F.lit("<url>"), loc(x["url"]), F.lit("</url>"))), ""), F.lit("</urlset>")).alias("content"))
-    index = p.select("site", "lang").distinct().groupBy("site").agg(F.array_sort(F.collect_set("lang")).alias("l")).select(
-        "site", F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")).alias("sitemap_url"),
-        F.concat(F.lit("<sitemapindex>"), F.array_join(F.transform("l", lambda x: F.concat(F.lit("<sitemap>"), loc(name(x)), F.lit("</sitemap>"))), ""), F.lit("</sitemapindex>")).alias("content"))
-    broken = index.select("site", F.replace("sitemap_url", F.lit("sitemap.xml"), F.lit("sitemap_index.xml")).alias("sitemap_url"), F.lit("<urlset><url>").alias("content"))
-    return files.unionByName(index).unionByName(broken)
-
+PAGES_PER_FILE, FILES_PER_INDEX = 50, 50
 
-SITE_PAGES = rf"SELECT array_to_string(string_split({AUTH}, '.')[-2:], '.') AS site, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS lang, url, page_id FROM pages"
 
+def landed_sitemaps(spark, sf):
+    """Pages as landed sitemap files of at most 50 URLs, index files of at most 50 names, one broken file.
 
-@query(f"SELECT site, row_number() OVER (PARTITION BY site ORDER BY lang, page_id) AS pos, url FROM ({SITE_PAGES})")
+    Returns (files, candidates); page ids are unique, so id blocks bound every list.
+    """
+    p = table(spark, sf, "pages").select(U.site_domain(U.host("url")).alias("site"), "url", "page_id")
+    loc = lambda c: F.concat(F.lit("<loc> "), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit(" </loc>"))
+    block = F.floor(F.col("page_id") / PAGES_PER_FILE)
+    name = lambda kind, n: F.concat(F.lit("https://"), F.col("site"), F.lit(f"/{kind}-"), n.cast("string"), F.lit(".xml?v=1"))
+    chunks = p.groupBy("site", block.alias("n")).agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("u"))
+    files = chunks.select("site", name("pages", F.col("n")).alias("sitemap_url"), F.concat(
+        F.lit("<urlset>"), F.array_join(F.transform("u", lambda x: F.concat(F.lit("<url>"), loc(x["url"]), F.lit("</url>"))), ""), F.lit("</urlset>")).alias("content"))
+    indexes = p.select("site", block.alias("n")).distinct().groupBy("site", F.floor(F.col("n") / FILES_PER_INDEX).alias("i")).agg(
+        F.array_sort(F.collect_set("n")).alias("l"))
+    index_files = indexes.select("site", name("index", F.col("i")).alias("sitemap_url"), F.concat(
+        F.lit("<sitemapindex>"), F.array_join(F.transform("l", lambda n: F.concat(F.lit("<sitemap>"), loc(name("pages", n)), F.lit("</sitemap>"))), ""),
+        F.lit("</sitemapindex>")).alias("content"))
+    broken = p.select("site").distinct().select("site", name("broken", F.lit(0)).alias("sitemap_url"), F.lit("<urlset><url>").alias("content"))
+    candidates = broken.select("site", F.struct(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("pos")).alias("order"), "sitemap_url").unionByName(
+        indexes.select("site", F.struct(F.lit(1).alias("part"), F.col("i").alias("pos")).alias("order"), name("index", F.col("i")).alias("sitemap_url")))
+    return files.unionByName(index_files).unionByName(broken), candidates
+
+
+SITE_PAGES = rf"SELECT array_to_string(string_split({AUTH}, '.')[-2:], '.') AS site, url, page_id FROM pages"
+
+
+@query(f"WITH r AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY page_id) AS pos, url FROM ({SITE_PAGES})) SELECT * FROM r WHERE pos <= 2000")
 def sitemap_read(spark, sf):
-    files = landed_sitemaps(spark, sf)
-    sites = files.select("site").distinct().select("site", F.concat(F.lit("https://"), "site").alias("domain"), F.lit(None).cast("string").alias("explicit_sitemap_url"))
+    files, candidates = landed_sitemaps(spark, sf)
     parsed = M.parse_sitemaps(files)
-    order = M.read_order(parsed, M.sitemap_candidates(sites))
-    return M.site_inventory(parsed, order)[0]
+    return M.site_inventory(parsed, M.read_order(parsed, candidates))[0]
 
 
 @query(rf"""

@@ -25,7 +25,7 @@ LATIN_WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?"
 WORD_OR_CJK = r"[A-Za-z0-9][A-Za-z0-9_\-']*|[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]"
 
 ABSOLUTE_URL = r"^https?://[^/?#]+"
-URL_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
-URL_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
-URL_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
+URL_AUTHORITY = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
+URL_PATH = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
+URL_SCHEME = r"^\s*([A-Za-z][A-Za-z0-9+.-]*):"
 URL_QUERY = r"^[^?#]*\?([^#]*)"

@@ -55,37 +55,20 @@ def url_token_rows(urls: DataFrame, run: str = "run_id") -> DataFrame:
     ).alias("token"))
 
 
-def map_queries(queries: DataFrame, urls: DataFrame, k: int = 3, run: str = "run_id",
-                common_after: int = COMMON_AFTER) -> DataFrame:
-    """Best ``k`` URLs per query: score desc, shorter URL, earlier position; ranks 1..k.
+def _direct_pairs(q_tokens: DataFrame, u_tokens: DataFrame, run: str) -> DataFrame:
+    return q_tokens.join(u_tokens, [run, "token"]).groupBy(run, "qpos", "upos").agg(F.sum("weight").alias("rare_score"))
 
-    ``queries``: run_id, pos, query_id, query[, topic, recommended_page_type];
-    ``urls``: run_id, pos, url — pos unique per run. Queries matching nothing get the k
-    shortest URLs of their run with score 0.
 
-    Rare tokens are joined directly: at most ``common_after`` URLs per token, so pairs grow
-    linearly with queries. URLs carrying the same set of common tokens are equal to every
-    query as far as those tokens go, so only the k best of each such set can win on them
-    alone; one row per set is scored instead of one per URL. The result is exact.
-    """
-    q_tokens = query_tokens(queries, run)
+def _split_pairs(q_tokens: DataFrame, u_tokens: DataFrame, keyed: DataFrame, k: int, run: str, common_after: int):
+    """Scored pairs with rare tokens joined directly and common ones through signatures."""
     vocabulary = q_tokens.select(run, "token").distinct()
-    u_tokens = url_token_rows(urls, run)
     frequency = u_tokens.groupBy(run, "token").agg(F.count("*").alias("n")).join(
         vocabulary, [run, "token"], "left_semi"
     )
-    rare = frequency.where(F.col("n") <= common_after).select(run, "token")
-    common = frequency.where(F.col("n") > common_after).select(run, "token")
+    counted = u_tokens.join(frequency, [run, "token"])  # tokens nobody asks for end here
+    rare_pairs = _direct_pairs(q_tokens, counted.where(F.col("n") <= common_after).drop("n"), run)
 
-    # rare tokens: direct pairs
-    rare_pairs = (
-        q_tokens.join(u_tokens.join(rare, [run, "token"]), [run, "token"])
-        .groupBy(run, "qpos", "upos").agg(F.sum("weight").alias("rare_score"))
-    )
-
-    # common tokens: one signature per URL, the k best URLs of each signature
-    keyed = urls.select(run, F.col("pos").alias("upos"), "url", F.length("url").alias("ulen"))
-    signatures = u_tokens.join(common, [run, "token"]).groupBy(run, "upos").agg(
+    signatures = counted.where(F.col("n") > common_after).groupBy(run, "upos").agg(
         F.array_sort(F.collect_set("token")).alias("signature")  # bounded by the tokens of one URL
     )
     signed = keyed.join(signatures, [run, "upos"], "left")
@@ -101,18 +84,43 @@ def map_queries(queries: DataFrame, urls: DataFrame, k: int = 3, run: str = "run
     best_pairs = signature_scores.join(best, [run, "signature"]).select(
         run, "qpos", "upos", F.lit(0).cast("bigint").alias("rare_score")
     )
-
     pairs = rare_pairs.unionByName(best_pairs).groupBy(run, "qpos", "upos").agg(F.max("rare_score").alias("rare_score"))
     scored = (
         pairs.join(signed, [run, "upos"])
         .join(signature_scores, [run, "qpos", "signature"], "left")
         .select(run, "qpos", "upos", "url", "ulen", (F.col("rare_score") + F.coalesce("common_score", F.lit(0))).alias("score"))
     )
+    return scored
+
+
+def map_queries(queries: DataFrame, urls: DataFrame, k: int = 3, run: str = "run_id",
+                common_after: int = COMMON_AFTER) -> DataFrame:
+    """Best ``k`` URLs per query: score desc, shorter URL, earlier position; ranks 1..k.
+
+    ``queries``: run_id, pos, query_id, query[, topic, recommended_page_type];
+    ``urls``: run_id, pos, url — pos unique per run. Queries matching nothing get the k
+    shortest URLs of their run with score 0.
+
+    Rare tokens are joined directly: at most ``common_after`` URLs per token, so pairs grow
+    linearly with queries. URLs carrying the same set of common tokens are equal to every
+    query as far as those tokens go, so only the k best of each such set can win on them
+    alone; one row per set is scored instead of one per URL. The result is exact.
+    """
+    q_tokens = query_tokens(queries, run)
+    u_tokens = url_token_rows(urls, run)
+    keyed = urls.select(run, F.col("pos").alias("upos"), "url", F.length("url").alias("ulen"))
+    largest = urls.groupBy(run).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= common_after:  # no token can be common
+        scored = _direct_pairs(q_tokens, u_tokens, run).join(keyed, [run, "upos"]).select(
+            run, "qpos", "upos", "url", "ulen", F.col("rare_score").alias("score")
+        )
+    else:
+        scored = _split_pairs(q_tokens, u_tokens, keyed, k, run, common_after)
     ranked = first_n(scored, [run, "qpos"], [F.desc("score"), "ulen", "upos"], k)
 
     shortest = first_n(keyed, run, ["ulen", "upos"], k)
     unmatched = queries.select(run, F.col("pos").alias("qpos")).join(
-        pairs.select(run, "qpos").distinct(), [run, "qpos"], "left_anti"
+        ranked.where("rank = 1").select(run, "qpos"), [run, "qpos"], "left_anti"
     )
     fallback = unmatched.join(shortest, run).select(run, "qpos", "upos", "url", F.lit(0).cast("bigint").alias("score"), "rank")
     chosen = ranked.select(run, "qpos", "upos", "url", "score", "rank").unionByName(fallback)

@@ -28,8 +28,8 @@ def relative_path(column: str, root: str):
 def read_texts(spark: SparkSession, root: str, suffix: str = "*.md") -> DataFrame:
     """(path, value): whole text files below ``root``."""
     return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", suffix)
-        .text(root).select(relative_path("_metadata.file_path", root).alias("path"), "value")
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", suffix)
+        .text(root, wholetext=True).select(relative_path("_metadata.file_path", root).alias("path"), "value")
     )
 
 

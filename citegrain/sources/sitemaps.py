@@ -84,14 +84,17 @@ def read_order(parsed: DataFrame, candidates: DataFrame, max_expanded: int = MAX
     level = checkpointed(candidates.select(
         "site", "sitemap_url", F.row_number().over(by_order("order")).alias("idx")
     ))
+    # only the links between sitemaps are walked; they are extracted once
+    links = checkpointed(
+        parsed.select("site", "sitemap_url", F.filter(
+            F.transform("locs", lambda l, i: F.struct(i.alias("pos"), l.alias("child"))), lambda x: _is_nested(x["child"])
+        ).alias("children")).where(F.size("children") > 0)
+    )
     known = level
     for _ in range(max_expanded):
-        children = (
-            level.where(F.col("idx") < max_expanded).join(parsed, ["site", "sitemap_url"])
-            .select("site", "idx", F.posexplode("locs").alias("pos", "child"))
-            .where(_is_nested(F.col("child")))
-            .select("site", F.col("child").alias("sitemap_url"), "idx", "pos")
-        )
+        children = level.where(F.col("idx") < max_expanded).join(links, ["site", "sitemap_url"]).select(
+            "site", "idx", F.explode("children").alias("c")
+        ).select("site", F.col("c.child").alias("sitemap_url"), "idx", "c.pos")
         fresh = first_wins(children, ["site", "sitemap_url"], ["idx", "pos"]).join(
             known.select("site", "sitemap_url"), ["site", "sitemap_url"], "left_anti"
         )

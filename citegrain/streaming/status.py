@@ -39,9 +39,30 @@ def episodes_stream(events: DataFrame, gap: str = "1 hour", delay: str = "10 min
 
 
 ACTIVE_SCHEMA = "run_id string, active boolean, reason string, updated_at timestamp"
+_PATCH_SCHEMA = "run_id string, ts timestamp, status string, status_ms bigint, stage string, stage_ms bigint, failed boolean"
 _STATE_SCHEMA = "updated_ms bigint, status string, status_ms bigint, stage string, stage_ms bigint, failed boolean"
 
 
+def _combine(batches: Iterator) -> Iterator:
+    """Map-side combine: one patch per run and Arrow batch, so a busy run stays a few rows."""
+    import pandas as pd
+
+    for batch in batches:
+        if batch.empty:
+            continue
+        b = batch.sort_values("ts", kind="stable")
+        ms = b["ts"].astype("datetime64[ms]").astype("int64")
+        b = b.assign(
+            status_ms=ms.where(b["status"].notna()).astype("Int64"), stage_ms=ms.where(b["stage"].notna()).astype("Int64"),
+            failed=b["error"].notna() & (b["error"] != ""),
+        )
+        last = b.groupby("run_id", sort=False).agg(
+            ts=("ts", "max"), status=("status", "last"), status_ms=("status_ms", "max"), stage=("stage", "last"),
+            stage_ms=("stage_ms", "max"), failed=("failed", "any"),
+        )
+        yield last.reset_index()[["run_id", "ts", "status", "status_ms", "stage", "stage_ms", "failed"]]
+
+
 def _decide(status: str, stage: str, failed: bool) -> tuple[bool, str]:
     if status in SUCCESS_STATES or status in FAILED_STATES:
         return False, "terminal"
@@ -58,8 +79,8 @@ def active_runs_stream(events: DataFrame, delay: str = "10 minutes") -> DataFram
     """A row whenever a run changes: active or not and why, and one when it goes stale.
 
     ``events``: run_id, ts, status, stage, error (NULLs keep the earlier value). Staleness is an
-    event-time timer at last update plus one hour, two for auditor stages. Events of one run
-    arrive in Arrow chunks and only the last values are kept as state.
+    event-time timer at last update plus one hour, two for auditor stages. Patches are combined
+    before the shuffle; the state of a run is six values.
     """
 
     def update(key: tuple, chunks: Iterator, state: GroupState):
@@ -76,13 +97,12 @@ def active_runs_stream(events: DataFrame, delay: str = "10 minutes") -> DataFram
             yield row(False, "stale", updated)
             return
         for chunk in chunks:
-            for event in chunk.sort_values("ts").itertuples():
-                ms = int(event.ts.timestamp() * 1000)
-                updated, failed = max(updated, ms), bool(failed or event.error)
-                if event.status and ms >= status_ms:
-                    status, status_ms = event.status, ms
-                if event.stage and ms >= stage_ms:
-                    stage, stage_ms = event.stage, ms
+            for patch in chunk.itertuples():
+                updated, failed = max(updated, int(patch.ts.timestamp() * 1000)), bool(failed or patch.failed)
+                if isinstance(patch.status, str) and patch.status_ms >= status_ms:
+                    status, status_ms = patch.status, int(patch.status_ms)
+                if isinstance(patch.stage, str) and patch.stage_ms >= stage_ms:
+                    stage, stage_ms = patch.stage, int(patch.stage_ms)
         low = stage.lower()
         active, reason = _decide(status.lower(), low, failed)
         state.update((updated, status, status_ms, stage, stage_ms, failed))
@@ -96,6 +116,7 @@ def active_runs_stream(events: DataFrame, delay: str = "10 minutes") -> DataFram
 
     return (
         events.select("run_id", "ts", "status", "stage", "error")
+        .mapInPandas(_combine, _PATCH_SCHEMA)
         .withWatermark("ts", delay)
         .groupBy("run_id")
         .applyInPandasWithState(update, ACTIVE_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)

@@ -26,13 +26,13 @@ def query(sql: str | None = None):
     return register
 
 
-TEXT_TABLES = ("documents", "pages", "conversations")
+SPREAD_TABLES = ("documents", "pages", "conversations", "lineitem")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table; text tables of few splits are spread over the cores first."""
+    """A driver table; the larger ones, when of few splits, are spread over the cores first."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df) if name in SPREAD_TABLES else df
 
 
 def quoted(text: str) -> str:

@@ -499,7 +499,7 @@ def text_dimension_scores(spark, sf):
         "doc_id", "d.dimension", "d.score", "d.band")
 
 
-_has = lambda pattern: f"regexp_matches(t, {quoted(re2(pattern))})"
+_has = lambda terms: "(" + " OR ".join(f"contains(lower(t), {quoted(x)})" for x in terms) + ")"
 
 
 @query(rf"""

@@ -35,8 +35,8 @@ def strip_sql(c: str) -> str:
 
 
 def line_key_sql(c: str) -> str:
-    t = f"regexp_replace({block_sql(c)}, 'https?://{P.NOT_WS}+', '', 'g')"
-    t = f"regexp_replace({t}, '[＊※*¹²³0-9\\s\\x{{a0}}\\x{{3000}}]+', ' ', 'g')"
+    t = f"regexp_replace({c}, 'https?://{P.NOT_WS}+', '', 'g')"
+    t = f"regexp_replace({t}, {quoted(M.LINE_NOISE)}, ' ', 'g')"
     return strip_sql(f"lower({t})")
 
 

@@ -64,9 +64,8 @@ def inventory(sources: list[DataFrame], domains: DataFrame, max_owned: int, max_
         ordered = frame.select(key, "url", F.struct(F.lit(part).alias("part"), F.col("pos").cast("bigint").alias("pos")).alias("pos"))
         rows = ordered if rows is None else rows.unionByName(ordered)
     unique = split_owned(distinct_urls(rows, (key,)), domains, (key,))
-    owned = first_n(unique.where("is_owned"), key, ["pos", "url"], max_owned)
-    external = first_n(unique.where("NOT is_owned"), key, ["pos", "url"], max_external)
-    return owned.unionByName(external)
+    sides = first_n(unique, [key, "is_owned"], ["pos", "url"], max(max_owned, max_external))
+    return sides.where(F.col("rank") <= F.when(F.col("is_owned"), max_owned).otherwise(max_external))
 
 
 def selected_pages(scope_rows: DataFrame, key: str = "run_id", seed_limit: int | None = None):

@@ -8,15 +8,36 @@ from citegrain.functions import url as U
 from citegrain.functions.markdown import count_of, markdown_metrics
 from citegrain.functions.text import compact_block, let
 
-# Fixed patterns: term families.
-CITATION_TERMS = r"(?iu)(source|citation|reference|出典|参照|引用|公式|によると|review|guide|rating|調査|データ|according to)"
-DOMAIN_TERMS = r"(?iu)(vehicle|car|ev|electric|battery|range|charging|hybrid|fuel|warranty|service|maintenance|finance|lease|price|cost|safety|adas|interior|seat|boot|cargo|dealer|roadside|車|自動車|電気自動車|充電|航続|バッテリー|燃費|保証|整備|点検|価格|費用|安全|内装|座席|荷室|販売店)"
-COMPARISON_TERMS = r"(?iu)(compare|comparison|versus|vs\.?|difference|pros|cons|review|best|rating|table|比較|違い|メリット|デメリット|グレード|標準装備|オプション|おすすめ)"
-ACTION_TERMS = r"(?iu)(choose|check|guide|tips|buy|price|estimate|book|apply|contact|選ぶ|確認|ガイド|ポイント|購入|見積|予約|問い合わせ)"
-FRESHNESS_TERMS = r"(?iu)(updated|last updated|reviewed|valid until|as of|202[4-9]|更新|掲載日|改定|時点|現在|有効期限|copyright|©)"
-FAQ_TERMS = r"(?iu)(faq|q&a|よくある質問|質問|お問い合わせ|ご質問|question|answer)"
-DOCUMENT_TERMS = r"(?iu)(terms|conditions|privacy|sitemap|contact|warranty|brochure|catalogue|spec|specification|pdf|主要装備一覧|諸元表|カタログ|保証|条件)"
-CTA_TERMS = r"(?iu)(book|estimate|contact|dealer|buy|apply|予約|見積|問い合わせ|販売店)"
+# Term families, in lower case.
+CITATION_TERMS = (
+    "source", "citation", "reference", "出典", "参照", "引用", "公式", "によると", "review", "guide", "rating", "調査",
+    "データ", "according to",
+)
+DOMAIN_TERMS = (
+    "vehicle", "car", "ev", "electric", "battery", "range", "charging", "hybrid", "fuel", "warranty", "service",
+    "maintenance", "finance", "lease", "price", "cost", "safety", "adas", "interior", "seat", "boot", "cargo", "dealer",
+    "roadside", "車", "自動車", "電気自動車", "充電", "航続", "バッテリー", "燃費", "保証", "整備", "点検", "価格", "費用", "安全",
+    "内装", "座席", "荷室", "販売店",
+)
+COMPARISON_TERMS = (
+    "compare", "comparison", "versus", "vs", "difference", "pros", "cons", "review", "best", "rating", "table", "比較",
+    "違い", "メリット", "デメリット", "グレード", "標準装備", "オプション", "おすすめ",
+)
+ACTION_TERMS = (
+    "choose", "check", "guide", "tips", "buy", "price", "estimate", "book", "apply", "contact", "選ぶ", "確認", "ガイド",
+    "ポイント", "購入", "見積", "予約", "問い合わせ",
+)
+FRESHNESS_TERMS = (
+    "updated", "last updated", "reviewed", "valid until", "as of", "2024", "2025", "2026", "2027", "2028", "2029", "更新",
+    "掲載日", "改定", "時点", "現在", "有効期限", "copyright", "©",
+)
+FAQ_TERMS = ("faq", "q&a", "よくある質問", "質問", "お問い合わせ", "ご質問", "question", "answer")
+DOCUMENT_TERMS = (
+    "terms", "conditions", "privacy", "sitemap", "contact", "warranty", "brochure", "catalogue", "spec", "specification",
+    "pdf", "主要装備一覧", "諸元表", "カタログ", "保証", "条件",
+)
+CTA_TERMS = ("book", "estimate", "contact", "dealer", "buy", "apply", "予約", "見積", "問い合わせ", "販売店")
+# Fixed patterns: counted families, leftmost match first.
 NOISE_TERMS = r"(cookie|ad blocker|subscribe popup|consent management|utm_|fbclid|gclid)"
 CONTENT_TERMS = r"(vehicle|car|ev|charging|battery|range|hybrid|warranty|service|price|cost|review|safety|faq|車|充電|保証|整備|価格|安全)"
 
@@ -45,13 +66,11 @@ def evidence_signals(
     has_type = lambda *names: F.exists(types, lambda t: F.lower(t).isin(*names))
 
     def build(row: Column) -> Column:
-        text, m = row["text"], row["metrics"]
-        has = lambda pattern: text.rlike(pattern)
-        low = F.lower(text)
-        domain = has(DOMAIN_TERMS)
-        citation = (m["link_count"] >= 3) | has(CITATION_TERMS)
-        documents = (m["pdf_link_count"] >= 1) | has(DOCUMENT_TERMS)
-        noise, content = count_of(low, NOISE_TERMS), count_of(low, CONTENT_TERMS)
+        text, low, m = row["text"], row["low"], row["metrics"]
+        has = lambda terms: any_term(low, terms)
+        domain = row["domain"]
+        citation, documents = row["citation"], row["documents"]
+        noise, content = row["noise"], row["content"]
         ratio = F.bround(noise / F.greatest(F.lit(1), content), 2)
         return F.struct(
             ((text != "") & (m["heading_count"] >= 1) & (domain | (F.length(text) > 400))).alias("answer_first"),
@@ -92,8 +111,24 @@ def evidence_signals(
             ratio.alias("noise_ratio"),
         )
 
-    measured = let(
-        compact_block(markdown),
-        lambda t: F.struct(t.alias("text"), markdown_metrics(t).alias("metrics")),
-    )
-    return let(measured, build)
+    def measure(text: Column) -> Column:
+        return let(
+            F.struct(text.alias("text"), F.lower(text).alias("low"), markdown_metrics(text).alias("metrics")),
+            lambda r: F.struct(
+                r["text"].alias("text"), r["low"].alias("low"), r["metrics"].alias("metrics"),
+                any_term(r["low"], DOMAIN_TERMS).alias("domain"),
+                ((r["metrics"]["link_count"] >= 3) | any_term(r["low"], CITATION_TERMS)).alias("citation"),
+                ((r["metrics"]["pdf_link_count"] >= 1) | any_term(r["low"], DOCUMENT_TERMS)).alias("documents"),
+                count_of(r["low"], NOISE_TERMS).alias("noise"), count_of(r["low"], CONTENT_TERMS).alias("content"),
+            ),
+        )
+
+    return let(let(compact_block(markdown), measure), build)
+
+
+def any_term(low: Column, terms) -> Column:
+    """Whether a lower-cased text holds one of the terms; stops at the first found."""
+    out = F.lit(False)
+    for term in terms:
+        out = out | F.contains(low, F.lit(term))
+    return out

@@ -10,6 +10,7 @@ from citegrain.operators import citations as C
 from citegrain.operators import crawl, hygiene as H, mapping, merging
 from citegrain.operators.frames import first_n
 from citegrain.operators.portfolio import normalise_queries
+from citegrain.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,8 @@ def scope(queries: DataFrame, urls: DataFrame, options: RefreshOptions = Refresh
     ``queries``: run_id, pos, query_id, query, topic, recommended_page_type; ``urls``: run_id, pos, url.
     """
     capped = first_n(normalise_queries(queries), "run_id", ["pos"], options.query_limit, rank="query_rank")
-    mappings = mapping.map_queries(capped, urls, options.pages_per_query)
+    # the mapping is the costly part and feeds four outputs
+    mappings = checkpointed(mapping.map_queries(capped, urls, options.pages_per_query))
     selected = mapping.selected_urls(mappings, options.max_owned_urls)
     status = "pending" if options.crawl_owned else "not_requested"
     about = "awaiting crawl." if options.crawl_owned else "mapped from sitemap; crawl disabled for this refresh."

@@ -41,12 +41,12 @@ def let(value: Column, body) -> Column:
 
 def strip_ws(c: Column | str) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(col(c), f"^{P.WS}+|{P.WS}+$", "")
+    return F.trim(col(c), F.lit(P.WS_CHARS))
 
 
 def compact(c: Column | str) -> Column:
     """One line, single blanks, no blank ends; NULL becomes ''."""
-    return F.regexp_replace(F.regexp_replace(text_or_empty(c), f"{P.WS}+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(text_or_empty(c), f"{P.WS}+", " "))
 
 
 def compact_limited(c: Column | str, limit: int) -> Column:
@@ -178,5 +178,5 @@ def truncate(c: Column | str, limit: int, marker: str = TRUNCATION_MARKER) -> Co
     value = col(c)
     if limit <= 0:
         return value
-    cut = F.regexp_replace(F.left(value, F.lit(limit)), f"{P.WS}+$", "")
+    cut = F.rtrim(F.left(value, F.lit(limit)), F.lit(P.WS_CHARS))
     return F.when(F.length(value) > limit, F.concat(cut, F.lit(marker))).otherwise(value)

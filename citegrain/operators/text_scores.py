@@ -57,12 +57,14 @@ def text_scores(
     sig = lambda name: value(signals, name, False)
     met = lambda name: value(metrics, name, 0)
 
-    def measure(text: Column) -> Column:
-        low = F.lower(text)
+    def measure(both: Column) -> Column:
+        text, low = both["text"], both["low"]
         q_tokens = F.array_distinct(keyword_tokens(query if query is not None else blank))
-        t_tokens = F.array_distinct(keyword_tokens(
-            text, page_url if page_url is not None else blank, page_type if page_type is not None else blank
-        ))
+        # query tokens hold no stop words, so the text tokens need no filter before intersecting
+        t_tokens = F.regexp_extract_all(
+            F.concat_ws(" ", low, *[F.lower(text_or_empty(c)) for c in (page_url, page_type) if c is not None]),
+            F.lit(WORDS), F.lit(0),
+        )
         first_block = F.left(low, F.lit(h["answer_first_max_chars"]))
         headings = F.filter(
             F.transform(M.all_of(text, r"(?md)^#{1,4}\s+(.+)$", 1), compact), lambda x: F.length(x) > 2
@@ -191,7 +193,8 @@ def text_scores(
             ),
         )
 
-    return let(let(let(M.clean_for_scoring(raw), measure), evaluate), finish)
+    with_lower = lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"))
+    return let(let(let(let(M.clean_for_scoring(raw), with_lower), measure), evaluate), finish)
 
 
 def band(score: Column) -> Column:

@@ -57,20 +57,20 @@ def test_file_status(spark, status, attempts, expected):
 def test_full_inventory_is_scored(spark):
     text = ("## Charging support\nOfficial specifications, warranty conditions, safety guidance and 2026 update. "
             "Range 300 km. Charging 40 kW. ") * 12
-    pages = [("r", i, f"https://www.nissan.co.jp/direct-{i}.html", f"Direct page {i}", "success", 900, text,
-              ["Charging support", "Specifications"], f"https://www.nissan.co.jp/direct-{i}.html", i == 0, int(i == 0)) for i in range(4)]
+    pages = [("r", i, f"https://www.acme.co.jp/direct-{i}.html", f"Direct page {i}", "success", 900, text,
+              ["Charging support", "Specifications"], f"https://www.acme.co.jp/direct-{i}.html", i == 0, int(i == 0)) for i in range(4)]
     df = spark.createDataFrame(pages, "run_id string, pos int, url string, title string, crawl_status string, word_count bigint, markdown string, "
                                "headings array<string>, canonical_url string, json_ld_present boolean, json_ld_block_count int")
     from citegrain.plans import report
 
     empty = df.limit(0)
-    workbench = spark.createDataFrame([("r", 0, "Q001", "direct", "https://www.nissan.co.jp/direct-0.html")], "run_id string, pos int, query_id string, query string, url string")
+    workbench = spark.createDataFrame([("r", 0, "Q001", "direct", "https://www.acme.co.jp/direct-0.html")], "run_id string, pos int, query_id string, query string, url string")
     none = spark.createDataFrame([], "run_id string, url string")
     cites = spark.createDataFrame([], "run_id string, query_id string, url string, citation_position int, source_rank int, pos int")
     out = report.enrich(empty, [df], workbench, none, cites)
     rows = {r.url: r for r in out["readiness"].collect()}
     assert len(rows) == 4
-    first, last = rows["https://www.nissan.co.jp/direct-0.html"], rows["https://www.nissan.co.jp/direct-3.html"]
+    first, last = rows["https://www.acme.co.jp/direct-0.html"], rows["https://www.acme.co.jp/direct-3.html"]
     assert first.query_mapped and not last.query_mapped
     assert last.current_geo_score_120 > 0 and last.geo_dimensions["semantic_depth"] > 0
     assert {r.scoring_method for r in rows.values()} == {"crawl_evidence_v1"}
@@ -200,11 +200,11 @@ def test_active_truth_table(spark, status, stage, auditor_error, error, failed,
 
 def test_running_newer_run_does_not_replace_completed(spark):
     m = spark.createDataFrame([
-        ("old", "Nissan", "Japan", None, "report_bundle_ready", "completed", True, 100, 100),
-        ("new", "Nissan", "Japan", None, "evidence_ready", "running", False, 9999999999, None)],
+        ("old", "Acme", "Japan", None, "report_bundle_ready", "completed", True, 100, 100),
+        ("new", "Acme", "Japan", None, "evidence_ready", "running", False, 9999999999, None)],
         "run_id string, brand string, market string, domain string, stage string, status string, dashboard_ready boolean, created_at_epoch bigint, completed_at_epoch bigint")
     assert [r.run_id for r in registry.latest_successful(m).collect()] == ["old"]
-    assert registry.scan_latest(m, "nissan", "JAPAN", "https://any.example").first().run_id == "old"
+    assert registry.scan_latest(m, "acme", "JAPAN", "https://any.example").first().run_id == "old"
     none = spark.createDataFrame([], "run_id string, stage string")
     assert registry.history(m, none, "", "all", limit=0).count() == 1
 

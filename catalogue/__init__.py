@@ -1,6 +1,6 @@
 """Queries over the driver tables, one per operator, with the SQL they must agree with."""
 
-from catalogue import evidence, pages, runs, texts, urls  # noqa: F401
+from catalogue import evidence, pages, plans, runs, texts, urls  # noqa: F401
 from catalogue.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from citegrain.functions.text import clean_value, strip_ws, text_or_empty
 from citegrain.operators.frames import ensure_columns
@@ -170,3 +170,26 @@ def explode_portfolios(portfolios: DataFrame):
     topics = portfolios.select("portfolio_id", F.posexplode("topics").alias("pos", "t")).select("portfolio_id", "pos", "t.*")
     queries = portfolios.select("portfolio_id", F.posexplode("queries").alias("pos", "q")).select("portfolio_id", "pos", "q.*")
     return topics, queries
+
+
+def template(spark: SparkSession, brand: str = "", market: str = "", domain: str = "") -> DataFrame:
+    """One example portfolio that passes every check, to start an own one from."""
+    name = brand or "YourBrand"
+    topics = [
+        {"topic": "Range and charging", "description": "How far and how fast"},
+        {"topic": "Ownership costs", "description": "Price, finance and upkeep"},
+    ]
+    rows = (
+        ("electric family cars compared", 0, "non_branded", "comparison", "medium"),
+        (f"{name} range in winter", 0, "branded", "research", "high"),
+        (f"{name} monthly payment", 1, "branded", "decision", "high"),
+    )
+    queries = [
+        {"query_id": f"q{i:03d}", "query": text, "topic": topics[t]["topic"], "query_type": kind, "journey_stage": stage, "priority": prio}
+        for i, (text, t, kind, stage, prio) in enumerate(rows, start=1)
+    ]
+    row = {
+        "schema_version": SCHEMA_VERSION, "brand": name, "market": market or "YourMarket",
+        "domain": domain or "https://www.yourbrand.example", "portfolio_source": "user_upload", "topics": topics, "queries": queries,
+    }
+    return spark.createDataFrame([row], PORTFOLIO_SCHEMA)

@@ -270,3 +270,38 @@ def test_inventory_split_uses_suffix_not_substring(spark):
     domains = dedupe.owned_domains(spark.createDataFrame([("r", "https://www.example.com")], "run_id string, domain string"))
     got = {(r.run_id, r.url): r.is_owned for r in dedupe.inventory([urls], domains, 5, 5).collect()}
     assert got == {("r", "https://notexample.com/"): False, ("r", "https://a.example.com/x"): True, ("s", "https://example.com/"): False}
+
+
+def test_template_gate_and_defaults(spark):
+    t = V.template(spark, "Acme").withColumn("portfolio_id", F.lit("t1"))
+    assert t.where(V.is_valid_portfolio()).count() == 1
+    topics, queries = V.explode_portfolios(t)
+    v = V.portfolio_verdicts(t, topics, queries).first()
+    assert v.valid and v.warnings == 0 and (v.topic_count, v.query_count) == (2, 3)
+    bad = t.withColumn("schema_version", F.lit("x.v1")).unionByName(t.withColumn("topics", F.slice("topics", 1, 0)))
+    assert bad.where(V.is_valid_portfolio()).count() == 0
+    p = spark.createDataFrame([(None, "b", " ", "rb", "rm")], "schema_version string, brand string, market string, request_brand string, request_market string")
+    d = V.with_defaults(p).first()
+    assert (d.schema_version, d.brand, d.market, d.portfolio_source) == (V.SCHEMA_VERSION, "b", "rm", "user_upload")
+
+
+def test_stored_portfolios_get_ids_and_two_keys(spark):
+    schema = "portfolio_id string, schema_version string, brand string, market string, domain string, created_at_epoch bigint"
+    old = spark.createDataFrame([("p_old", V.SCHEMA_VERSION, "A b", "M", "https://d", 5)], schema)
+    new = spark.createDataFrame([(None, None, "A b", "M", "https://d", None), ("given", "", "A b", "M", None, None)], schema)
+    stored = registry.store_portfolios(old, new, F.lit(9).cast("bigint"))
+    rows = stored.where("created_at_epoch = 9").collect()
+    assert {r.schema_version for r in rows} == {V.SCHEMA_VERSION} and any(r.portfolio_id.startswith("portfolio_a_b_m_9_") for r in rows)
+    latest = {r.latest_key: r.portfolio_id for r in registry.latest_portfolios(stored).collect()}
+    assert set(latest) == {"a_b__m", "a_b__m__d"} and latest["a_b__m__d"].startswith("portfolio_a_b_m_9_")
+
+
+def test_hot_key_is_split(spark):
+    """A third of all rows on one key: the plan ranks and reduces before the shuffle."""
+    df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("pos"))
+    ranked = first_n(df, "k", ["pos"], 5)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # partial before the exchange, final after
+    assert ranked.where("k = 0").count() == 5
+    reduced = first_wins(df, "k", "pos")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in reduced

@@ -22,7 +22,9 @@ BASE_SQL = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
 
 
 def decoded(c: str) -> str:
-    return f"replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+    for pattern, char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#x27;?|&#39;?", "''"), ("&amp;?", "&")):
+        c = f"regexp_replace({c}, '{pattern}', '{char}', 'g')"
+    return c
 
 
 def features(spark, sf):
@@ -53,7 +55,7 @@ FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([
 WITH l AS ({LINKS_SQL})
 SELECT page_id, link AS url, label AS text, link LIKE '%.pdf%' AS is_pdf, 1 AS n FROM l GROUP BY 1, 2, 3""")
 def html_links(spark, sf):
-    return features(spark, sf).select("page_id", F.explode("links").alias("l")).select(
+    return features(spark, sf).select("page_id", F.explode_outer("links").alias("l")).where("l IS NOT NULL").select(
         "page_id", "l.url", "l.text", "l.is_pdf", F.lit(1).alias("n")
     )
 
@@ -121,7 +123,7 @@ def schema_types(spark, sf):
 SELECT page_id, 0 AS pos, {BASE_SQL} || '/i/' || page_id || '.png' AS src, 'Picture' AS alt FROM pages
 UNION ALL SELECT page_id, 1, regexp_extract(url, '^([^?#]*/)', 1) || 'lazy.png', '' FROM pages""")
 def page_images(spark, sf):
-    return rich_features(spark, sf).select("page_id", F.posexplode("images").alias("pos", "i")).select("page_id", "pos", "i.src", "i.alt")
+    return rich_features(spark, sf).select("page_id", F.posexplode_outer("images").alias("pos", "i")).where("pos IS NOT NULL").select("page_id", "pos", "i.src", "i.alt")
 
 
 @query(r"""
@@ -495,7 +497,7 @@ SELECT doc_id, d.dimension AS dimension, d.score AS score,
        CASE WHEN d.score <= 5 THEN 'weak_or_not_observed' WHEN d.score <= 10 THEN 'basic_limited' WHEN d.score <= 15 THEN 'adequate_incomplete' ELSE 'strong_citation_ready' END AS band
 FROM g""")
 def text_dimension_scores(spark, sf):
-    return _scored(spark, sf, dimensions=X.EXAMPLE_DIMENSIONS).select("doc_id", F.explode("s.dimension_scores").alias("d")).select(
+    return _scored(spark, sf, dimensions=X.EXAMPLE_DIMENSIONS).select("doc_id", F.explode_outer("s.dimension_scores").alias("d")).select(
         "doc_id", "d.dimension", "d.score", "d.band")
 
 
@@ -607,7 +609,7 @@ def hygiene_source(spark, sf):
 
 @query(rf"""
 SELECT regexp_replace({AUTH}, '^www\.', '') AS host, count(*) AS pages, 0 AS pages_with_json_ld, 'high' AS priority,
-       count(*) FILTER (regexp_matches(html, '<title>\s*</title>')) AS untitled
+       count(*) FILTER (regexp_matches(html, '<title>\s*</title>')) AS untitled, count(*) AS pages_scored
 FROM pages WHERE regexp_matches({AUTH}, '(^|\.)example\.(com|org)$') GROUP BY 1""")
 def hygiene_readiness_by_host(spark, sf):
     """The flagship: owned pages → HTML features → coverage, priority and readiness per host."""
@@ -618,7 +620,8 @@ def hygiene_readiness_by_host(spark, sf):
     out = flags.groupBy("host").agg(
         F.count("*").alias("pages"), F.count_if("_json_ld").alias("pages_with_json_ld"),
         F.count_if(F.col("title") == "").alias("untitled"),
+        F.count_if(F.col("r.score").between(0, R.SCALE)).alias("pages_scored"),
         (F.count_if("_json_ld") / F.count("*") * 100).alias("_pct"), F.bool_or("_signal").alias("_checked"),
     )
-    return out.select("host", "pages", "pages_with_json_ld", "untitled",
+    return out.select("host", "pages", "pages_with_json_ld", "untitled", "pages_scored",
                       H.priority(F.col("_pct"), F.lit("available"), F.lit("available"), F.col("_checked")).alias("priority"))

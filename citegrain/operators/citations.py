@@ -89,7 +89,8 @@ def normalise_answers(answers: DataFrame, entities: bool = True) -> DataFrame:
 def explode_citations(answers: DataFrame, references: str = "references") -> DataFrame:
     """One row per reference with its position; references of one answer are few (≤ 10)."""
     keys = [c for c in ("run_id", "query_id", "query") if c in answers.columns]
-    rows = answers.select(*keys, F.posexplode(references).alias("pos", "r"))
+    # the outer form keeps Spark from testing the size first, which would clean every list twice
+    rows = answers.select(*keys, F.posexplode_outer(references).alias("pos", "r")).where("pos IS NOT NULL")
     return rows.select(*keys, "pos", "r.*").withColumn("citation_position", citation_rank())
 
 

@@ -81,7 +81,7 @@ def schema_type_counts(pages: DataFrame, *keys, order: str = "pos") -> DataFrame
     """Pages per schema type, most frequent first, ties by first appearance (``rank``)."""
     from pyspark.sql import Window
 
-    p = with_structured_flags(pages).select(*keys, F.col(order).alias("_pos"), F.posexplode("_types").alias("_tpos", "schema_type"))
+    p = with_structured_flags(pages).select(*keys, F.col(order).alias("_pos"), F.posexplode_outer("_types").alias("_tpos", "schema_type")).where("_tpos IS NOT NULL")
     counted = p.groupBy(*keys, "schema_type").agg(
         F.count("*").alias("pages"), F.min(F.struct("_pos", "_tpos")).alias("_first")
     )

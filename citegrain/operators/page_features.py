@@ -264,7 +264,8 @@ def with_full_markdown(features: DataFrame) -> DataFrame:
 
 def link_host_counts(features: DataFrame) -> DataFrame:
     """Inbound links and linking pages per target host, over all pages."""
-    links = features.select("url", F.explode("links").alias("link"))
+    # the outer form keeps Spark from testing the size first, which would build every list twice
+    links = features.select("url", F.explode_outer("links").alias("link")).where("link IS NOT NULL")
     return (
         links.select("url", U.host(F.col("link.url")).alias("target_host"), F.col("link.is_pdf").alias("is_pdf"))
         .where("target_host != ''")

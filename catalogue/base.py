@@ -49,9 +49,6 @@ def epoch(c: str | Column) -> Column:
     return F.floor(F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp")) / 1000000).cast("bigint")
 
 
-def micros(c: str) -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
-
 
 # Market names by nation key, so that nations behave like markets.
 MARKETS = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue.base import (
-    CITATION_ORDER, CITATION_ORDER_SQL, CITATIONS_SQL, CRAWLED_SQL, OWNED, citations, crawled, in_list, query, table,
+    CITATION_ORDER, CITATION_ORDER_SQL, CITATIONS_SQL, CRAWLED_SQL, OWNED, citations, crawled, query, table,
 )
 from catalogue.pages import TITLE_SQL
 from catalogue.texts import compact_sql

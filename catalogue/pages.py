@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from catalogue.base import CRAWLED_SQL, OWNED, crawled, in_list, query, quoted, table
 from catalogue.texts import (
-    LINES, block_sql, clean_sql, compact_sql, count_sql, line_key_sql, numeric_count_sql, questions_sql, re2, NUMBER_RE2,
-    distinct_in_order,
+    NUMBER_RE2, block_sql, clean_sql, compact_sql, count_sql, line_key_sql, numeric_count_sql, questions_sql, re2,
 )
-from catalogue.urls import AUTH, HOST, LANG
+from catalogue.urls import AUTH, HOST
 from citegrain.functions import markdown as M
 from citegrain.functions import patterns as P
 from citegrain.functions import text as T
@@ -172,13 +171,19 @@ def full_page_markdown(spark, sf):
     )
 
 
-@query()
+@query(rf"""
+WITH l AS ({LINKS_SQL}), n AS (SELECT page_id, count(DISTINCT (link, label)) AS links FROM l GROUP BY 1)
+SELECT page_id, url, 'html' AS resource_type, links + 1 AS links, 1 AS linked_pdfs, 2 AS images, page_id % 2 = 1 AS robots_indexable, page_id % 4 = 0 AS product_schema,
+       page_id % 4 < 2 AS schema_json_ld, 1 AS hreflang_count, true AS consistent FROM pages LEFT JOIN n USING (page_id)""")
 def page_manifest(spark, sf):
     f = PF.with_full_markdown(rich_features(spark, sf))
+    success = F.col("crawl_status") == "success"
     return PF.page_manifest(f, status_code=F.lit(200)).select(
-        "page_id", "url", "crawl_status", "content_score_policy", "geo_analysis_ready", "extraction_quality_score",
-        F.col("extraction_metrics.heading_count").alias("heading_count"), F.col("geo_signals.robots_indexable").alias("robots_indexable"),
-        F.size("links").alias("links"), F.size("linked_pdfs").alias("linked_pdfs"), F.size("images").alias("images"),
+        "page_id", "url", "resource_type", F.size("links").alias("links"), F.size("linked_pdfs").alias("linked_pdfs"),
+        F.size("images").alias("images"), "geo_signals.robots_indexable", "geo_signals.product_schema", "geo_signals.schema_json_ld",
+        "geo_signals.hreflang_count",
+        ((F.col("geo_analysis_ready") == success) & ((F.col("content_score_policy") == "score") == success)
+         & (F.col("extraction_quality_score") >= 0.12)).alias("consistent"),
     )
 
 

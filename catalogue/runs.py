@@ -7,8 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalogue.base import (
-    CRAWLED_SQL, EVENTS_SQL, MANIFESTS_SQL, READY_SQL, RECENCY_SQL, crawled, in_list, key_sql, manifests, micros, query,
-    quoted, status_events, table,
+    EVENTS_SQL, MANIFESTS_SQL, OWNED, READY_SQL, RECENCY_SQL, in_list, key_sql, manifests, query, status_events, table,
 )
 from catalogue.pages import ENRICHED_SQL, SPARSE_SQL, _sparse_pages
 from catalogue.urls import AUTH
@@ -411,8 +410,6 @@ def json_urls(spark, sf):
     ))
     docs = table(spark, sf, "pages").select("page_id", doc.alias("doc"))
     found = json_walks.collect_urls(docs, "doc", ("page_id",))
-    from catalogue.base import OWNED
-
     return found.select("page_id", "pos", "url", U.matches_any_domain(U.authority("url"), list(OWNED)).alias("is_owned"))
 
 
@@ -555,7 +552,15 @@ def partial_counts_stream(spark, sf):
     return latest.select("kind", "r.pages_requested", "r.pages_collected", "r.pages_weak", "r.pages_failed")
 
 
-@query()
+@query(f"""
+WITH w AS (SELECT epoch_us(max(ts)) // 1000 - 600000 AS mark FROM events),
+f AS (SELECT *, updated_us // 1000 AS ms, CASE WHEN stage LIKE 'auditor%' THEN 7200000 ELSE 3600000 END AS patience FROM ({FOLD_SQL})),
+d AS (SELECT run_id, ms, CASE WHEN status IN ('completed', 'failed') THEN 'terminal' WHEN stage = 'report_bundle_ready' THEN 'report_ready' WHEN error IS NOT NULL THEN 'failed'
+   WHEN ms + patience <= mark THEN 'stale' ELSE 'in_progress' END AS reason FROM f, w)
+SELECT run_id, reason = 'in_progress' AS active, reason, ms AS updated_ms FROM d""")
 def active_runs_stream(spark, sf):
+    """The last word of the stream on every run, after timers have fired."""
     events = status_events(spark, sf, event_stream(spark, sf))
-    return run_stream(spark, X.active_runs_stream(events), "append").select("run_id", "active", "reason", F.unix_micros("updated_at").alias("updated_us"))
+    out = run_stream(spark, X.active_runs_stream(events), "append")
+    last = out.groupBy("run_id").agg(F.max_by(F.struct("active", "reason", "updated_at"), "_batch").alias("r"))
+    return last.select("run_id", "r.active", "r.reason", F.floor(F.unix_micros("r.updated_at") / 1000).cast("bigint").alias("updated_ms"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citegrain.functions import url as U
-from citegrain.functions.text import clean_value, compact, text_or_empty
+from citegrain.functions.text import clean_value, text_or_empty
 from citegrain.operators.classify import citation_visibility, cited_source_type
 from citegrain.operators.frames import ensure_columns, first_n, first_wins
 from citegrain.operators.page_features import _first_by_key
@@ -20,10 +20,6 @@ DEFAULT_TYPE = "external_citation"
 TOP = 3
 MARKDOWN_CHARS = 8000
 
-REFERENCE = (
-    "struct<rank:bigint,title:string,url:string,source_domain:string,source_name:string,"
-    "snippet:string,source_type:string>"
-)
 # Alias fields a raw reference may carry; ``from_json`` fills what is there.
 RAW_REFERENCE = (
     "struct<rank:bigint,title:string,url:string,source_url:string,link:string,source_domain:string,"

@@ -45,7 +45,7 @@ def file_status(status, attempts: Column | None = None, http_code: Column | None
     )
 
 
-def page_types(pages_cols_present: bool = True) -> Column:
+def page_types() -> Column:
     """Distinct non-empty schema types of a page, first-seen order."""
     empty = F.array().cast("array<string>")
     both = F.concat(F.coalesce("schema_types", empty), F.coalesce("schema_types_detected", empty))

@@ -7,7 +7,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from citegrain.functions import markdown as M
 from citegrain.functions import url as U
-from citegrain.functions.text import compact, compact_block, let, text_or_empty, word_count
+from citegrain.functions.text import compact, compact_block, let, strip_ws, text_or_empty
 
 _LINK = "array<struct<url:string,text:string>>"
 
@@ -149,14 +149,10 @@ def page_features(pages: DataFrame, url: str = "url", html: str = "html", keys=(
     headings = F.transform(
         F.col("headings"), lambda h: F.struct(h["level"].alias("level"), compact(h["text"]).alias("text"))
     )
-    anchors = F.slice(
-        F.transform(
-            F.col("anchors"),
-            lambda a: F.struct(a["url"].alias("url"), F.left(compact(a["text"]), F.lit(250)).alias("text")),
-        ),
-        1, MAX_LINKS,
+    anchors = F.transform(
+        F.col("anchors"), lambda a: F.struct(a["url"].alias("url"), F.left(compact(a["text"]), F.lit(250)).alias("text"))
     )
-    p = p.select(
+    return p.select(
         *[k for k in keys if k != "url"],
         "url",
         compact_block("title").alias("title"),
@@ -169,17 +165,15 @@ def page_features(pages: DataFrame, url: str = "url", html: str = "html", keys=(
         F.col("canonical").alias("canonical_url"),
         F.slice("hreflang", 1, MAX_HREFLANG).alias("hreflang"),
         F.slice(headings, 1, MAX_HEADINGS).alias("headings"),
-        anchors.alias("anchors"),
-        F.slice(F.filter(F.transform(F.col("anchors"),
-                lambda a: F.struct(a["url"].alias("url"), F.left(compact(a["text"]), F.lit(250)).alias("text"))),
-                lambda a: has_pdf(a["url"])), 1, MAX_PDF_LINKS).alias("anchor_pdfs"),
+        F.slice(anchors, 1, MAX_LINKS).alias("anchors"),
+        F.slice(F.filter(anchors, lambda a: has_pdf(a["url"])), 1, MAX_PDF_LINKS).alias("anchor_pdfs"),
         F.slice(F.transform("ld_blocks", lambda b: F.left(b, F.lit(MAX_LD_BLOCK_CHARS))), 1, MAX_LD_BLOCKS).alias("schema_blocks"),
         F.size("ld_blocks").alias("json_ld_block_count"),
         F.col("ld_valid").alias("json_ld_valid_count"),
         (F.size("ld_blocks") > 0).alias("json_ld_present"),
         linked_data_types_by_pattern(F.transform("ld_blocks", lambda b: F.left(b, F.lit(MAX_LD_BLOCK_CHARS)))).alias("schema_types_detected"),
         F.slice(F.array_distinct("ld_types"), 1, MAX_TYPES).alias("schema_types"),
-        compact_edges(body).alias("text"),
+        strip_ws(body).alias("text"),
         compact_block("header_text").alias("header_text"),
         compact_block("main_text").alias("main_text"),
         compact_block("footer_text").alias("footer_text"),
@@ -189,13 +183,6 @@ def page_features(pages: DataFrame, url: str = "url", html: str = "html", keys=(
         F.col("tables"),
         "parse_error",
     )
-    return p
-
-
-def compact_edges(c: Column) -> Column:
-    from citegrain.functions.text import strip_ws
-
-    return strip_ws(c)
 
 
 def longer_text(markdown: Column, text: Column) -> Column:

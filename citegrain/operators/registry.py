@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from citegrain.functions import url as U
 from citegrain.functions.text import text_or_empty
-from citegrain.operators.frames import ensure_columns, first_n, first_wins
+from citegrain.operators.frames import ensure_columns, first_n
 
 # Status words.
 SUCCESS_STATES = ("success", "successful", "completed", "succeeded", "ready")

@@ -34,6 +34,11 @@ def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def constants(values) -> Column:
+    """Fixed strings as one array literal; Spark folds the split once, at planning time."""
+    return F.split(F.lit("\x01".join(values)), "\x01")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -123,19 +128,23 @@ def match_tokens(c: Column | str) -> Column:
 def keyword_tokens(*columns: Column | str, extra_stop=()) -> Column:
     """Topic tokens in order, duplicates kept, stop words and single characters dropped."""
     joined = F.lower(F.concat_ws(" ", *[text_or_empty(c) for c in columns]))
-    stop = F.array(*[F.lit(w) for w in (*STOP_WORDS, *[s.strip().lower() for s in extra_stop if s and s.strip()])])
+    stop = constants((*STOP_WORDS, *[s.strip().lower() for s in extra_stop if s and s.strip()]))
     found = F.regexp_extract_all(joined, F.lit(f"[{P.TOKEN_CHARS}{P.PROLONGED_MARK}]+"), F.lit(0))
     return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
 
 
 def terms_present(c: Column | str, terms) -> Column:
     """How many of the terms occur at least once, ignoring case."""
-    low = F.lower(text_or_empty(c))
-    hits = [F.contains(low, F.lit(t.lower())).cast("int") for t in terms if t]
-    total = F.lit(0)
-    for hit in hits:
-        total = total + hit
-    return total
+    wanted = [t.lower() for t in terms if t]
+    if not wanted:
+        return F.lit(0)
+    count = lambda low: F.size(F.filter(constants(wanted), lambda t: F.contains(low, t)))
+    return let(F.lower(text_or_empty(c)), count)
+
+
+def any_term(low: Column, terms) -> Column:
+    """Whether a lower-cased text holds one of the terms; stops at the first found."""
+    return F.exists(constants(terms), lambda t: F.contains(low, t))
 
 
 def occurrences(low: Column, term: str) -> Column:

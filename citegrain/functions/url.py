@@ -199,7 +199,7 @@ def fallback_urls(domain: Column | str) -> Column:
 def market_region(market: Column | str) -> Column:
     """Two-letter search region of a market name; two letters pass through."""
     key = F.lower(strip_ws(_text(market)))
-    table = F.create_map(*[F.lit(x) for pair in MARKET_REGIONS.items() for x in pair])
+    table = F.str_to_map(F.lit("|".join(f"{k}={v}" for k, v in MARKET_REGIONS.items())), F.lit(r"\|"), F.lit("="))
     return F.when(key.rlike(r"^\p{L}{2}$"), key).otherwise(
         F.coalesce(F.try_element_at(table, key), F.lit(DEFAULT_REGION))
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from citegrain.functions import url as U
-from citegrain.functions.text import keyword_tokens, text_or_empty
+from citegrain.functions.text import any_term, constants, keyword_tokens, text_or_empty
 
 # Fixed patterns: source class by host, name and title; the first that matches wins.
 SOURCE_PATTERNS = (
@@ -73,14 +73,11 @@ class SourceDomains:
 
 
 def _any_of(text: Column, fragments) -> Column:
-    out = F.lit(False)
-    for fragment in fragments:
-        out = out | F.contains(text, F.lit(fragment))
-    return out
+    return any_term(text, fragments)
 
 
 def _has_token(tokens: Column, words) -> Column:
-    return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words])) if words else F.lit(False)
+    return F.arrays_overlap(tokens, constants(words)) if words else F.lit(False)
 
 
 def source_class(url, source_name=None, title=None, domains: SourceDomains = SourceDomains()) -> Column:

@@ -285,6 +285,7 @@ def page_manifest(features: DataFrame, status_code: Column, static_code: Column
             canonical=F.col("canonical_url"), description=F.col("description"), robots=F.col("robots_meta"),
             hreflang_count=F.size("hreflang"), pdf_count=F.size("_pdfs"), dates=F.col("_dates"),
             header_chars=F.col("content_regions.header_chars"), footer_chars=F.col("content_regions.footer_chars"),
+            metrics=F.col("extraction_metrics"),
         ),
     })
     return measured.withColumns({

@@ -31,7 +31,7 @@ _MANIFEST = {
     "run_id": "string", "brand": "string", "market": "string", "domain": "string", "stage": "string",
     "status": "string", "dashboard_ready": "boolean", "created_at_epoch": "bigint",
     "completed_at_epoch": "bigint", "query_count": "bigint", "owned_pages_scoreable": "bigint",
-    "owned_query_mapped_unique": "bigint",
+    "owned_query_mapped_unique": "bigint", "query_portfolio_id": "string", "ai_hygiene": "string",
 }
 
 
@@ -133,11 +133,16 @@ def history(manifests: DataFrame, statuses: DataFrame, brand=None, market=None,
         statuses, run_id="string", brand="string", market="string", domain="string", stage="string", status="string",
         created_at_epoch="bigint", started_at_epoch="bigint", completed_at_epoch="bigint", query_count="bigint",
         owned_pages_scoreable="bigint", owned_query_mapped_unique="bigint", crawl_success_rate="double",
+        owned_inventory_selected="bigint", owned_url_count="bigint", external_pages_scoreable="bigint",
+        external_citation_count="bigint", serpapi_citation_count="bigint", serpapi_query_count="bigint", serpapi_rows="bigint",
+        run_serpapi="boolean", crawl_owned="boolean", owned_pages_attempted="bigint", crawl_external="boolean",
+        external_pages_attempted="bigint", query_portfolio_id="string", source_run_id="string", ai_hygiene="string",
     )
     s = s.select("run_id", *[F.col(c).alias(f"s_{c}") for c in s.columns if c != "run_id"])
     j = newest.join(s, "run_id", "left")
     given = lambda first, second: F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit("")))
     number = lambda first, second: F.coalesce(F.nullif(first, F.lit(0)), F.nullif(second, F.lit(0)))
+    asked = lambda flag, tried: F.coalesce(F.col(flag), F.lit(False)) | (F.coalesce(tried, F.lit(0)) > 0)
     return j.select(
         "run_id",
         given("brand", "s_brand").alias("brand"), given("market", "s_market").alias("market"),
@@ -149,7 +154,17 @@ def history(manifests: DataFrame, statuses: DataFrame, brand=None, market=None,
         number("s_query_count", "query_count").alias("query_count"),
         number("s_owned_pages_scoreable", "owned_pages_scoreable").alias("owned_pages_scoreable"),
         number("s_owned_query_mapped_unique", "owned_query_mapped_unique").alias("owned_query_mapped_unique"),
+        number("s_owned_inventory_selected", "s_owned_url_count").alias("owned_inventory_selected"),
+        F.col("s_external_pages_scoreable").alias("external_pages_scoreable"),
+        number("s_external_citation_count", "s_serpapi_citation_count").alias("citation_count"),
+        F.coalesce("s_run_serpapi", F.lit(False)).alias("serpapi_enabled"),
+        number("s_serpapi_query_count", "s_serpapi_rows").alias("serpapi_query_count"),
+        asked("s_crawl_owned", "s_owned_pages_attempted").alias("crawl_owned"),
+        asked("s_crawl_external", "s_external_pages_attempted").alias("crawl_external"),
         F.col("s_crawl_success_rate").alias("crawl_success_rate"),
+        given("s_query_portfolio_id", "query_portfolio_id").alias("portfolio_id"),
+        F.col("s_source_run_id").alias("source_run_id"),
+        given("ai_hygiene", "s_ai_hygiene").alias("ai_hygiene"),
         F.concat(
             F.coalesce(given("brand", "s_brand"), F.lit("Brand")), F.lit(" / "),
             F.coalesce(given("market", "s_market"), F.lit("Market")), F.lit(" — "), F.col("run_id"),

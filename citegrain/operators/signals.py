@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from citegrain.functions import url as U
 from citegrain.functions.markdown import count_of, markdown_metrics
-from citegrain.functions.text import compact_block, let
+from citegrain.functions.text import any_term, compact_block, let
 
 # Term families, in lower case.
 CITATION_TERMS = (
@@ -56,8 +56,12 @@ def evidence_signals(
     dates: Column | None = None,
     header_chars: Column | None = None,
     footer_chars: Column | None = None,
+    metrics: Column | None = None,
 ) -> Column:
-    """Struct of 36 signals; page facts that are not given count as absent."""
+    """Struct of 36 signals; page facts that are not given count as absent.
+
+    ``metrics`` are the ``markdown_metrics`` of the text where they are already at hand.
+    """
     or_else = lambda c, default: F.coalesce(c, F.lit(default)) if c is not None else F.lit(default)
     empty = F.array().cast(_NO_TYPES)
     types = F.array_distinct(F.coalesce(schema_types, empty)) if schema_types is not None else empty
@@ -113,7 +117,7 @@ def evidence_signals(
 
     def measure(text: Column) -> Column:
         return let(
-            F.struct(text.alias("text"), F.lower(text).alias("low"), markdown_metrics(text).alias("metrics")),
+            F.struct(text.alias("text"), F.lower(text).alias("low"), (markdown_metrics(text) if metrics is None else metrics).alias("metrics")),
             lambda r: F.struct(
                 r["text"].alias("text"), r["low"].alias("low"), r["metrics"].alias("metrics"),
                 any_term(r["low"], DOMAIN_TERMS).alias("domain"),
@@ -124,11 +128,3 @@ def evidence_signals(
         )
 
     return let(let(compact_block(markdown), measure), build)
-
-
-def any_term(low: Column, terms) -> Column:
-    """Whether a lower-cased text holds one of the terms; stops at the first found."""
-    out = F.lit(False)
-    for term in terms:
-        out = out | F.contains(low, F.lit(term))
-    return out

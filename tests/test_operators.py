@@ -207,6 +207,10 @@ def test_running_newer_run_does_not_replace_completed(spark):
     assert registry.scan_latest(m, "acme", "JAPAN", "https://any.example").first().run_id == "old"
     none = spark.createDataFrame([], "run_id string, stage string")
     assert registry.history(m, none, "", "all", limit=0).count() == 1
+    statuses = spark.createDataFrame([("old", "done", 7, True)], "run_id string, stage string, serpapi_rows bigint, crawl_owned boolean")
+    row = registry.history(m, statuses).first()
+    assert (row.stage, row.status, row.serpapi_query_count, row.crawl_owned, row.crawl_external) == ("done", "completed", 7, True, False)
+    assert row.label == "Acme / Japan — old"
 
 
 def test_config_upsert_and_order(spark):

@@ -57,12 +57,17 @@ def fill_from_hints(pages: DataFrame, candidates: DataFrame, columns, run: str =
     return pages.withColumn("_u", key).join(renamed, [run, "_u"], "left").drop("_u")
 
 
-def _empty(c: Column, kind: str) -> Column:
+# Zero means "no score yet" here; other numbers count as present when zero.
+ZERO_IS_EMPTY = ("current_geo_score_120",)
+
+
+def _empty(name: str, kind: str) -> Column:
+    c = F.col(name)
     if kind == "string":
         return c.isNull() | (c == "")
     if kind.startswith(("array", "map")):
         return c.isNull() | (F.size(c) == 0)
-    if kind in ("double", "float", "int", "bigint"):
+    if name in ZERO_IS_EMPTY:
         return c.isNull() | (c == 0)
     return c.isNull()
 
@@ -80,7 +85,7 @@ def merge_report_rows(*layers: DataFrame, run: str = "run_id", key: str = "url_k
     rows = rows.where(F.col(key) != "")
     fields = [f for f in rows.schema.fields if f.name not in (run, key, "_prio", "pos", "query_mapped")]
     picks = [
-        F.min_by(F.col(f.name), F.when(~_empty(F.col(f.name), f.dataType.simpleString()), F.col("_prio"))).alias(f.name)
+        F.min_by(F.col(f.name), F.when(~_empty(f.name, f.dataType.simpleString()), F.col("_prio"))).alias(f.name)
         for f in fields
     ]
     marks = [F.coalesce(F.bool_or("query_mapped"), F.lit(False)).alias("query_mapped")] if "query_mapped" in rows.columns else []

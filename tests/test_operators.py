@@ -94,6 +94,14 @@ def test_report_layers_fill_fields(spark):
     assert rows["https://a/1"].geo_dimensions == {"content_clarity": 4} and rows["https://a/2"].current_geo_score_120 == 5.0
 
 
+def test_zero_counts_are_values_but_zero_scores_are_not(spark):
+    schema = "run_id string, pos int, url_key string, current_geo_score_120 double, json_ld_block_count int, query_mapped boolean"
+    first = spark.createDataFrame([("r", 0, "u", 0.0, 0, False)], schema)
+    second = spark.createDataFrame([("r", 0, "u", 7.0, 3, True)], schema)
+    row = merging.merge_report_rows(first, second).first()
+    assert (row.current_geo_score_120, row.json_ld_block_count, row.query_mapped) == (7.0, 0, True)
+
+
 def brute_force(queries, urls, k, tokens):
     out = {}
     for run, qpos, text in queries:

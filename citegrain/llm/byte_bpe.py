@@ -22,9 +22,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from citegrain.llm.common import blocks, to_arrow
+from citegrain.llm.common import Numbers, blocks, gather, to_arrow
 
-MEMORY_CHUNKS = 600_000
+MEMORY_CHUNKS = 1_000_000
 CORPUS_BYTES = 16_000_000
 
 
@@ -166,14 +166,6 @@ def replay(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.
     return token[:total][alive], np.bincount(piece_of[alive], minlength=len(pieces))
 
 
-class Numbers(dict):
-    """Numbers chunks in the order in which they are first met."""
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = number = len(self)
-        return number
-
-
 class Encoder:
     """Splits texts and encodes them; remembers the chunks it has met.
 
@@ -219,14 +211,8 @@ class Encoder:
         chunk_of = np.repeat(np.arange(len(pieces)), [len(found) for found in pieces])
         counts = np.bincount(chunk_of, weights=counts, minlength=len(pieces)).astype(np.int64)
         self.ids, self.counts = np.concatenate([self.ids, ids.astype(np.uint32)]), np.concatenate([self.counts, counts])
-        starts = np.concatenate([[0], np.cumsum(self.counts)])
-        out = []
-        for numbers in split:
-            n = self.counts[numbers]
-            ends = np.cumsum(n)
-            shift = np.repeat(starts[numbers] - (ends - n), n)
-            out.append(self.ids[np.arange(len(shift)) + shift])
-        return out
+        starts = np.cumsum(self.counts) - self.counts
+        return [gather(self.ids, self.counts, numbers, starts) for numbers in split]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

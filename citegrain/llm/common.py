@@ -89,3 +89,19 @@ def mixed(values: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+class Numbers(dict):
+    """Numbers keys in the order in which they are first met."""
+
+    def __missing__(self, key: object) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def gather(flat: np.ndarray, counts: np.ndarray, numbers: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """The runs of ``flat`` with these numbers, one after the other."""
+    starts = np.cumsum(counts) - counts if starts is None else starts
+    n = counts[numbers]
+    shift = np.repeat(starts[numbers] - (np.cumsum(n) - n), n)
+    return flat[np.arange(len(shift)) + shift]

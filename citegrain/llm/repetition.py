@@ -25,6 +25,7 @@ MAX_REPEAT_PERCENT = 30
 MAX_COVERAGE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 MAX_LINE_COVERAGE = 0.20
 
+_SALT = np.uint64(1 << 60)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,7 +46,8 @@ def covered_words(numbers: np.ndarray, doc_of: np.ndarray, n: int) -> np.ndarray
         rolling = numbers[:size].copy()
         for step in range(1, n):
             rolling = rolling * _FACTOR + numbers[step : step + size]
-        rolling = mixed(rolling + mixed(doc_of[:size].astype(np.uint64)))
+        # the salt must differ from any word's number, or a word and a salt could stand in for each other
+        rolling = mixed(rolling ^ mixed(doc_of[:size].astype(np.uint64) + _SALT))
     starts = np.flatnonzero(doc_of[:size] == doc_of[n - 1 :])
     order = starts[np.argsort(rolling[starts], kind="stable")]
     same = rolling[order[1:]] == rolling[order[:-1]]

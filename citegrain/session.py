@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,21 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once per session, so that workers import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_citegrain_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="citegrain-")) / "citegrain.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder in ("citegrain", "catalogue"):
+            for path in sorted((root / folder).rglob("*.py")):
+                out.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    context._citegrain_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only on a local master."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

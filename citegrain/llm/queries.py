@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citegrain.llm import byte_bpe, language_filters, repetition, token_files
+from citegrain.llm import byte_bpe, language_filters, mixing, repetition, sharding, token_files, url_templates
 from citegrain.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,8 @@ ORACLE: dict[str, str] = {}
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_OF_DOCUMENT = 1
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+SHARDS = 16
 
 
 def query(fn):
@@ -38,6 +40,18 @@ def op1_language_filters(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin")
 
 
+@query
+def op2_url_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict on every page's URL, by rule or by template."""
+    return url_templates.judge(read_table(spark, sf, "pages"), URL_RULES)
+
+
+@query
+def op3_kd_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.shard(read_table(spark, sf, "documents"), SHARDS)
+
+
 @query
 def op7_repetition_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Repetition counts and verdict of every document."""
@@ -54,3 +68,56 @@ def op8_token_files(spark: SparkSession, sf: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Round trip of every document through byte-level BPE."""
     return byte_bpe.digests(read_table(spark, sf, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+@query
+def op10_pareto_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(read_table(spark, sf, "documents"))
+
+
+ORACLE["op10_pareto_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+lv AS (SELECT *, length(bin(size)) AS level, 1.0::DOUBLE + length(bin(size)) / 16.0::DOUBLE AS lw FROM d),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         ([5.0, 2.0, 1.0]::DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM lv GROUP BY source),
+f AS (
+  SELECT *, row_number() OVER o AS pos,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+  FROM s WINDOW o AS (ORDER BY 2 * source_size / w, source NULLS LAST)),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN 2 * source_size <= w * share THEN 2 * source_size::DOUBLE
+              ELSE w * (min_by(share, pos) FILTER (WHERE 2 * source_size > w * share) OVER ()) END AS target
+  FROM f),
+l AS (
+  SELECT l.source, level, lw, level_size, source_size, target,
+         coalesce((target - 2 * coalesce(sum(level_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / nullif(sum(level_size * lw) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0), 0) AS factor
+  FROM (SELECT source, level, lw, sum(size)::BIGINT AS level_size FROM lv GROUP BY ALL) l JOIN t ON l.source IS NOT DISTINCT FROM t.source
+  WINDOW o AS (PARTITION BY l.source ORDER BY level DESC)),
+c AS (
+  SELECT *, CASE WHEN factor * lw >= 2 THEN 2.0
+                 ELSE least(2.0, greatest(0.0, (max_by(factor, level) FILTER (WHERE factor * lw < 2) OVER (PARTITION BY source)) * lw)) END AS copies
+  FROM l),
+p AS (
+  SELECT *, floor(copies) AS certain, copies - floor(copies) AS pi,
+         target - sum(floor(copies) * level_size) OVER (PARTITION BY source) AS open
+  FROM c),
+r AS (
+  SELECT doc_id, lv.source, size, source_size, target, certain, pi, open,
+         CASE WHEN pi > 0 THEN u * (1 - pi) / (u * (1 - pi) + (1 - u) * pi) END AS t
+  FROM lv JOIN p ON lv.source IS NOT DISTINCT FROM p.source AND lv.level = p.level),
+k AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY t) AS upto, sum(size) OVER (PARTITION BY source, t) AS peers
+  FROM r WHERE pi > 0 AND size > 0)
+SELECT doc_id, size, source_size, target, (size * (certain + CASE WHEN 2 * upto - peers <= 2 * open THEN 1 ELSE 0 END))::BIGINT AS taken FROM k
+UNION ALL
+SELECT doc_id, size, source_size, target, (size * certain)::BIGINT FROM r WHERE NOT (pi > 0 AND size > 0)
+"""

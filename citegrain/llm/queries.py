@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citegrain.llm import byte_bpe, language_filters, mixing, repetition, sharding, token_files, url_templates
+from citegrain.llm import byte_bpe, jaccard_join, language_filters, mixing, repetition, sharding, token_files, url_templates
 from citegrain.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,12 @@ def op3_kd_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf, "documents"), SHARDS)
 
 
+@query
+def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Group of near copies and number of links of every document."""
+    return jaccard_join.jaccard_join(read_table(spark, sf, "documents"))
+
+
 @query
 def op7_repetition_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Repetition counts and verdict of every document."""

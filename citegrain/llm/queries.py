@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citegrain.llm import byte_bpe, jaccard_join, language_filters, mixing, repetition, sharding, token_files, url_templates
+from citegrain.llm import byte_bpe, jaccard_join, language_filters, mixing, repetition, sharding, suffix_dedup, token_files, url_templates
 from citegrain.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,12 @@ def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.jaccard_join(read_table(spark, sf, "documents"))
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of every document that lie in strings found elsewhere too."""
+    return suffix_dedup.report(read_table(spark, sf, "documents"))
+
+
 @query
 def op7_repetition_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Repetition counts and verdict of every document."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citegrain.llm import byte_bpe, jaccard_join, language_filters, mixing, repetition, sharding, suffix_dedup, token_files, url_templates
+from citegrain.llm import bm25_search, byte_bpe, jaccard_join, language_filters, mixing, repetition, sharding, suffix_dedup, token_files, url_templates
 from citegrain.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,7 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_OF_DOCUMENT = 1
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 SHARDS = 16
+TOP_K = 10
 
 
 def query(fn):
@@ -64,6 +65,12 @@ def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.report(read_table(spark, sf, "documents"))
 
 
+@query
+def op6_bm25_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best other documents for every document whose id is divisible by 20, its whole text as query."""
+    return bm25_search.search(read_table(spark, sf, "documents"), F.col("doc_id") % 20 == 0, TOP_K)
+
+
 @query
 def op7_repetition_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Repetition counts and verdict of every document."""
@@ -133,3 +140,21 @@ SELECT doc_id, size, source_size, target, (size * (certain + CASE WHEN 2 * upto
 UNION ALL
 SELECT doc_id, size, source_size, target, (size * certain)::BIGINT FROM r WHERE NOT (pi > 0 AND size > 0)
 """
+
+ORACLE["op6_bm25_search"] = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM w GROUP BY ALL),
+l AS (SELECT doc_id, count(*)::DOUBLE AS n_words FROM w GROUP BY ALL),
+g AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n_docs, (SELECT count(*) FROM w)::DOUBLE / (SELECT count(*) FROM documents) AS mean_words),
+f AS (SELECT term, floor(4096.0::DOUBLE * ln(1.0::DOUBLE + (n_docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)))::BIGINT AS idf FROM p, g GROUP BY term, n_docs),
+x AS (
+  SELECT p.doc_id, term, floor(4096.0::DOUBLE * (tf * (1.2::DOUBLE + 1.0::DOUBLE)
+           / (tf + 1.2::DOUBLE * (1.0::DOUBLE - 0.75::DOUBLE + 0.75::DOUBLE * n_words / mean_words))))::BIGINT AS weight
+  FROM p JOIN l USING (doc_id), g),
+s AS (
+  SELECT q.doc_id AS query_id, x.doc_id, sum(x.weight * f.idf)::BIGINT AS score
+  FROM p q JOIN x USING (term) JOIN f USING (term) WHERE q.doc_id % 20 = 0 AND q.doc_id <> x.doc_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score / 16777216.0::DOUBLE AS score FROM r WHERE rank <= 10
+"""

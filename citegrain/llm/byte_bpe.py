@@ -22,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from citegrain.llm.common import Numbers, blocks, gather, to_arrow
+from citegrain.llm.common import Numbers, blocks, gather, per_text, to_arrow
 
-MEMORY_CHUNKS = 1_000_000
-CORPUS_BYTES = 16_000_000
+MEMORY_CHUNKS = 300_000
+CORPUS_BYTES = 4_000_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -61,7 +61,7 @@ class Vocabulary:
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's merge, ``size`` where there is none; a negative id never merges."""
-        keys = left * self.size + right
+        keys = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         ok = (self.pair_keys[at] == keys) & (left >= 0) & (right >= 0)
         return np.where(ok, self.pair_ranks[at], self.size)
@@ -86,10 +86,10 @@ def replay(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.
     if not total:
         return np.zeros(0, np.int64), sizes
     none = vocabulary.size
-    piece_of = np.repeat(np.arange(len(pieces)), sizes)
+    piece_of = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
     # one slot more at the end stands for "no neighbour"
-    token = np.append(vocabulary.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)], -1)
-    after = np.arange(1, total + 2)
+    token = np.append(vocabulary.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)], -1).astype(np.int32)
+    after = np.arange(1, total + 2, dtype=np.int32)
     after[total] = total
     after[:total][np.append(piece_of[1:] != piece_of[:-1], True)] = total
     before = np.full(total + 1, total)
@@ -281,12 +281,24 @@ def decoder(path: str) -> Vocabulary:
     return _decoders[path]
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Round trip of each document as digests: number of ids, SHA-256 of the ids and of the decoded bytes."""
-    decoded = decode(encode(docs, path, pattern, id_col, text_col), path, id_col)
-    return decoded.select(
-        id_col, "n_tokens", F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+) -> DataFrame:
+    """Number of ids of each document, SHA-256 of the ids and of the bytes decoded from them, and the ids if asked for.
+
+    One worker encodes a text and decodes the ids, so that these need not travel.
+    """
+
+    def compute(texts):
+        tool = encoder(path, pattern)
+        ids = tool.encode([(t or b"").decode() for t in texts])
+        out = {
+            "n_tokens": [len(found) for found in ids], "ids_sha256": list(map(ids_digest, ids)),
+            "decoded_sha256": [hashlib.sha256(tool.vocabulary.decode(found.astype(np.int64))).hexdigest() for found in ids],
+        }
+        return out | ({"ids": [found.astype(np.int32) for found in ids]} if with_ids else {})
+
+    return per_text(docs, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, compute)
 
 
 def ids_digest(ids: np.ndarray) -> str:

@@ -380,3 +380,31 @@ def jaccard_join(
         id_col, F.coalesce("class_id", F.col(id_col)).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"), F.coalesce("copy_of", F.col(id_col)).alias("copy_of"),
     )
+
+
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, chunk: int = CHUNK,
+) -> DataFrame:
+    """The documents without their near copies: of each group the one with the smallest id stays, with its own columns.
+
+    Documents without shingles belong to no group and all stay.
+    """
+    classes = stored(classes_of(stored(named(docs, id_col, text_col), "minhash")), "classes")
+    linked = linked_classes(docs, classes, id_col, text_col, threshold, tolerance, chunk)
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("name"))
+    ranked = linked.select("name", "root").join(classes.select("name", "id"), "name")
+    leaders = ranked.groupBy("root").agg(F.min_by("name", order).alias("leader"))
+    gone = ranked.join(leaders, "root").where("name <> leader").select(F.col("name").alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    schema = T.StructType([rows.schema["__doc"], rows.schema["__id"], T.StructField("__name", T.StringType())])
+
+    def work(batches):
+        for batch in batches:
+            sets = [shingles(t) for t in byte_values(batch.column(2))]
+            names = pa.array([set_name(s) if len(s) else None for s in sets], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names], names=["__doc", "__id", "__name"])
+
+    rows = rows.mapInArrow(work, schema)
+    left = rows.where("__name is not null").join(gone, F.col("__name") == F.col("gone"), "left_anti")
+    first = left.groupBy("__name").agg(F.min_by("__doc", F.struct(F.col("__id").isNull(), F.col("__id"))).alias("__doc"))
+    return first.select("__doc").unionByName(rows.where("__name is null").select("__doc")).select("__doc.*")

@@ -19,13 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from citegrain.llm.common import blocks, mixed, per_text
 
 UNDETERMINED = "und"
 GRAM_LENGTHS = (3, 4)
-# Bounds of what is learned: labelled documents per language, and n-grams per language and length.
+# Bounds of what is learned: labelled documents per language (in expectation), and n-grams per language and length.
 SAMPLE_DOCS = 2000
 GRAMS_PER_LANGUAGE = 6000
 MIN_DOCUMENTS = 3
@@ -121,17 +121,17 @@ def learn(
 ) -> Filter:
     """Learn a filter from the rows for which the column ``labelled`` holds and language and text are there.
 
-    At most ``sample_docs`` documents of a language are used, those with the smallest hashes of their ids; the driver
-    gets at most ``grams_per_language`` n-gram hashes per language and length.
+    About ``sample_docs`` documents of a language are used (all, if it has fewer), those with the smallest hashes of
+    their ids; the driver gets a number per language and at most ``grams_per_language`` n-gram hashes per language and length.
     """
-    from pyspark.sql import Window
-
     rows = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
-    # a language's share of the space of hashes that holds the sample is found before any text moves
-    narrow = Window.partitionBy("lang").orderBy("h")
-    limit = rows.select("lang", "h").withColumn("r", F.row_number().over(narrow)).where(F.col("r") <= sample_docs).groupBy("lang").agg(F.max("h").alias("top"))
-    sample = rows.join(F.broadcast(limit), "lang").where(F.col("h") <= F.col("top")).select("lang", "text")
+    # a language's number of documents gives the part of the space of hashes that holds its sample
+    shares = [x for r in rows.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(sample_docs / r["count"]))]
+    if not shares:
+        return build([], {})
+    place = F.col("h") / F.lit(2.0**64) + 0.5
+    sample = rows.where(place < F.element_at(F.create_map(*shares), F.col("lang"))).select("lang", "text")
 
     def count(batches):
         for batch in batches:

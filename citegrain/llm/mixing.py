@@ -121,7 +121,7 @@ def plan(sized: DataFrame, weights=WEIGHTS, percent: int = PERCENT, cap: int = C
     last = joined(second, cut2.select("source", F.col("at").alias("at2"), F.col("before").alias("before2")), "source").where(F.col("sub") == F.col("at2"))
     peers = last.groupBy("source", "t").agg(F.sum("size").alias("size"), F.first("open").alias("open"), F.first("before2").alias("before2"))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("t"))
-    single = peers.where(F.lit(True)).withColumn("upto", upto + F.col("before2")).where(2 * F.col("upto") - F.col("size") <= 2 * F.col("open"))
+    single = peers.withColumn("upto", upto + F.col("before2")).where(2 * F.col("upto") - F.col("size") <= 2 * F.col("open"))
     single = single.groupBy("source").agg(F.max("t").alias("single_t"))
     # without a single rank taken, everything below the crossing cell of the cell is
     edge1 = cut.select("source", "at")
@@ -159,9 +159,11 @@ def taken_copies() -> Column:
     return F.col("certain") + F.when(F.coalesce(sampled, F.lit(False)), 1).otherwise(0)
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
-    """Sizes, levels and random numbers of documents beside the columns to keep."""
-    rows = docs.select(*keep, F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), uniform(id_col, text_col).alias("u"))
+def sized(docs: DataFrame, carried: Column, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Source, size, level and random number of documents beside one carried column, ``__kept``."""
+    rows = docs.select(
+        carried.alias("__kept"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), uniform(id_col, text_col).alias("u"),
+    )
     return rows.withColumn("level", level(F.col("size")))
 
 
@@ -169,21 +171,18 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, percent: int = PERCENT, cap: int = CAP,
 ) -> DataFrame:
     """Size, source size, target and taken words of each document."""
-    rows = stored(sized(docs, id_col, text_col, source_col, [F.col(id_col).alias("__id")]), "mix-sizes")
+    rows = stored(sized(docs, F.col(id_col), id_col, text_col, source_col), "mix-sizes")
     found = joined(rows, plan(rows, weights, percent, cap), "source", "level")
     taken = F.col("size") * taken_copies()
-    return found.select(F.col("__id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return found.select(F.col("__kept").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, percent: int = PERCENT, cap: int = CAP,
 ) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns."""
-    rows = stored(sized(docs, id_col, text_col, source_col, []), "mix-sizes")
-    planned = plan(rows, weights, percent, cap)
-    whole = sized(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")).select("__doc", "__doc.*"), id_col, text_col, source_col, ["__doc"]) \
-        if not {"source", "size", "u", "level", "__doc"} & set(docs.columns) - {source_col} else None
-    if whole is None:
-        raise ValueError("columns named size, u, level, source or __doc clash")
-    found = joined(whole, planned, "source", "level").withColumn("__copies", taken_copies())
-    return found.where("__copies > 0").select(F.explode(F.array_repeat("__doc", F.col("__copies").cast("int"))).alias("d")).select("d.*")
+    """The mix itself: each document as often as it is taken, with its own columns. Documents without words go."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stored(sized(docs, F.lit(None).cast("string"), id_col, text_col, source_col).drop("__kept"), "mix-sizes")
+    found = joined(sized(docs, whole, id_col, text_col, source_col), plan(rows, weights, percent, cap), "source", "level")
+    copies = F.when(F.col("size") > 0, taken_copies()).otherwise(0).cast("int")
+    return found.select(F.explode(F.array_repeat("__kept", copies)).alias("__kept")).select("__kept.*")

@@ -86,7 +86,7 @@ def op8_token_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Round trip of every document through byte-level BPE."""
-    return byte_bpe.digests(read_table(spark, sf, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(read_table(spark, sf, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
 @query

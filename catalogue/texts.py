@@ -338,4 +338,4 @@ def redact_json(spark, sf):
         F.struct(F.col("event_type").alias("type"), F.col("props").alias("password")).alias("event"),
         F.array(F.struct(F.lit("t").alias("my_access_token_x"), F.col("event_id").alias("k"))).alias("list"),
     )).alias("doc"))
-    return json_walks.redact_json(e, "doc", ("event_id",))
+    return json_walks.redact_json(e, "doc", ("event_id",)).select("event_id", "doc")

@@ -20,9 +20,6 @@ PIECES = (
     f"page_images array<struct<src:string,alt:string>>, tables array<array<array<string>>>, parse_error string"
 )
 
-MAX_HEADINGS, MAX_LINKS, MAX_PDF_LINKS = 120, 500, 100
-MAX_LD_BLOCKS, MAX_LD_BLOCK_CHARS, MAX_TYPES, MAX_HREFLANG = 20, 5000, 40, 40
-MAX_TABLE_ROWS, MAX_IMAGES = 80, 300
 ROWS_PER_OUTPUT_BATCH = 128
 
 
@@ -99,7 +96,7 @@ def page_links(raw: Column) -> Column:
         ),
     )
     return _first_by_key(
-        labelled, lambda l: F.struct(U.drop_fragment(l["url"]).alias("u"), F.left(l["text"], F.lit(80)).alias("t"))
+        labelled, lambda l: F.struct(U.drop_fragment(l["url"]).alias("u"), l["text"].alias("t"))
     )
 
 
@@ -111,7 +108,7 @@ def page_images(raw: Column) -> Column:
 
 
 def table_markdown(table: Column) -> Column:
-    """Rows of cells → padded Markdown table with at most 80 body rows."""
+    """Rows of cells → padded Markdown table of all rows."""
     width = F.array_max(F.transform(table, lambda r: F.size(r)))
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
@@ -124,7 +121,7 @@ def table_markdown(table: Column) -> Column:
             F.concat(
                 F.slice(padded, 1, 1),
                 F.array(line(F.array_repeat(F.lit("---"), w))),
-                F.slice(padded, 2, MAX_TABLE_ROWS),
+                F.slice(padded, 2, F.greatest(F.size(padded) - 1, F.lit(0))),
             ),
             "\n",
         )
@@ -150,7 +147,7 @@ def page_features(pages: DataFrame, url: str = "url", html: str = "html", keys=(
         F.col("headings"), lambda h: F.struct(h["level"].alias("level"), compact(h["text"]).alias("text"))
     )
     anchors = F.transform(
-        F.col("anchors"), lambda a: F.struct(a["url"].alias("url"), F.left(compact(a["text"]), F.lit(250)).alias("text"))
+        F.col("anchors"), lambda a: F.struct(a["url"].alias("url"), compact(a["text"]).alias("text"))
     )
     return p.select(
         *[k for k in keys if k != "url"],
@@ -163,16 +160,16 @@ def page_features(pages: DataFrame, url: str = "url", html: str = "html", keys=(
         first_meta_content(F.col("meta"), "description").alias("description"),
         first_meta_content(F.col("meta"), "robots").alias("robots_meta"),
         F.col("canonical").alias("canonical_url"),
-        F.slice("hreflang", 1, MAX_HREFLANG).alias("hreflang"),
-        F.slice(headings, 1, MAX_HEADINGS).alias("headings"),
-        F.slice(anchors, 1, MAX_LINKS).alias("anchors"),
-        F.slice(F.filter(anchors, lambda a: has_pdf(a["url"])), 1, MAX_PDF_LINKS).alias("anchor_pdfs"),
-        F.slice(F.transform("ld_blocks", lambda b: F.left(b, F.lit(MAX_LD_BLOCK_CHARS))), 1, MAX_LD_BLOCKS).alias("schema_blocks"),
+        F.col("hreflang"),
+        headings.alias("headings"),
+        anchors.alias("anchors"),
+        F.filter(anchors, lambda a: has_pdf(a["url"])).alias("anchor_pdfs"),
+        F.col("ld_blocks").alias("schema_blocks"),
         F.size("ld_blocks").alias("json_ld_block_count"),
         F.col("ld_valid").alias("json_ld_valid_count"),
         (F.size("ld_blocks") > 0).alias("json_ld_present"),
-        linked_data_types_by_pattern(F.transform("ld_blocks", lambda b: F.left(b, F.lit(MAX_LD_BLOCK_CHARS)))).alias("schema_types_detected"),
-        F.slice(F.array_distinct("ld_types"), 1, MAX_TYPES).alias("schema_types"),
+        linked_data_types_by_pattern(F.col("ld_blocks")).alias("schema_types_detected"),
+        F.array_distinct("ld_types").alias("schema_types"),
         strip_ws(body).alias("text"),
         compact_block("header_text").alias("header_text"),
         compact_block("main_text").alias("main_text"),
@@ -220,8 +217,8 @@ def with_full_markdown(features: DataFrame) -> DataFrame:
         "*",
         technical_lines().alias("_technical"),
         tables_markdown(F.col("tables")).alias("_tables"),
-        F.array_join(F.transform(F.slice("images", 1, MAX_IMAGES), image_line), "\n").alias("_images"),
-        F.array_join(F.transform(F.slice("links", 1, MAX_LINKS), link_line), "\n").alias("_links"),
+        F.array_join(F.transform("images", image_line), "\n").alias("_images"),
+        F.array_join(F.transform("links", link_line), "\n").alias("_links"),
     )
     section = lambda label, c: F.concat(F.lit(f"## {label}\n"), F.col(c))
     document = F.concat_ws(
@@ -267,7 +264,7 @@ def link_host_counts(features: DataFrame) -> DataFrame:
 
 
 def page_manifest(features: DataFrame, status_code: Column, static_code: Column | None = None, blocked: Column | None = None) -> DataFrame:
-    """Extraction manifest of pages with Markdown: status, score policy, metrics, signals, capped lists.
+    """Extraction manifest of pages with Markdown: status, score policy, metrics, signals, lists.
 
     ``status_code`` is that of the rendered page; the static one fills in where it is missing.
     """
@@ -296,8 +293,6 @@ def page_manifest(features: DataFrame, status_code: Column, static_code: Column
         "geo_analysis_ready": F.col("_q.scoring_allowed"),
         "extraction_quality_score": F.col("_q.extraction_quality_score"),
         "status_code": code,
-        "links": F.slice("links", 1, MAX_LINKS),
-        "linked_pdfs": F.slice("_pdfs", 1, 80),
-        "images": F.slice("images", 1, MAX_IMAGES),
+        "linked_pdfs": F.col("_pdfs"),
         "visible_dates": F.col("_dates"),
     }).drop("_q", "_dates", "_pdfs")

@@ -263,11 +263,11 @@ def test_json_walks(spark):
                          '"organic_results":[' + ",".join('{"link":"https://o/%d"}' % i for i in range(20)) + '],"answer_box":["one","two"]}'),
         ("r", "q2", "Q", "not json"), ("r", "q3", "Q", None), ("r", "q4", "Q", '{"deep":{"snippet":"short","more":{"text":"' + "long " * 20 + '"}}}')],
         "run_id string, query_id string, query string, raw string")
-    out = {r.query_id: r for r in J.raw_answers(raw).collect()}
+    out = {r.query_id: r for r in J.raw_answers(raw, max_references=10).collect()}
     assert set(out) == {"q1", "q4"}
     assert len(out["q1"].references) == 10 and [r.url for r in out["q1"].references[:3]] == ["https://a/1", "https://a/2", "https://o/0"]
     assert out["q1"].answer_summary == "one two" and out["q4"].answer_summary.startswith("long long")
-    n = {r.query_id: r for r in C.normalise_answers(J.raw_answers(raw)).collect()}
+    n = {r.query_id: r for r in C.normalise_answers(J.raw_answers(raw, max_references=10)).collect()}
     assert n["q1"].status == C.WITH_CITATIONS and n["q4"].status == C.NO_CITATIONS and len(n["q1"].top_citations) == 3
 
 
@@ -317,3 +317,17 @@ def test_hot_key_is_split(spark):
     assert ranked.where("k = 0").count() == 5
     reduced = first_wins(df, "k", "pos")._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in reduced
+
+
+def test_json_walks_survive_deep_and_long_documents(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    many = '{"references": [' + ",".join(f'{{"url": "https://a.example/{i}", "snippet": "{"s" * 600} &amp; t"}}' for i in range(25)) + "]}"
+    rows = [("d", "q1", "x", deep), ("m", "q2", "x", many), ("n", "q3", "x", None)]
+    df = spark.createDataFrame(rows, "run_id string, query_id string, query string, raw string")
+    answers = {r.run_id: r for r in J.raw_answers(df).collect()}
+    assert answers["d"].walk_error and answers["m"].walk_error is None
+    assert len(answers["m"].references) == 25 and len(answers["m"].references[0].snippet) == 605 + 3
+    urls = J.collect_urls(df, "raw", ("run_id",)).collect()
+    assert sum(r.run_id == "m" for r in urls) == 25 and [r.walk_error is not None for r in urls if r.run_id == "d"] == [True]
+    nested = spark.createDataFrame([("p", '{"a":' * 300 + '{"access_token": "s", "b": ["x"]}' + "}" * 300)], "k string, doc string")
+    assert "[REDACTED]" in J.redact_json(nested, "doc", ("k",)).first().doc.upper() or "redacted" in J.redact_json(nested, "doc", ("k",)).first().doc.lower()

@@ -290,7 +290,7 @@ SELECT pos, final_url, {HOST} AS domain, len(txt) AS text_chars, words AS word_c
        status = 'success' AND words >= 20 AS geo_analysis_ready,
        CASE WHEN status = 'success' AND words >= 20 THEN 'score' ELSE 'metadata_only_until_crawled' END AS content_score_policy,
        CASE WHEN status = 'success' AND words >= 20 THEN 'benchmark_score' ELSE 'citation_metadata_until_crawled' END AS external_policy,
-       md5(coalesce(left(txt, 12000), '')) AS content_extract
+       md5(coalesce(txt, '')) AS content_extract
 FROM c""")
 def page_enrichment(spark, sf):
     e = crawl.enrich_pages(_sparse_pages(spark, sf))
@@ -579,7 +579,7 @@ def schema_type_counts(spark, sf):
 WITH r AS (SELECT run_id, pos, url, title, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS rank FROM ({MARKED_SQL}) WHERE NOT ld)
 SELECT run_id, pos, url, coalesce(title, '-') AS title, rank FROM r WHERE rank <= 20""")
 def missing_json_ld(spark, sf):
-    return H.missing_json_ld(_marked_pages(spark, sf), "run_id").withColumn("title", F.coalesce("title", F.lit("-")))
+    return H.missing_json_ld(_marked_pages(spark, sf), "run_id", n=20).withColumn("title", F.coalesce("title", F.lit("-")))
 
 
 @query(f"""

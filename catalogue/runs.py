@@ -466,7 +466,7 @@ def landed_sitemaps(spark, sf):
 SITE_PAGES = rf"SELECT array_to_string(string_split({AUTH}, '.')[-2:], '.') AS site, url, page_id FROM pages"
 
 
-@query(f"WITH r AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY page_id) AS pos, url FROM ({SITE_PAGES})) SELECT * FROM r WHERE pos <= 2000")
+@query(f"WITH r AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY page_id) AS pos, url FROM ({SITE_PAGES})) SELECT * FROM r")
 def sitemap_read(spark, sf):
     files, candidates = landed_sitemaps(spark, sf)
     parsed = M.parse_sitemaps(files)
@@ -494,7 +494,7 @@ def robots_read(spark, sf):
 
 @query(rf"""
 WITH s AS ({SPARSE_SQL}), {ENRICHED_SQL}
-SELECT run_id, pos, url, title_len, md5(CASE WHEN len(txt12) > 8000 THEN regexp_replace(left(txt12, 8000), '\s+$', '') || chr(10) || '...[truncated]' ELSE txt12 END) AS extract,
+SELECT run_id, pos, url, title_len, md5(CASE WHEN len(txt) > 8000 THEN regexp_replace(left(txt, 8000), '\s+$', '') || chr(10) || '...[truncated]' ELSE txt12 END) AS extract,
        words AS word_count FROM (SELECT *, left(txt, 12000) AS txt12, 0 AS title_len FROM c)""")
 def compact_export(spark, sf):
     p = _sparse_pages(spark, sf).select("run_id", "pos", "url", "markdown", "snippet", "crawl_status")

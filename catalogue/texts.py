@@ -178,7 +178,7 @@ SELECT doc_id, len(t) AS markdown_chars, {count_sql('t', P.LATIN_WORD)} + {count
        len(list_filter(ls, lambda ln: {PIPES} >= 2)) AS table_line_count, {count_sql('t', 'https?://')} AS raw_url_count,
        {numeric_count_sql('t')} AS numeric_fact_count, {count_sql('t', M.QUESTION_SPAN)} AS question_count,
        len(list_distinct(list_filter(list_transform(ls, lambda ln: {line_key_sql('ln')}), lambda k: k <> ''))) AS unique_line_count,
-       {count_sql('t', M.IMAGE_ALT)} AS image_alt_count, array_to_string({LINKS}[:25], ' ') AS links
+       {count_sql('t', M.IMAGE_ALT)} AS image_alt_count, array_to_string({LINKS}, ' ') AS links
 FROM s""")
 def markdown_metrics(spark, sf):
     d = _noisy(spark, sf).select("doc_id", M.markdown_metrics("noisy").alias("m"))
@@ -196,14 +196,14 @@ ASKING = r"'# ' || regexp_replace(text, '\. ', '? ', 'g') || chr(10) || '- Is th
 _NOISE = "|".join(M.literal(t) for t in M.QUESTION_NOISE)
 
 
-def questions_sql(c: str, n: int = 8) -> str:
+def questions_sql(c: str) -> str:
     found = "list_concat(" + ", ".join(f"regexp_extract_all({c}, {quoted(re2(p))}, 1)" for p in M.QUESTION_PATTERNS[:2])
     found = f"list_concat({found}), regexp_extract_all({c}, {quoted(M.QUESTION_PATTERNS[2])}, 1))"
     keep = (
         f"NOT regexp_matches(lower(q), {quoted(_NOISE)}) AND NOT contains(left(q, len(q) - 1), '?')"
         f" AND ({count_sql('q', P.NOT_WS + '+')} >= 4 OR regexp_matches(q, '{M.LONG_CJK_RUN}'))"
     )
-    return f"list_filter(list_transform({found}, lambda q: {compact_sql('q')}), lambda q: {keep})[:{n}]"
+    return f"list_filter(list_transform({found}, lambda q: {compact_sql('q')}), lambda q: {keep})"
 
 
 def distinct_in_order(expr: str) -> str:
@@ -250,7 +250,7 @@ f AS (SELECT event_id, list_transform(list_concat(list_concat(
         list_concat(regexp_extract_all(t, {quoted(M.DATE_PATTERNS[0])}), regexp_extract_all(t, {quoted(M.DATE_PATTERNS[1])})),
         list_concat(regexp_extract_all(t, {quoted(M.DATE_PATTERNS[2])}), regexp_extract_all(t, {quoted(M.DATE_PATTERNS[3])}))),
         regexp_extract_all(t, {quoted(M.DATE_PATTERNS[4])})), lambda x: {block_sql('x')}) AS n FROM d)
-SELECT event_id, array_to_string(({distinct_in_order('n')})[:30], ' | ') AS dates FROM f""")
+SELECT event_id, array_to_string({distinct_in_order('n')}, ' | ') AS dates FROM f""")
 def visible_dates(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     fmt = lambda pattern: F.date_format("ts", pattern)

@@ -18,7 +18,6 @@ SUMMARY_WITHOUT = "SerpAPI completed but no AI answer summary was returned."
 SUMMARY_WITH = "SerpAPI completed; citation references were returned."
 DEFAULT_TYPE = "external_citation"
 TOP = 3
-MARKDOWN_CHARS = 8000
 
 # Alias fields a raw reference may carry; ``from_json`` fills what is there.
 RAW_REFERENCE = (
@@ -72,7 +71,7 @@ def normalise_answers(answers: DataFrame, entities: bool = True) -> DataFrame:
         "answer_summary": F.when(
             (given == "") | (given == PENDING_SUMMARY), F.when(count > 0, SUMMARY_WITH).otherwise(SUMMARY_WITHOUT)
         ).otherwise(given),
-        "reconstructed_markdown": clean_value("reconstructed_markdown", MARKDOWN_CHARS, entities=entities),
+        "reconstructed_markdown": clean_value("reconstructed_markdown", entities=entities),
         "top_citations": F.slice("references", 1, TOP),
         "citation_count": count.cast("bigint"),
         "status": F.when(

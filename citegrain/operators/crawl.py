@@ -9,7 +9,6 @@ from citegrain.functions.text import first_text, strip_ws, text_or_empty, word_c
 from citegrain.operators.frames import ensure_columns, steps
 
 MIN_WORDS = 20
-CONTENT_EXTRACT_CHARS = 12000
 BLOCKED_CODES = (401, 403, 429)
 FAILED_STATUSES = ("failed", "blocked", "error", "partial_success_empty_text")
 NOT_ATTEMPTED = ("", "not_requested", "pending")
@@ -151,7 +150,7 @@ def enrich_pages(pages: DataFrame, external: bool = False, hint_prefix: str | No
         "text_chars": F.coalesce(_nonzero(F.col("text_chars")), F.length("_text")).cast("bigint"),
         "word_count": F.coalesce(_nonzero(F.col("word_count")), word_or_cjk_count("_text")).cast("bigint"),
         "content_extract": F.coalesce(
-            _present("content_extract"), F.nullif(F.left("_text", F.lit(CONTENT_EXTRACT_CHARS)), F.lit(""))),
+            _present("content_extract"), F.nullif("_text", F.lit(""))),
     })
     p = p.withColumns({
         "main_text": F.coalesce(_present("main_text"), "content_extract"),

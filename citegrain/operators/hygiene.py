@@ -8,7 +8,6 @@ from citegrain.functions import url as U
 from citegrain.functions.text import percent_text, strip_ws, text_or_empty
 from citegrain.operators.frames import ensure_columns, first_n, first_wins
 
-MAX_MISSING = 20
 
 # Words meaning available, not found, not checked.
 AVAILABLE = ("available", "present", "success", "fetched")
@@ -89,15 +88,15 @@ def schema_type_counts(pages: DataFrame, *keys, order: str = "pos") -> DataFrame
     return counted.withColumn("rank", F.row_number().over(w)).drop("_first")
 
 
-def missing_json_ld(pages: DataFrame, *keys, order: str = "pos", n: int = MAX_MISSING) -> DataFrame:
-    """The first pages without JSON-LD per key, in input order."""
+def missing_json_ld(pages: DataFrame, *keys, order: str = "pos", n: int | None = None) -> DataFrame:
+    """Pages without JSON-LD per key; with ``n`` the first ones in input order, ranked."""
     p = with_structured_flags(pages).where("NOT _json_ld")
     rows = p.select(
         *keys, F.col(order).alias("pos"),
         F.coalesce(*[F.nullif(c, F.lit("")) for c in ("url", "final_url", "resolved_url", "source_url")]).alias("url"),
         F.nullif("title", F.lit("")).alias("title"),
     )
-    return first_n(rows, keys, ["pos", "url"], n)
+    return rows if n is None else first_n(rows, keys, ["pos", "url"], n)
 
 
 def priority(coverage_pct: Column, robots: Column, llms: Column, checked: Column) -> Column:

@@ -17,10 +17,9 @@ BOOST_RULES = (
     ("finance", ("finance", "price")),
 )
 REASON = "Sitemap lexical match against query, topic and recommended page type."
-FALLBACK_REASON = "Sitemap candidate retained for owned-page GEO mapping."
 
-# Tokens on more URLs of a run than this are scored through URL signatures.
-COMMON_AFTER = 1000
+# Tokens of a run that tell its URLs apart best are followed first; this many frequent ones are left to patterns.
+FREQUENT = 12
 
 
 def _weighted(tokens: Column, boosts: Column) -> Column:
@@ -55,77 +54,88 @@ def url_token_rows(urls: DataFrame, run: str = "run_id") -> DataFrame:
     ).alias("token"))
 
 
-def _direct_pairs(q_tokens: DataFrame, u_tokens: DataFrame, run: str) -> DataFrame:
-    return q_tokens.join(u_tokens, [run, "token"]).groupBy(run, "qpos", "upos").agg(F.sum("weight").alias("rare_score"))
+def _patterns(urls: DataFrame, tokens: DataFrame, name: str, k: int, run: str) -> tuple[DataFrame, DataFrame]:
+    """(tokens of each distinct token set, its ``k`` best URLs): URLs with one set are equal to every query.
 
-
-def _split_pairs(q_tokens: DataFrame, u_tokens: DataFrame, keyed: DataFrame, k: int, run: str, common_after: int):
-    """Scored pairs with rare tokens joined directly and common ones through signatures."""
-    vocabulary = q_tokens.select(run, "token").distinct()
-    frequency = u_tokens.groupBy(run, "token").agg(F.count("*").alias("n")).join(
-        vocabulary, [run, "token"], "left_semi"
-    )
-    counted = u_tokens.join(frequency, [run, "token"])  # tokens nobody asks for end here
-    rare_pairs = _direct_pairs(q_tokens, counted.where(F.col("n") <= common_after).drop("n"), run)
-
-    signatures = counted.where(F.col("n") > common_after).groupBy(run, "upos").agg(
-        F.array_sort(F.collect_set("token")).alias("signature")  # bounded by the tokens of one URL
-    )
-    signed = keyed.join(signatures, [run, "upos"], "left")
-    best = first_n(
-        signed.where("signature IS NOT NULL").select(run, "signature", "upos", "ulen"),
-        [run, "signature"], ["ulen", "upos"], k, rank="_r",
-    )
-    signature_scores = (
-        best.where("_r = 1").select(run, "signature", F.explode("signature").alias("token"))
-        .join(q_tokens, [run, "token"])
-        .groupBy(run, "qpos", "signature").agg(F.sum("weight").alias("common_score"))
-    )
-    best_pairs = signature_scores.join(best, [run, "signature"]).select(
-        run, "qpos", "upos", F.lit(0).cast("bigint").alias("rare_score")
-    )
-    pairs = rare_pairs.unionByName(best_pairs).groupBy(run, "qpos", "upos").agg(F.max("rare_score").alias("rare_score"))
-    scored = (
-        pairs.join(signed, [run, "upos"])
-        .join(signature_scores, [run, "qpos", "signature"], "left")
-        .select(run, "qpos", "upos", "url", "ulen", (F.col("rare_score") + F.coalesce("common_score", F.lit(0))).alias("score"))
-    )
-    return scored
+    A set is named by the hash of its sorted tokens; URLs without any of the tokens have the set 0.
+    """
+    # the tokens of one URL bound the collected set
+    sets = tokens.groupBy(run, "upos").agg(F.array_sort(F.collect_set("token")).alias("set"))
+    named = urls.join(sets, [run, "upos"], "left").withColumn(name, F.when(F.col("set").isNotNull(), F.xxhash64("set")).otherwise(0))
+    best = first_n(named.select(run, name, "upos", "url", "ulen", "set"), [run, name], ["ulen", "upos"], k, rank="r")
+    members = best.where("r = 1").select(run, name, F.explode("set").alias("token"))
+    return members, best.drop("set", "r")
 
 
-def map_queries(queries: DataFrame, urls: DataFrame, k: int = 3, run: str = "run_id",
-                common_after: int = COMMON_AFTER) -> DataFrame:
+def map_queries(queries: DataFrame, urls: DataFrame, k: int = 3, run: str = "run_id", frequent: int = FREQUENT) -> DataFrame:
     """Best ``k`` URLs per query: score desc, shorter URL, earlier position; ranks 1..k.
 
     ``queries``: run_id, pos, query_id, query[, topic, recommended_page_type];
     ``urls``: run_id, pos, url — pos unique per run. Queries matching nothing get the k
     shortest URLs of their run with score 0.
 
-    Rare tokens are joined directly: at most ``common_after`` URLs per token, so pairs grow
-    linearly with queries. URLs carrying the same set of common tokens are equal to every
-    query as far as those tokens go, so only the k best of each such set can win on them
-    alone; one row per set is scored instead of one per URL. The result is exact.
+    Exact without pairing everything, in one plan:
+    tokens that every URL of a run has only shift scores and are added at the end. URLs are the
+    same to all queries if they share the tokens that queries ask for, so each such pattern
+    stands for its k best URLs. A query's rare tokens are joined with patterns; its ``frequent``
+    most common tokens of the run are scored on patterns of those tokens alone, of which there
+    are few however many URLs there are, and added to the candidates of the rare ones.
     """
+    # a query's tokens may differ only in place from another one's, so each distinct set is scored once
     q_tokens = query_tokens(queries, run)
+    asked = q_tokens.groupBy(run, "qpos").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("tokens"))
+    asked = asked.withColumn("qset", F.xxhash64("tokens"))
+    q_sets = asked.groupBy(run, "qset").agg(F.first("tokens").alias("tokens")).select(run, "qset", F.explode("tokens").alias("t")).select(
+        run, "qset", "t.token", "t.weight"
+    )
     u_tokens = url_token_rows(urls, run)
     keyed = urls.select(run, F.col("pos").alias("upos"), "url", F.length("url").alias("ulen"))
-    largest = urls.groupBy(run).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= common_after:  # no token can be common
-        scored = _direct_pairs(q_tokens, u_tokens, run).join(keyed, [run, "upos"]).select(
-            run, "qpos", "upos", "url", "ulen", F.col("rare_score").alias("score")
-        )
-    else:
-        scored = _split_pairs(q_tokens, u_tokens, keyed, k, run, common_after)
-    ranked = first_n(scored, [run, "qpos"], [F.desc("score"), "ulen", "upos"], k)
-
-    shortest = first_n(keyed, run, ["ulen", "upos"], k)
-    unmatched = queries.select(run, F.col("pos").alias("qpos")).join(
-        ranked.where("rank = 1").select(run, "qpos"), [run, "qpos"], "left_anti"
+    run_sizes = urls.groupBy(run).agg(F.count("*").alias("n_urls"))
+    counted = u_tokens.groupBy(run, "token").agg(F.count("*").alias("n")).join(q_sets.select(run, "token").distinct(), [run, "token"], "left_semi")
+    kinds = first_n(counted.join(run_sizes, run).where("n < n_urls"), run, [F.desc("n"), "token"], frequent, rank="place")
+    kinds = counted.join(kinds.select(run, "token", "place"), [run, "token"], "left").join(run_sizes, run).select(
+        run, "token", F.when(F.col("n") == F.col("n_urls"), "all").when(F.col("place").isNotNull(), "frequent").otherwise("rare").alias("kind")
+    )
+    u_kinds = u_tokens.join(kinds.where("kind <> 'all'"), [run, "token"])
+    q_kinds = q_sets.join(kinds, [run, "token"])
+
+    # patterns of frequent tokens: bounded in number, scored against the bounded number of frequent query parts
+    f_members, f_best = _patterns(keyed, u_kinds.where("kind = 'frequent'"), "fset", k, run)
+    f_parts = q_kinds.where("kind = 'frequent'").groupBy(run, "qset").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("part"))
+    f_parts = f_parts.withColumn("fpart", F.xxhash64("part"))
+    part_tokens = f_parts.groupBy(run, "fpart").agg(F.first("part").alias("part")).select(run, "fpart", F.explode("part").alias("t")).select(run, "fpart", "t.token", "t.weight")
+    f_scores = part_tokens.join(f_members, [run, "token"]).groupBy(run, "fpart", "fset").agg(F.sum("weight").alias("fscore"))
+    f_top = first_n(f_scores.join(f_best, [run, "fset"]), [run, "fpart"], [F.desc("fscore"), "ulen", "upos"], k, rank="r")
+    from_frequent = f_parts.select(run, "qset", "fpart").join(f_top, [run, "fpart"]).select(run, "qset", "upos")
+
+    # candidates of rare tokens, by patterns of all tokens that tell URLs apart
+    members, best = _patterns(keyed, u_kinds.select(run, "upos", "token"), "uset", k, run)
+    rare = q_kinds.where("kind = 'rare'").join(members, [run, "token"]).select(run, "qset", "uset").distinct()
+    set_of = keyed.join(u_kinds.groupBy(run, "upos").agg(F.xxhash64(F.array_sort(F.collect_set("token"))).alias("uset")), [run, "upos"], "left")
+    frequent_sets = from_frequent.join(set_of.select(run, "upos", F.coalesce("uset", F.lit(0)).alias("uset")), [run, "upos"]).select(run, "qset", "uset")
+    pairs = rare.unionByName(frequent_sets).distinct()
+    told = q_kinds.where("kind <> 'all'").select(run, "qset", "token", "weight")
+    scores = pairs.join(members, [run, "uset"]).join(told, [run, "qset", "token"]).groupBy(run, "qset", "uset").agg(F.sum("weight").alias("part"))
+    shift = q_kinds.where("kind = 'all'").groupBy(run, "qset").agg(F.sum("weight").alias("shift"))
+    ranked = first_n(scores.join(best, [run, "uset"]), [run, "qset"], [F.desc("part"), "ulen", "upos"], k)
+
+    # sets that share fewer than k URLs on telling tokens are filled with the shortest of the rest, as all URLs share
+    # the tokens of every URL; without such tokens only queries that match nothing are filled
+    shortest = first_n(keyed, run, ["ulen", "upos"], 2 * k, rank="at")
+    all_sets = asked.select(run, "qset").distinct().join(shift, [run, "qset"], "left")
+    have = ranked.groupBy(run, "qset").agg(F.count("*").alias("have"), F.collect_list("upos").alias("taken"))
+    wanted = F.when(F.col("shift").isNotNull(), k).when(F.col("have").isNull(), 1).otherwise(0)
+    open_sets = all_sets.join(have, [run, "qset"], "left").where(F.coalesce("have", F.lit(0)) < wanted)
+    fill = open_sets.join(shortest, run).where(F.col("taken").isNull() | ~F.array_contains("taken", F.col("upos"))).select(
+        run, "qset", "upos", "url", "ulen", F.lit(0).cast("bigint").alias("part")
     )
-    fallback = unmatched.join(shortest, run).select(run, "qpos", "upos", "url", F.lit(0).cast("bigint").alias("score"), "rank")
-    chosen = ranked.select(run, "qpos", "upos", "url", "score", "rank").unionByName(fallback)
-    named = queries.select(run, F.col("pos").alias("qpos"), "query_id", "query")
-    return chosen.join(named, [run, "qpos"]).select(
+    chosen = first_n(ranked.select(run, "qset", "upos", "url", "ulen", "part").unionByName(fill), [run, "qset"], [F.desc("part"), "ulen", "upos"], k)
+    chosen = chosen.join(shift, [run, "qset"], "left").withColumn("score", F.col("part") + F.coalesce("shift", F.lit(0)))
+    named = queries.select(run, F.col("pos").alias("qpos"), "query_id", "query").join(asked.select(run, "qpos", "qset"), [run, "qpos"], "left")
+    blank = first_n(keyed, run, ["ulen", "upos"], k)
+    matched = named.where("qset IS NOT NULL").join(chosen, [run, "qset"]).select(run, "query_id", "query", "qpos", "rank", "url", "upos", "score")
+    unasked = named.where("qset IS NULL").join(blank, run).select(run, "query_id", "query", "qpos", "rank", "url", "upos", F.lit(0).cast("bigint").alias("score"))
+    return matched.unionByName(unasked).select(
         run, "query_id", "query", "qpos", "rank", "url", "upos",
         F.col("score").alias("mapping_score"), F.lit(REASON).alias("mapping_reason"),
     )

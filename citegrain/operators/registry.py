@@ -25,7 +25,6 @@ REPORT_LISTS = (
     "page_level_cms_recommendations", "action_checklist", "source_landscape_sources",
     "source_landscape_citation_domains", "visibility_queries", "visibility_rows", "preview_tiles", "tiles",
 )
-MAX_LISTING = 100
 
 _MANIFEST = {
     "run_id": "string", "brand": "string", "market": "string", "domain": "string", "stage": "string",
@@ -124,11 +123,11 @@ def resolve_latest(requests: DataFrame, manifests: DataFrame) -> DataFrame:
 
 
 def history(manifests: DataFrame, statuses: DataFrame, brand=None, market=None, domain=None, limit: int = 20) -> DataFrame:
-    """Report-ready runs with their status, newest first, at most 1..100 rows."""
+    """Report-ready runs with their status, newest first, the first ``limit``."""
     m = keyed_manifests(manifests).where(is_report_ready() & _wanted("brand_key", brand) & _wanted("market_key", market))
     if domain:
         m = m.where((F.col("domain_key") == "") | _wanted("domain_key", domain))
-    newest = m.orderBy(F.desc(recency()), F.desc("run_id")).limit(max(1, min(int(limit or 20), MAX_LISTING)))
+    newest = m.orderBy(F.desc(recency()), F.desc("run_id")).limit(max(1, int(limit or 20)))
     s = ensure_columns(
         statuses, run_id="string", brand="string", market="string", domain="string", stage="string", status="string",
         created_at_epoch="bigint", started_at_epoch="bigint", completed_at_epoch="bigint", query_count="bigint",
@@ -329,4 +328,4 @@ def latest_portfolios(portfolios: DataFrame) -> DataFrame:
 
 
 def newest_runs(rows: DataFrame, limit: int, keys=("brand_key", "market_key")) -> DataFrame:
-    return first_n(rows, list(keys), [F.desc("recency"), F.desc("run_id")], max(1, min(limit, MAX_LISTING)))
+    return first_n(rows, list(keys), [F.desc("recency"), F.desc("run_id")], max(1, limit))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from citegrain.functions.text import text_or_empty
 from citegrain.operators.registry import (
-    FAILED_STATES, IN_PROGRESS_STATES, MAX_LISTING, REPORT_READY_STAGES, SUCCESS_STATES,
+    FAILED_STATES, IN_PROGRESS_STATES, REPORT_READY_STAGES, SUCCESS_STATES,
 )
 
 STALE_SECONDS = 3600
@@ -72,9 +72,10 @@ def is_active(columns, now: Column, updated: str = "updated_at_epoch",
 
 
 def listing(states: DataFrame, limit: int = 20) -> DataFrame:
-    """Runs newest first, at most 1..100."""
-    recent = F.coalesce(F.nullif("updated_at_epoch", F.lit(0)), F.lit(0))
-    return states.orderBy(F.desc(recent), F.desc("run_id")).limit(max(1, min(limit, MAX_LISTING)))
+    """Runs newest first (by update, else by creation time), the first ``limit``."""
+    states = ensure_columns(states, created_at_epoch="bigint")
+    recent = F.coalesce(F.nullif("updated_at_epoch", F.lit(0)), F.nullif("created_at_epoch", F.lit(0)), F.lit(0))
+    return states.orderBy(F.desc(recent), F.desc("run_id")).limit(max(1, limit))
 
 
 def first_active(states: DataFrame, keys=()) -> DataFrame:

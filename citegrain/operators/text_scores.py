@@ -23,7 +23,7 @@ PROMOTION_DIMENSIONS = ("content_clarity", "eeat_signals")
 NOISE_DIMENSIONS = ("content_clarity", "freshness_index")
 
 DEFAULTS = {
-    "answer_first_max_chars": 1200, "max_questions": 8, "min_word_count_basic": 300,
+    "answer_first_max_chars": 1200, "max_questions": None, "min_word_count_basic": 300,
     "min_word_count_strong": 900, "statistics_min_numeric_mentions": 5, "faq_min_questions": 3,
     "comparison_terms": (), "citation_terms": (), "authority_terms": (), "promotional_terms": (),
 }
@@ -75,7 +75,7 @@ def text_scores(
             F.size(headings).alias("headings"),
             F.size(F.array_intersect(q_tokens, t_tokens)).alias("overlap"),
             F.size(q_tokens).alias("q_size"),
-            ((F.length(first_block) > 250) & F.exists(F.slice(q_tokens, 1, 8), lambda t: F.contains(first_block, t))).alias("early_hit"),
+            ((F.length(first_block) > 250) & F.exists(q_tokens, lambda t: F.contains(first_block, t))).alias("early_hit"),
             F.size(M.real_questions(text, h["max_questions"])).alias("questions"),
             F.size(M.numeric_mentions(text)).alias("numbers"),
             ((M.table_line_count(text) >= 3) | F.contains(low, F.lit("<table"))).alias("tables"),
@@ -149,7 +149,7 @@ def text_scores(
             ).alias("penalties"),
             m["words"].alias("word_count"),
             m["chars"].alias("cleaned_text_chars"),
-            F.slice(F.array_distinct(F.regexp_extract_all(raw, F.lit(SCHEMA_NAMES), F.lit(0))), 1, 20).alias("schema_types"),
+            F.array_distinct(F.regexp_extract_all(raw, F.lit(SCHEMA_NAMES), F.lit(0))).alias("schema_types"),
             m["robots_txt_mentioned"].alias("robots_txt_mentioned"),
             m["llms_txt_mentioned"].alias("llms_txt_mentioned"),
         )

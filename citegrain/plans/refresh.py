@@ -88,12 +88,11 @@ def canonicalise(owned: DataFrame, external: DataFrame, answers: DataFrame, quer
     """Crawl and citation evidence of many runs in canonical form, with telemetry.
 
     ``owned``/``external``: page rows with run_id, pos, url; ``answers``: run_id, pos, query_id,
-    query, references; ``queries``: the visibility scope. The three leading citations of an answer
-    feed the hints, the per-query figures, the source table and the citation total; the answers
-    keep all their references.
+    query, references; ``queries``: the visibility scope. All citations of an answer
+    feed the hints, the per-query figures, the source table and the citation total.
     """
     clean_answers = C.normalise_answers(answers)
-    cites = C.explode_citations(clean_answers, "top_citations")
+    cites = C.explode_citations(clean_answers)
     owned_pages = crawl.enrich_pages(owned)
     hinted = merging.fill_from_hints(
         external, cites.withColumn("ord", F.struct("query_id", "pos")), HINTS
@@ -118,7 +117,7 @@ def canonicalise(owned: DataFrame, external: DataFrame, answers: DataFrame, quer
         "source_queries": C.source_queries(cites),
         "source_type_counts": C.source_type_counts(source_rows, "run_id"),
         "visibility": C.visibility(queries.drop("visibility_status"), cites),
-        "telemetry": crawl.run_telemetry(both, clean_answers.select("run_id", F.size("top_citations").cast("bigint").alias("citation_count"))),
+        "telemetry": crawl.run_telemetry(both, clean_answers.select("run_id", F.col("citation_count"))),
     }
 
 

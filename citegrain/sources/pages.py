@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citegrain.functions import markdown as M
-from citegrain.functions.text import compact_limited, text_or_empty
+from citegrain.functions.text import compact_block, compact_limited, text_or_empty
 
-INLINE_CHARS = 80000
-EXTRACT_CHARS = 6000
 MANIFEST_SCHEMA = (
     "metadata struct<canonical:string,robots:string,language:string,schema_types:array<string>,"
     "json_ld_present:boolean,json_ld_block_count:int,schema_block_count:int>, "
@@ -41,8 +39,10 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def with_side_files(rows: DataFrame, texts: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Page rows with their Markdown (inline text capped) and manifest fields.
+def with_side_files(
+    rows: DataFrame, texts: DataFrame, manifests: DataFrame, inline_chars: int | None = None, extract_chars: int | None = None,
+) -> DataFrame:
+    """Page rows with their Markdown and manifest fields; texts are whole unless the caller gives a length.
 
     ``rows``: url, markdown_file, manifest_file. Paths are unique, so both joins are 1:1.
     """
@@ -54,11 +54,11 @@ def with_side_files(rows: DataFrame, texts: DataFrame, manifests: DataFrame) ->
     types = F.coalesce("manifest.metadata.schema_types", F.array().cast("array<string>"))
     links, pdfs = F.coalesce("manifest.links", empty_links), F.coalesce("manifest.linked_pdfs", empty_links)
     return j.withColumns({
-        "markdown": F.left(md, F.lit(INLINE_CHARS)),
+        "markdown": md if inline_chars is None else F.left(md, F.lit(inline_chars)),
         "raw_markdown_chars": F.length(md).cast("bigint"),
-        "content_extract": compact_limited(md, EXTRACT_CHARS),
-        "links": F.slice(links, 1, 500),
-        "linked_pdfs": F.slice(pdfs, 1, 100),
+        "content_extract": compact_block(md) if extract_chars is None else compact_limited(md, extract_chars),
+        "links": links,
+        "linked_pdfs": pdfs,
         "schema_types": types,
         "json_ld_present": F.coalesce("manifest.metadata.json_ld_present", F.lit(False)),
         "json_ld_block_count": F.coalesce(
@@ -71,5 +71,5 @@ def with_side_files(rows: DataFrame, texts: DataFrame, manifests: DataFrame) ->
         "geo_analysis_ready": F.col("manifest.geo_analysis_ready"),
         "content_score_policy": F.col("manifest.content_score_policy"),
         "extraction_quality_score": F.col("manifest.extraction_quality_score"),
-        "content_metrics": M.content_metrics(md, F.col("manifest.extraction_metrics"), F.size(links), F.size(pdfs)),
+        "content_metrics": M.content_metrics(md, F.col("manifest.extraction_metrics"), F.size(links), F.size(pdfs), inline_chars),
     }).drop("_md", "manifest")

@@ -9,8 +9,6 @@ from citegrain.functions.text import lines, strip_ws, text_or_empty
 from citegrain.operators.frames import first_n, first_wins
 from citegrain.session import checkpointed
 
-MAX_EXPANDED = 75
-MAX_URLS = 2000
 LOC = r"(?is)<[\w.:-]*loc(?:\s[^>]*)?>([^<]*)</"
 
 
@@ -74,12 +72,12 @@ def _is_nested(loc: Column) -> Column:
     return low.endswith(".xml") | F.contains(low, F.lit(".xml?"))
 
 
-def read_order(parsed: DataFrame, candidates: DataFrame, max_expanded: int = MAX_EXPANDED) -> DataFrame:
+def read_order(parsed: DataFrame, candidates: DataFrame, max_expanded: int | None = None) -> DataFrame:
     """The order in which the sitemaps of each site are read: breadth first, each once.
 
-    One round per nesting level; files beyond the first ``max_expanded - 1`` of a site are not
-    expanded, so a site has at most that many levels and rounds end early in practice. The windows
-    rank one row per sitemap file: at most 74 expanded files of 50,000 names each for a site.
+    One round per nesting level, until a level names no new file; a round ranks only the new files
+    of a site. With ``max_expanded`` files beyond the first ``max_expanded - 1`` of a site are not
+    expanded.
     """
     by_order = lambda *cols: Window.partitionBy("site").orderBy(*cols)
     level = checkpointed(candidates.select(
@@ -92,8 +90,9 @@ def read_order(parsed: DataFrame, candidates: DataFrame, max_expanded: int = MAX
         ).alias("children")).where(F.size("children") > 0)
     )
     known = level
-    for _ in range(max_expanded):
-        children = level.where(F.col("idx") < max_expanded).join(links, ["site", "sitemap_url"]).select(
+    while True:
+        opened = level if max_expanded is None else level.where(F.col("idx") < max_expanded)
+        children = opened.join(links, ["site", "sitemap_url"]).select(
             "site", "idx", F.explode("children").alias("c")
         ).select("site", F.col("c.child").alias("sitemap_url"), "idx", "c.pos")
         fresh = first_wins(children, ["site", "sitemap_url"], ["idx", "pos"]).join(
@@ -111,21 +110,32 @@ def read_order(parsed: DataFrame, candidates: DataFrame, max_expanded: int = MAX
     return known
 
 
-def site_inventory(parsed: DataFrame, order: DataFrame, max_urls: int = MAX_URLS, max_expanded: int = MAX_EXPANDED):
-    """(urls, stats): the first ``max_urls`` page URLs per site, distinct, and figures per sitemap."""
+def site_inventory(parsed: DataFrame, order: DataFrame, max_urls: int | None = None, max_expanded: int | None = None):
+    """(urls, stats): distinct page URLs per site in order of reading, and figures per sitemap.
+
+    Limits hold only if given: the first ``max_urls`` page URLs of a site, and no expansion from file ``max_expanded`` on.
+    """
     read = order.join(parsed, ["site", "sitemap_url"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    is_page = lambda loc, idx: ~(_is_nested(loc) & (idx < max_expanded)) & loc.rlike("^https?://")
+    expanded = lambda idx: F.lit(True) if max_expanded is None else idx < max_expanded
+    is_page = lambda loc, idx: ~(_is_nested(loc) & expanded(idx)) & loc.rlike("^https?://")
     located = read.select("site", "idx", F.posexplode_outer("locs").alias("pos", "url")).where(is_page(F.col("url"), F.col("idx")))
-    first = first_n(located, "site", ["idx", "pos"], max_urls, rank="_n")
-    unique = first_wins(first.drop("_n"), ["site", "url"], ["idx", "pos"])
-    urls = unique.withColumn(
-        "pos", F.row_number().over(Window.partitionBy("site").orderBy("idx", "pos"))  # at most max_urls rows
-    ).select("site", "pos", "url")
+    first = located if max_urls is None else first_n(located, "site", ["idx", "pos"], max_urls, rank="_n").drop("_n")
+    unique = first_wins(first, ["site", "url"], ["idx", "pos"])
+    # numbers are given per sitemap file and added to the files before, so a site is not ranked in one task
+    within = Window.partitionBy("site", "idx").orderBy("pos")
+    before = Window.partitionBy("site").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = unique.groupBy("site", "idx").agg(F.count("*").alias("n"))
+    starts = sizes.select("site", "idx", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    urls = unique.withColumn("n", F.row_number().over(within)).join(starts, ["site", "idx"]).select(
+        "site", (F.col("start") + F.col("n")).cast("int").alias("pos"), "url"
+    )
     page_count = F.size(F.filter(F.coalesce("locs", F.array().cast("array<string>")), lambda l: is_page(l, F.col("idx"))))
     stats = read.select(
         "site", "idx", "sitemap_url", F.when(F.col("ok"), "success").otherwise("error").alias("status"),
         F.coalesce(F.size("locs"), F.lit(0)).alias("loc_count"), page_count.alias("url_count"),
     )
+    if max_urls is None:
+        return urls, stats
     earlier = Window.partitionBy("site").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_before", F.coalesce(F.sum("url_count").over(earlier), F.lit(0))).where(
         F.col("_before") < max_urls

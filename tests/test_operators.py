@@ -42,7 +42,7 @@ def test_hygiene_counts_and_order(spark):
     assert (c.pages_with_json_ld, c.pages_with_schema, c.coverage_pct) == (1, 1, 50.0)
     types = H.schema_type_counts(pages, "run_id").orderBy("rank").collect()
     assert [(t.schema_type, t.pages) for t in types] == [("Product", 1), ("FAQPage", 1)]
-    missing = H.missing_json_ld(pages, "run_id").collect()
+    missing = H.missing_json_ld(pages, "run_id", n=20).collect()
     assert [(m.url, m.title) for m in missing] == [("https://example.com/a", "A")]
 
 
@@ -121,8 +121,8 @@ def brute_force(queries, urls, k, tokens):
     return out
 
 
-@pytest.mark.parametrize("common_after", [0, 3, 1000])
-def test_mapping_equals_brute_force(spark, common_after):
+@pytest.mark.parametrize("frequent", [0, 3, 1000])
+def test_mapping_equals_brute_force(spark, frequent):
     rng = random.Random(7)
     words = ["price", "safety", "ev", "service", "range", "battery", "city", "leaf", "model", "kei", "zz", "charging"]
     urls = [(run, i, f"https://www.h{i % 5}.example/{'-'.join(rng.sample(words, rng.randint(1, 4)))}/{'x' * rng.randint(0, 3)}{i}")
@@ -134,7 +134,7 @@ def test_mapping_equals_brute_force(spark, common_after):
     texts = [(t,) for _, _, t in queries] + [(x[2],) for x in urls]
     cleaned = spark.createDataFrame(texts, "t string").select("t", match_tokens(F.translate("t", "-_/", "   ")).alias("k")).collect()
     tokens = {r.t: set(r.k) for r in cleaned}
-    got = {(r.run_id, r.qpos, r["rank"]): (r.url, r.mapping_score) for r in mapping.map_queries(q, u, 3, common_after=common_after).collect()}
+    got = {(r.run_id, r.qpos, r["rank"]): (r.url, r.mapping_score) for r in mapping.map_queries(q, u, 3, frequent=frequent).collect()}
     assert got == brute_force(queries, urls, 3, tokens)
 
 

@@ -184,7 +184,7 @@ def crawled(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(
         F.col("source").alias("run_id"), F.col("doc_id").alias("pos"),
         F.concat(F.lit("https://www."), "source", F.lit(".example.com/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
-        F.left(F.split("text", "\n")[0], F.lit(60)).alias("title"),
+        F.split("text", "\n")[0].alias("title"),
         F.col("text").alias("markdown"),
         F.when(F.col("doc_id") % 4 != 0, "success").when(F.col("doc_id") % 8 == 0, "failed").otherwise("pending").alias("crawl_status"),
     )
@@ -192,6 +192,6 @@ def crawled(spark: SparkSession, sf: str) -> DataFrame:
 
 CRAWLED_SQL = r"""
 SELECT source AS run_id, doc_id AS pos, 'https://www.' || source || '.example.com/' || lang || '/' || doc_id AS url,
-       left(split_part(text, chr(10), 1), 60) AS title, text AS markdown,
+       split_part(text, chr(10), 1) AS title, text AS markdown,
        CASE WHEN doc_id % 4 <> 0 THEN 'success' WHEN doc_id % 8 = 0 THEN 'failed' ELSE 'pending' END AS crawl_status
 FROM documents"""

@@ -151,8 +151,8 @@ def answers(spark, sf):
     ))
     return c.select(
         (F.col("conv_id") % 3).cast("string").alias("run_id"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
-        F.left("text", F.lit(40)).alias("query"), "conv_id", "turn", refs.alias("references"),
-        F.when(F.col("turn") % 4 == 1, "SerpAPI collection pending.").otherwise(F.left("text", F.lit(200))).alias("answer_summary"),
+        F.col("text").alias("query"), "conv_id", "turn", refs.alias("references"),
+        F.when(F.col("turn") % 4 == 1, "SerpAPI collection pending.").otherwise(F.col("text")).alias("answer_summary"),
         F.when(F.col("turn") % 4 == 1, "pending_collection").when(F.col("turn") % 4 == 3, "done").alias("status"),
     )
 
@@ -164,8 +164,8 @@ SELECT query_id, CASE WHEN cited THEN 3 ELSE 0 END AS citation_count,
   CASE WHEN cited THEN '7,2,5' ELSE '' END AS ranks, CASE WHEN cited THEN 'First title|s' || ((conv_id + 1) % 9) || '.example.net|youtube.com' ELSE '' END AS titles,
   CASE WHEN cited THEN 's' || (conv_id % 9) || '.example.net|Source|youtube.com' ELSE '' END AS names, CASE WHEN cited THEN '||d e' ELSE '' END AS snippets,
   CASE WHEN cited THEN 'external_citation,external_citation,forum_social_video' ELSE '' END AS types,
-  md5(CASE WHEN turn % 4 = 1 OR {compact_sql('left(text, 200)')} = '' THEN CASE WHEN cited THEN 'SerpAPI completed; citation references were returned.' ELSE 'SerpAPI completed but no AI answer summary was returned.' END
-       ELSE {compact_sql('left(text, 200)')} END) AS summary,
+  md5(CASE WHEN turn % 4 = 1 OR {compact_sql('text')} = '' THEN CASE WHEN cited THEN 'SerpAPI completed; citation references were returned.' ELSE 'SerpAPI completed but no AI answer summary was returned.' END
+       ELSE {compact_sql('text')} END) AS summary,
   CASE WHEN turn % 4 = 3 THEN 'done' WHEN cited THEN 'serpapi_completed_with_citations' ELSE 'serpapi_completed_no_citations' END AS status
 FROM a""")
 def answer_normalise(spark, sf):
@@ -184,7 +184,7 @@ def answer_totals(spark, sf):
 
 
 @query("""
-WITH a AS (SELECT (conv_id % 3)::VARCHAR AS run_id, conv_id || '-' || turn AS query_id, left(text, 40) AS query, conv_id, turn FROM conversations WHERE role = 'assistant')
+WITH a AS (SELECT (conv_id % 3)::VARCHAR AS run_id, conv_id || '-' || turn AS query_id, text AS query, conv_id, turn FROM conversations WHERE role = 'assistant')
 SELECT run_id, query_id FROM a WHERE run_id = '2' OR conv_id % 7 = 0 OR lower(regexp_replace(trim(regexp_replace(query, '\\s+', ' ', 'g')), ' $', '')) IN
    (SELECT lower(regexp_replace(trim(regexp_replace(b.query, '\\s+', ' ', 'g')), ' $', '')) FROM a b WHERE b.run_id = a.run_id AND b.turn % 4 = 3)""")
 def answer_reuse(spark, sf):
@@ -205,7 +205,7 @@ def portfolio_queries(spark, sf):
     pos = (n * 100 + F.col("turn")).alias("pos")
     return c.select(
         F.when(n % 2 == 0, "even").otherwise("odd").alias("run_id"), pos, F.format_string("q%05d", pos).alias("query_id"),
-        "text", F.left("text", F.lit(60)).alias("query"), word.alias("topic"), F.lit("example page").alias("recommended_page_type"),
+        "text", F.col("text").alias("query"), word.alias("topic"), F.lit("example page").alias("recommended_page_type"),
     ).drop("text")
 
 
@@ -221,7 +221,7 @@ def site_urls(spark, sf):
 
 
 QUERIES_SQL = """
-SELECT CASE WHEN conv_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run_id, conv_id * 100 + turn AS pos, printf('q%05d', conv_id * 100 + turn) AS query_id, left(text, 60) AS query,
+SELECT CASE WHEN conv_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run_id, conv_id * 100 + turn AS pos, printf('q%05d', conv_id * 100 + turn) AS query_id, text AS query,
        CASE conv_id % 5 WHEN 0 THEN 'ev service' WHEN 1 THEN 'dealer finance' WHEN 2 THEN 'safety' ELSE '' END AS topic, 'example page' AS recommended_page_type
 FROM conversations WHERE role = 'user'"""
 URLS_SQL = rf"""

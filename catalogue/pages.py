@@ -195,7 +195,7 @@ WORDS = count_sql("text", P.WORD + "+")
 @query(rf"""
 WITH d AS (SELECT doc_id, text, 'https://h.example/' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.html' WHEN 2 THEN '/' ELSE '' END AS url,
             CASE WHEN doc_id % 7 = 0 THEN 'application/pdf; v=1' WHEN doc_id % 7 = 1 THEN 'image/png' ELSE 'text/html' END AS ct,
-            CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 9 = 1 THEN left(text, 30) ELSE text END AS body FROM documents)
+            CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 9 = 1 THEN split_part(text, chr(10), 1) ELSE text END AS body FROM documents)
 SELECT doc_id, CASE WHEN (url LIKE '%.PDF' OR ct LIKE '%application/pdf%') AND body <> '' THEN 'success'
          WHEN url LIKE '%.PDF' OR ct LIKE '%application/pdf%' THEN 'empty_pdf_extract'
          WHEN {count_sql('body', P.WORD + '+')} >= 20 THEN 'success' ELSE 'empty_extract' END AS crawl_status,
@@ -208,7 +208,7 @@ def crawl_status(spark, sf):
         "url": F.concat(F.lit("https://h.example/"), n.cast("string"),
                         F.when(n % 5 == 0, ".PDF").when(n % 5 == 1, ".html").when(n % 5 == 2, "/").otherwise("")),
         "ct": F.when(n % 7 == 0, "application/pdf; v=1").when(n % 7 == 1, "image/png").otherwise("text/html"),
-        "body": F.when(n % 9 == 0, "").when(n % 9 == 1, F.left("text", F.lit(30))).otherwise(F.col("text")),
+        "body": F.when(n % 9 == 0, "").when(n % 9 == 1, F.split("text", "\n")[0]).otherwise(F.col("text")),
     })
     return d.select("doc_id", crawl.fetch_status("url", F.col("ct"), "body").alias("crawl_status"),
                     crawl.simple_fetch_status("url", F.col("ct"), "body").alias("simple_status"))

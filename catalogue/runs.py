@@ -62,7 +62,7 @@ def latest_with_fallback(spark, sf):
 @query(f"""
 WITH s AS (SELECT o_orderkey::VARCHAR AS run_id, CASE WHEN o_orderkey % 2 = 0 THEN 'late_stage' ELSE '' END AS stage, o_orderkey % 50 AS query_count FROM orders)
 SELECT m.run_id, brand, market, coalesce(nullif(s.stage, ''), m.stage) AS stage, coalesce(nullif(s.query_count, 0), -1) AS query_count, rec AS newest, brand || ' / ' || market || ' — ' || m.run_id AS label
-FROM ({KEYED_SQL}) m LEFT JOIN s USING (run_id) WHERE bk = 'machinery' ORDER BY rec DESC, run_id DESC LIMIT 100""")
+FROM ({KEYED_SQL}) m LEFT JOIN s USING (run_id) WHERE bk = 'machinery' ORDER BY rec DESC, run_id DESC LIMIT 500""")
 def run_history(spark, sf):
     statuses = table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("run_id"), F.when(F.col("o_orderkey") % 2 == 0, "late_stage").otherwise("").alias("stage"),
@@ -237,13 +237,13 @@ def portfolio_rows(spark, sf):
     n = F.col("conv_id")
     return c.select(
         F.concat(F.lit("pf"), (n % 7).cast("string")).alias("portfolio_id"), (n * 100 + F.col("turn")).cast("int").alias("pos"),
-        F.when(n % 11 == 0, " ").otherwise(F.left("text", F.lit(12))).alias("query"), pick(STAGES, n).alias("journey_stage"),
+        F.when(n % 11 == 0, " ").otherwise(F.col("text")).alias("query"), pick(STAGES, n).alias("journey_stage"),
         pick(KINDS, n + F.col("turn")).alias("query_type"),
         F.when(n % 3 != 0, F.concat(F.lit("id"), (n % 40).cast("string"))).alias("query_id"))
 
 
 PF_SQL = f"""
-SELECT 'pf' || (conv_id % 7) AS portfolio_id, conv_id * 100 + turn AS pos, CASE WHEN conv_id % 11 = 0 THEN ' ' ELSE left(text, 12) END AS query,
+SELECT 'pf' || (conv_id % 7) AS portfolio_id, conv_id * 100 + turn AS pos, CASE WHEN conv_id % 11 = 0 THEN ' ' ELSE text END AS query,
        ([{in_list(STAGES)}])[conv_id % {len(STAGES)} + 1] AS stage, ([{in_list(KINDS)}])[(conv_id + turn) % {len(KINDS)} + 1] AS kind,
        CASE WHEN conv_id % 3 <> 0 THEN 'id' || (conv_id % 40) END AS query_id FROM conversations WHERE role = 'user'"""
 _allowed = lambda names: ", ".join(sorted(names))
@@ -373,7 +373,7 @@ def active_runs(spark, sf):
     return _decided(spark, sf).select("run_id", "active_without_error", "active")
 
 
-@query(f"WITH {ACTIVE_SQL} SELECT run_id, up AS updated_at_epoch FROM a ORDER BY up DESC, run_id DESC LIMIT 100")
+@query(f"WITH {ACTIVE_SQL} SELECT run_id, up AS updated_at_epoch FROM a ORDER BY up DESC, run_id DESC LIMIT 1000")
 def status_listing(spark, sf):
     return S.listing(_decided(spark, sf), 1000).select("run_id", "updated_at_epoch")
 

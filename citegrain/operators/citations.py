@@ -169,7 +169,9 @@ def reusable_answers(answers: DataFrame, portfolio: DataFrame, run: str = "run_i
     rows = answers.withColumns({"_id": F.trim(F.col("query_id").cast("string")), "_text": text("query")})
     by_id = rows.join(asked_ids, [run, "_id"], "left_semi")
     by_text = rows.join(asked_ids, [run, "_id"], "left_anti").join(asked_texts, [run, "_text"], "left_semi")
-    unasked = rows.join(portfolio.select(run).distinct(), run, "left_anti")
+    # a portfolio of blanks asks for nothing
+    asking = asked_ids.select(run).unionByName(asked_texts.select(run)).distinct()
+    unasked = rows.join(asking, run, "left_anti")
     names = rows.columns
     return by_id.select(names).unionByName(by_text.select(names)).unionByName(unasked.select(names)).drop("_id", "_text")
 

@@ -140,7 +140,7 @@ def linked_data_types(blocks):
         try:
             queue = [json.loads(raw)]
             valid += 1
-        except ValueError:
+        except (ValueError, RecursionError):  # broken or nested too deeply: the block alone
             types.extend(TYPE_IN_TEXT.findall(raw))
             continue
         for value in queue:
@@ -237,6 +237,6 @@ def extract(url, markup):
             {"src": image_source(url, i), "alt": i.attrs.get("alt") or i.attrs.get("title") or ""}
             for i in clean_tags("img")
         ],
-        tables=[rows for t in clean_tags("table") if (rows := table_rows(t))],
+        tables=[table_rows(t) for t in clean_tags("table")],
     )
     return piece

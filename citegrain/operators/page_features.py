@@ -130,13 +130,11 @@ def table_markdown(table: Column) -> Column:
 
 
 def tables_markdown(tables: Column) -> Column:
-    return F.array_join(
-        F.transform(
-            tables,
-            lambda t, i: F.concat(F.format_string("### Table %d\n\n", i + 1), table_markdown(t)),
-        ),
-        "\n\n",
+    """All tables with content, each under its number among all tables of the page."""
+    titled = F.transform(
+        tables, lambda t, i: F.when(F.size(t) > 0, F.concat(F.format_string("### Table %d\n\n", i + 1), table_markdown(t)))
     )
+    return F.array_join(F.array_compact(titled), "\n\n")
 
 
 def page_features(pages: DataFrame, url: str = "url", html: str = "html", keys=("page_id",)) -> DataFrame:

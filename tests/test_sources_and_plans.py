@@ -117,7 +117,7 @@ def test_side_files(spark, tmp_path):
         "static_fetch": {"final_url": "https://f/"}}))
     rows = spark.createDataFrame([("https://a/", "md/1.md", "m/1.json"), ("https://b/", None, None)], "url string, markdown_file string, manifest_file string")
     root = str(tmp_path / "out")
-    out = {r.url: r for r in P.with_side_files(rows, P.read_texts(spark, root), P.read_manifests(spark, root)).collect()}
+    out = {r.url: r for r in P.with_side_files(rows, P.read_texts(spark, root), P.read_manifests(spark, root), extract_chars=6000).collect()}
     a, b = out["https://a/"], out["https://b/"]
     assert a.raw_markdown_chars == len("# Title\n\n" + "word " * 2000) and len(a.content_extract) <= 6003 and a.content_extract.endswith("...")
     assert (a.canonical_url, a.json_ld_block_count, a.final_url, a.language, a.schema_types) == ("https://c/", 2, "https://f/", "ja", ["Product"])
@@ -199,7 +199,7 @@ def test_slim_pages_limits(spark):
     own = X.slim_pages(df, keys=("run_id", "pos")).first()
     ext = X.slim_pages(df, external=True, keys=("run_id", "pos")).first()
     marker = len("\n...[truncated]")
-    assert len(own.markdown) == 60000 + marker and len(own.content_extract) == 12000 and len(own.links) == 75
+    assert len(own.markdown) == 60000 + marker and len(own.content_extract) == 12000 + marker and len(own.links) == 75
     assert len(ext.content_extract) == 8000 + marker and len(ext.links) == 25 and "markdown" not in ext.asDict()
 
 

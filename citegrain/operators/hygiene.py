@@ -76,6 +76,15 @@ def structured_coverage(pages: DataFrame, *keys) -> DataFrame:
     )
 
 
+def coverage_with_files(pages: DataFrame, files: DataFrame, key: str = "run_id") -> DataFrame:
+    """Coverage rows beside the fetched-file columns of ``files``; runs known from files alone have zeros, unchecked."""
+    counts = {name: F.coalesce(name, F.lit(0)).cast("bigint") for name in ("owned_pages_total", "pages_with_schema", "pages_with_json_ld")}
+    rows = structured_coverage(pages, key).join(files, key, "full")
+    return rows.withColumns(counts).withColumns({
+        "coverage_pct": F.coalesce("coverage_pct", F.lit(0.0)), "structured_checked": F.coalesce("structured_checked", F.lit(False)),
+    })
+
+
 def schema_type_counts(pages: DataFrame, *keys, order: str = "pos") -> DataFrame:
     """Pages per schema type, most frequent first, ties by first appearance (``rank``)."""
     from pyspark.sql import Window

@@ -13,7 +13,7 @@ def compact(canonical: dict[str, DataFrame], failed: DataFrame, files: DataFrame
     owned = X.slim_pages(canonical["owned_pages"], keys=("run_id", "pos"))
     external = X.slim_pages(canonical["external_pages"], external=True, keys=("run_id", "pos"))
     slim_failed = X.slim_failed(failed)
-    coverage = H.structured_coverage(owned, "run_id").join(files, "run_id", "left")
+    coverage = H.coverage_with_files(owned, files)
     return {
         "owned_pages": owned,
         "external_pages": external,

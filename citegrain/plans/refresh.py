@@ -124,9 +124,10 @@ def canonicalise(owned: DataFrame, external: DataFrame, answers: DataFrame, quer
 def site_hygiene(owned_pages: DataFrame, files: DataFrame) -> DataFrame:
     """Hygiene per run from owned pages and fetched-file statuses.
 
-    ``files``: run_id, robots_status, robots_attempts, llms_status, llms_attempts.
+    ``files``: run_id, robots_status, robots_attempts, llms_status, llms_attempts and any further columns, which
+    stay. Runs without owned pages have a row of zeros.
     """
-    coverage = H.structured_coverage(owned_pages, "run_id").join(files, "run_id", "left")
+    coverage = H.coverage_with_files(owned_pages, files)
     return H.hygiene(
         coverage.withColumnsRenamed({"robots_status": "_robots", "llms_status": "_llms"}),
         H.file_status("_robots", F.col("robots_attempts")), H.file_status("_llms", F.col("llms_attempts")),

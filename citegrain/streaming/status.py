@@ -39,8 +39,11 @@ def episodes_stream(events: DataFrame, gap: str = "1 hour", delay: str = "10 min
 
 
 ACTIVE_SCHEMA = "run_id string, active boolean, reason string, updated_at timestamp"
-_PATCH_SCHEMA = "run_id string, ts timestamp, status string, status_ms bigint, stage string, stage_ms bigint, failed boolean"
-_STATE_SCHEMA = "updated_ms bigint, status string, status_ms bigint, stage string, stage_ms bigint, failed boolean"
+_PATCH_SCHEMA = "run_id string, ts timestamp, status string, status_ms bigint, stage string, stage_ms bigint, failed boolean, error_ms bigint"
+_STATE_SCHEMA = "updated_ms bigint, status string, status_ms bigint, stage string, stage_ms bigint, failed boolean, error_ms bigint, stale boolean"
+
+# A run without news for this long after it went stale or ended leaves the state.
+KEEP_SECONDS = 7 * 86400
 
 
 def _combine(batches: Iterator) -> Iterator:
@@ -54,13 +57,13 @@ def _combine(batches: Iterator) -> Iterator:
         ms = b["ts"].astype("datetime64[ms]").astype("int64")
         b = b.assign(
             status_ms=ms.where(b["status"].notna()).astype("Int64"), stage_ms=ms.where(b["stage"].notna()).astype("Int64"),
-            failed=b["error"].notna() & (b["error"] != ""),
+            failed=(b["error"] != "").where(b["error"].notna()), error_ms=ms.where(b["error"].notna()).astype("Int64"),
         )
         last = b.groupby("run_id", sort=False).agg(
             ts=("ts", "max"), status=("status", "last"), status_ms=("status_ms", "max"), stage=("stage", "last"),
-            stage_ms=("stage_ms", "max"), failed=("failed", "any"),
+            stage_ms=("stage_ms", "max"), failed=("failed", "last"), error_ms=("error_ms", "max"),
         )
-        yield last.reset_index()[["run_id", "ts", "status", "status_ms", "stage", "stage_ms", "failed"]]
+        yield last.reset_index()[["run_id", "ts", "status", "status_ms", "stage", "stage_ms", "failed", "error_ms"]]
 
 
 def _decide(status: str, stage: str, failed: bool) -> tuple[bool, str]:
@@ -75,12 +78,14 @@ def _decide(status: str, stage: str, failed: bool) -> tuple[bool, str]:
     return False, "unknown"
 
 
-def active_runs_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def active_runs_stream(events: DataFrame, delay: str = "10 minutes", keep_seconds: int = KEEP_SECONDS) -> DataFrame:
     """A row whenever a run changes: active or not and why, and one when it goes stale.
 
-    ``events``: run_id, ts, status, stage, error (NULLs keep the earlier value). Staleness is an
-    event-time timer at last update plus one hour, two for auditor stages. Patches are combined
-    before the shuffle; the state of a run is six values.
+    ``events``: run_id, ts, status, stage, error (NULLs keep the earlier value, an empty error clears
+    it, as in the batch fold). Staleness is an event-time timer at last update plus one hour, two for
+    auditor stages. Patches are combined before the shuffle; the state of a run is eight values and is
+    dropped ``keep_seconds`` after its last patch. Patches later than ``delay`` are not taken: a caller
+    who needs them raises the delay.
     """
 
     def update(key: tuple, chunks: Iterator, state: GroupState):
@@ -91,28 +96,40 @@ def active_runs_stream(events: DataFrame, delay: str = "10 minutes") -> DataFram
                 "run_id": [key[0]], "active": [active], "reason": [reason], "updated_at": [pd.Timestamp(ms, unit="ms")],
             })
 
-        updated, status, status_ms, stage, stage_ms, failed = state.get if state.exists else (0, "", 0, "", 0, False)
+        updated, status, status_ms, stage, stage_ms, failed, error_ms, stale = state.get if state.exists else (0, "", 0, "", 0, False, 0, False)
+
+        def wait_for_removal():
+            state.setTimeoutTimestamp(max(updated + keep_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
         if state.hasTimedOut:
-            state.update((updated, status, status_ms, stage, stage_ms, failed))
+            if stale:
+                state.remove()
+                return
+            state.update((updated, status, status_ms, stage, stage_ms, failed, error_ms, True))
+            wait_for_removal()
             yield row(False, "stale", updated)
             return
         for chunk in chunks:
             for patch in chunk.itertuples():
-                updated, failed = max(updated, int(patch.ts.timestamp() * 1000)), bool(failed or patch.failed)
+                updated = max(updated, int(patch.ts.timestamp() * 1000))
+                if not pd.isna(patch.error_ms) and patch.error_ms >= error_ms:
+                    failed, error_ms = bool(patch.failed), int(patch.error_ms)
                 if isinstance(patch.status, str) and patch.status_ms >= status_ms:
                     status, status_ms = patch.status, int(patch.status_ms)
                 if isinstance(patch.stage, str) and patch.stage_ms >= stage_ms:
                     stage, stage_ms = patch.stage, int(patch.stage_ms)
         low = stage.lower()
         active, reason = _decide(status.lower(), low, failed)
-        state.update((updated, status, status_ms, stage, stage_ms, failed))
         limit = S.AUDITOR_STALE_SECONDS if low.startswith("auditor") or low == "evidence_ready" else S.STALE_SECONDS
         deadline = updated + limit * 1000
-        if active and deadline > state.getCurrentWatermarkMs():
+        running = active and deadline > state.getCurrentWatermarkMs()
+        # a run that is over needs no word when its timer rings, only to be dropped
+        state.update((updated, status, status_ms, stage, stage_ms, failed, error_ms, not running))
+        if running:
             state.setTimeoutTimestamp(deadline)
-        elif active:
-            active, reason = False, "stale"
-        yield row(active, reason, updated)
+        else:
+            wait_for_removal()
+        yield row(running, "stale" if active and not running else reason, updated)
 
     return (
         events.select("run_id", "ts", "status", "stage", "error")

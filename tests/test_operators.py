@@ -331,3 +331,15 @@ def test_json_walks_survive_deep_and_long_documents(spark):
     assert sum(r.run_id == "m" for r in urls) == 25 and [r.walk_error is not None for r in urls if r.run_id == "d"] == [True]
     nested = spark.createDataFrame([("p", '{"a":' * 300 + '{"access_token": "s", "b": ["x"]}' + "}" * 300)], "k string, doc string")
     assert "[REDACTED]" in J.redact_json(nested, "doc", ("k",)).first().doc.upper() or "redacted" in J.redact_json(nested, "doc", ("k",)).first().doc.lower()
+
+
+def test_runs_without_pages_have_hygiene(spark):
+    from citegrain.plans.refresh import site_hygiene
+
+    pages = spark.createDataFrame([("a", "https://x.example/", True)], "run_id string, url string, json_ld_present boolean")
+    files = spark.createDataFrame(
+        [("a", "available", 1, "available", 1, 7), ("b", "404", 2, "available", 1, 0)],
+        "run_id string, robots_status string, robots_attempts int, llms_status string, llms_attempts int, sitemap_entries_count int")
+    rows = {r.run_id: r for r in site_hygiene(pages, files).collect()}
+    assert rows["a"].coverage_pct == 100.0 and rows["a"].sitemap_entries_count == 7
+    assert (rows["b"].owned_pages_total, rows["b"].coverage_pct, rows["b"].priority) == (0, 0.0, "high") and rows["b"].summary == H.NOT_FULLY_CHECKED_SUMMARY

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,7 +33,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.stored_at = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that only tables stored since were made from, and the shuffle files behind them."""
+    spark = tables[0].sparkSession
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def byte_values(column: pa.Array) -> list[bytes]:

@@ -23,15 +23,14 @@ other columns are not read by the report and stay as they are in the cleaned doc
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from citegrain.llm.common import blocks, byte_values, stored, to_arrow
+from citegrain.llm.common import blocks, byte_values, discard, stored, to_arrow
 from citegrain.llm.jaccard_join import grouped
 from citegrain.llm.suffix_names import LENGTH, named, samples
 
@@ -39,12 +38,6 @@ from citegrain.llm.suffix_names import LENGTH, named, samples
 SPANS_PER_TASK = 1000
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of tables that are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def identified(docs: DataFrame, *columns: Column) -> DataFrame:
     """The columns with a stable identity of each row: file and row of the file, or a number in a stored table."""
     try:
@@ -78,16 +71,19 @@ def candidates(found: DataFrame) -> DataFrame:
 
     Samples with equal spans are covered; where a gram has several spans, one sample of each sends its strings.
     """
-    repeated = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # both sides of the joins are stored, so that Spark can split the rows of a frequent gram
+    repeated = stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeated-grams")
     rows = stored(found.join(repeated, "gram", "left_semi"), "repeated-samples")
     name = F.xxhash64("__file", "__row", "place")
     spans = rows.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("first"))
     grams = spans.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("n_spans"))
-    known = spans.join(grams, F.col("gram") == F.col("g")).select(F.col("gram").alias("g"), F.col("span").alias("s"), "n", "first", "n_spans")
+    known = stored(spans.join(grams, F.col("gram") == F.col("g")).select(F.col("gram").alias("g"), F.col("span").alias("s"), "n", "first", "n_spans"), "known-spans")
     joined = rows.join(known, (F.col("gram") == F.col("g")) & (F.col("span") == F.col("s")))
     asks = (F.col("n_spans") > 1) & (name == F.col("first"))
     marked = joined.select("__file", "__row", "place", "gram", "n_spans", (F.col("n") > 1).alias("covered"), asks.alias("asks"))
-    return stored(marked.where("covered or asks"), "candidate-samples")
+    out = stored(marked.where("covered or asks"), "candidate-samples")
+    discard(rows, repeated, known)
+    return out
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,11 +161,10 @@ def merged(strings: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Lists of starts and stops of repeated strings per file and row, for documents that have any."""
-    spark = docs.sparkSession
-    found = candidates(stored(sampled(docs), "samples"))
-    release(spark)
+    every = stored(sampled(docs), "samples")
+    found = candidates(every)
+    discard(every)
     asked = stored(merged(remaining(docs, found.where("asks"))), "merged-strings")
-    release(spark)
     at = F.shiftright("place", 16)
     known = found.where("covered").select(
         "__file", "__row", (at - F.shiftright("place", 8).bitwiseAND(255)).alias("start"), (at - F.col("place").bitwiseAND(255) + LENGTH).alias("stop"),

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from citegrain.llm.common import blocks, byte_values, mixed, stored, to_arrow
+from citegrain.llm.common import blocks, byte_values, discard, mixed, stored, to_arrow
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -206,9 +206,8 @@ def forest_edges(values: np.ndarray, threshold: float, tolerance: float) -> list
     return edges
 
 
-def candidate_edges(classes: DataFrame, threshold: float, tolerance: float, chunk: int) -> DataFrame:
-    """Spanning forests of the unpruned pairs of all buckets: columns a and b."""
-    keys = stored(band_keys(classes), "band-keys")
+def candidate_edges(classes: DataFrame, keys: DataFrame, threshold: float, tolerance: float, chunk: int) -> DataFrame:
+    """Spanning forests of the unpruned pairs of all buckets of the band keys: columns a and b."""
     h = F.xxhash64("name")
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(h, 20)).alias("s"), F.bit_xor(h).alias("x")).where("n > 1")
     once = buckets.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
@@ -242,13 +241,15 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # both sides of a join are stored, so that Spark can split the edges of a frequent node
+        smallest = stored(both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.first("a")).alias("m")), label)
+        large = both.join(smallest, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = stored(large, label)
-        least = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
-        ends = large.join(least, F.col("a") == F.col("k")).select("a", "b", "m")
+        next_smallest = stored(large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")), label)
+        ends = large.join(next_smallest, F.col("a") == F.col("k")).select("a", "b", "m")
         small = ends.select("a", F.col("m").alias("b")).unionByName(ends.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = stored(small.distinct(), label)
+        spent, edges = (edges, smallest, large, next_smallest), stored(small.distinct(), label)
+        discard(*spent)
         now = state(edges)
         if now == before:
             break
@@ -355,13 +356,17 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float, chunk: int) -> DataFrame:
     """Per class with links: name, root class of its group, smallest id of the group, linked documents and texts."""
-    clusters = components(candidate_edges(classes, threshold, tolerance, chunk), "candidate-clusters")
+    keys = stored(band_keys(classes), "band-keys")
+    clusters = components(candidate_edges(classes, keys, threshold, tolerance, chunk), "candidate-clusters")
+    discard(keys)
     found = stored(links(docs, classes, clusters, id_col, text_col, threshold, tolerance, chunk), "links")
     roots = components(found.where("other is not null").select(F.col("name").alias("a"), F.col("other").alias("b")), "link-components")
     counts = found.groupBy("name").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     members = roots.join(classes.select(F.col("name").alias("node"), "id"), "node")
     groups = members.groupBy("root").agg(F.min("id").alias("group_id"))
-    return stored(members.join(groups, "root").join(counts, F.col("node") == F.col("name")).select("name", "root", "group_id", "docs", "texts"), "linked-classes")
+    out = stored(members.join(groups, "root").join(counts, F.col("node") == F.col("name")).select("name", "root", "group_id", "docs", "texts"), "linked-classes")
+    discard(found)
+    return out
 
 
 def jaccard_join(
@@ -405,6 +410,7 @@ def one_of_each_group(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names], names=["__doc", "__id", "__name"])
 
     rows = rows.mapInArrow(work, schema)
-    left = rows.where("__name is not null").join(gone, F.col("__name") == F.col("gone"), "left_anti")
-    first = left.groupBy("__name").agg(F.min_by("__doc", F.struct(F.col("__id").isNull(), F.col("__id"))).alias("__doc"))
+    # copies of one text meet in the partial aggregation, before anything is dealt by name
+    first = rows.where("__name is not null").groupBy("__name").agg(F.min_by("__doc", F.struct(F.col("__id").isNull(), F.col("__id"))).alias("__doc"))
+    first = first.join(gone, F.col("__name") == F.col("gone"), "left_anti")
     return first.select("__doc").unionByName(rows.where("__name is null").select("__doc")).select("__doc.*")

@@ -105,7 +105,8 @@ def judge(
         F.count(F.lit(1)).alias("n"), F.count(found).alias("labelled"), F.count_if(found["verdict"] == "block").alias("blocked"),
     )
     tree = templates(paths, depth)
-    counts = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    # stored, so that Spark can split the paths of a frequent template in the join
+    counts = stored(tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), "url-counts")
     labels = counts.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n")).first()
     prior = labels["b"] / labels["n"] if labels["n"] else 0.0
     purity = (F.col("blocked") + prior_strength * prior) / (F.col("labelled") + prior_strength)

@@ -19,15 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from citegrain.llm.common import blocks, mixed, per_text
+from citegrain.llm.common import blocks, mixed, per_text, stored
 
 UNDETERMINED = "und"
 GRAM_LENGTHS = (3, 4)
 # Bounds of what is learned: labelled documents per language (in expectation), and n-grams per language and length.
 SAMPLE_DOCS = 2000
 GRAMS_PER_LANGUAGE = 6000
+# An n-gram is learned from so many documents on, or from as many as a language's most frequent n-gram reaches.
 MIN_DOCUMENTS = 3
 # Slots (a power of two) and hash functions of the filter.
 SLOTS = 1 << 18
@@ -122,16 +123,18 @@ def learn(
     """Learn a filter from the rows for which the column ``labelled`` holds and language and text are there.
 
     About ``sample_docs`` documents of a language are used (all, if it has fewer), those with the smallest hashes of
-    their ids; the driver gets a number per language and at most ``grams_per_language`` n-gram hashes per language and length.
+    id and text, and always the smallest one. A language of which no n-gram is found in ``MIN_DOCUMENTS`` sampled documents
+    learns the n-grams found in most of them, so every language whose sample has n-grams is learned. The driver gets three numbers
+    per language and at most ``grams_per_language`` n-gram hashes per language and length.
     """
     rows = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     # a language's number of documents gives the part of the space of hashes that holds its sample
-    shares = [x for r in rows.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(sample_docs / r["count"]))]
-    if not shares:
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
+    if not sizes:
         return build([], {})
-    place = F.col("h") / F.lit(2.0**64) + 0.5
-    sample = rows.where(place < F.element_at(F.create_map(*shares), F.col("lang"))).select("lang", "text")
+    last = {r["lang"]: 2**63 - 1 if r["n"] <= sample_docs else max(r["least"], int(sample_docs / r["n"] * 2**64) - 2**63) for r in sizes}
+    sample = rows.where(F.col("h") <= by_language(last)).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -153,13 +156,22 @@ def learn(
                     ], names=["lang", "n", "gram", "docs"])
 
     counted = sample.mapInArrow(count, "lang string, n int, gram long, docs long").groupBy("lang", "n", "gram").agg(F.sum("docs").alias("docs"))
+    counted = stored(counted, "language-grams")
+    bounds = {r["lang"]: min(MIN_DOCUMENTS, r["most"]) for r in counted.groupBy("lang").agg(F.max("docs").alias("most")).collect()}
+    if not bounds:
+        return build([], {})
     best = Window.partitionBy("lang", "n").orderBy(F.desc("docs"), "gram")
-    top = counted.where(F.col("docs") >= F.least(F.lit(MIN_DOCUMENTS), F.lit(sample_docs))).withColumn("r", F.row_number().over(best))
+    top = counted.where(F.col("docs") >= by_language(bounds)).withColumn("r", F.row_number().over(best))
     chosen = top.where(F.col("r") <= grams_per_language).groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()
     hashes = {row["lang"]: np.array(row["grams"], np.int64).view(np.uint64) for row in chosen}
     return build(sorted(hashes), hashes)
 
 
+def by_language(numbers: dict[str, int]) -> Column:
+    """The number of each row's language."""
+    return F.element_at(F.create_map(*[F.lit(x).cast("bigint") if isinstance(x, int) else F.lit(x) for pair in numbers.items() for x in pair]), F.col("lang"))
+
+
 def predict(
     docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = GRAM_LENGTHS,
 ) -> DataFrame:

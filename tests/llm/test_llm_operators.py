@@ -102,6 +102,53 @@ def test_language_edges(awkward, empty):
     assert {r["lang_pred"] for r in language_filters.predict(awkward, language_filters.build([], {})).collect()} == {"und"}
 
 
+def grams_by_hand(text):
+    folded = "".join(c.lower() if c.isalpha() else " " for c in f" {text} ")
+    folded = " ".join(folded.split()).join("  ")
+    return {folded[i : i + n] for n in language_filters.GRAM_LENGTHS for i in range(len(folded) - n + 1)}
+
+
+def rare_languages():
+    rng = random.Random(8)
+    speak = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(150))
+    rows = [(None, speak("abcde"), "aa", None, None) for _ in range(40)] + [(7, speak("fghij"), "ff", None, None) for _ in range(40)]
+    rows += [(1, speak("klmno"), "kk", None, None), (2, speak("pqrst"), "pp", None, None), (3, speak("pqrst"), "pp", None, None)]
+    return rows + [(100 + i, speak(letters), None, None, None) for i, letters in enumerate(["abcde", "fghij", "klmno", "pqrst"] * 5)] + [(200, "12", "kk", None, None)]
+
+
+@pytest.mark.parametrize("n_docs", [8, 2000])
+def test_language_stage_keeps_what_brute_force_keeps(spark, monkeypatch, n_docs):
+    """Languages of one or two documents, and large ones whose ids are null or all the same."""
+    learn = language_filters.learn
+    monkeypatch.setattr(language_filters, "learn", lambda docs, labelled: learn(docs, labelled, sample_docs=n_docs))
+    rows = rare_languages()
+    model = language_filters.learn(frame(spark, rows), F.lit(True))
+    assert model.languages == ["aa", "ff", "kk", "pp"]
+    if n_docs == 2000:
+        members = {}
+        for lang in model.languages:
+            found = Counter(g for _, t, k, _, _ in rows if k == lang for g in grams_by_hand(t))
+            members[lang] = {g for g, n in found.items() if n >= min(3, max(found.values()))}
+    else:
+        members = {lang: set().union(*[grams_by_hand(t) for _, t, k, _, _ in rows if k == lang]) for lang in model.languages}
+    hand = Counter()
+    for row in rows:
+        grams = grams_by_hand(row[1])
+        share = sorted((len(grams & m) / max(len(grams), 1) for m in members.values()), reverse=True)
+        if any(map(str.isalpha, row[1])) and share[0] - share[1] >= language_filters.MIN_MARGIN:
+            hand[row] += 1
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    assert Counter(map(tuple, stage(spark, frame(spark, rows), SF).collect())) == hand
+    assert sum(hand.values()) == len(rows) - 1
+    predicted = {r["doc_id"]: r["lang_pred"] for r in language_filters.predict(frame(spark, [r for r in rows if (r[0] or 0) >= 100]), model).collect()}
+    assert [predicted[100 + i] for i in range(20)] == ["aa", "ff", "kk", "pp"] * 5 and predicted[200] == "und"
+
+
+def test_language_sample_is_not_fooled_by_repeated_rows(spark):
+    rows = [(None, f"{word} letters only", lang, None, None) for lang, word in (("aa", "copy"), ("bb", "andere")) for _ in range(50)]
+    assert language_filters.learn(frame(spark, rows), F.lit(True), sample_docs=5).languages == ["aa", "bb"]
+
+
 def test_filters_hold_every_learned_gram_and_know_their_error():
     rng = np.random.default_rng(3)
     members = {f"l{i:02}": rng.integers(0, 1 << 63, 4000).astype(np.uint64) for i in range(70)}

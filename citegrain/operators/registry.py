@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citegrain.functions import url as U
@@ -102,13 +104,16 @@ def resolve_latest(requests: DataFrame, manifests: DataFrame) -> DataFrame:
     """For each request (brand, market, domain): domain pointer, market pointer, else scan.
 
     Only runs with ``has_payload`` count. The three candidates carry a priority and the best
-    one per request wins; requests are keyed by ``request_id``.
+    one per request wins; requests are keyed by ``request_id``. The scan is that of ``scan_latest``: a blank or ``all``
+    brand or market fits every run, and a run without domain fits every domain.
     """
     usable = manifests.where(F.coalesce("has_payload", F.lit(True)))
     pointers = latest_successful(usable)
+    any_of = lambda c: (text_or_empty(c) == "") | (F.lower(text_or_empty(c)) == "all")
     wanted = requests.select(
         "request_id", U.registry_key("brand").alias("brand_key"), U.registry_key("market").alias("market_key"),
-        U.registry_key("domain").alias("_domain"),
+        U.registry_key("domain").alias("_domain"), any_of("brand").alias("_any_brand"), any_of("market").alias("_any_market"),
+        (text_or_empty("domain") != "").alias("_by_domain"), any_of("domain").alias("_any_domain"),
     )
     by_domain = wanted.where("_domain != ''").join(
         pointers.where("level = 'domain'").withColumnRenamed("domain_key", "_domain"), ["brand_key", "market_key", "_domain"]
@@ -116,10 +121,34 @@ def resolve_latest(requests: DataFrame, manifests: DataFrame) -> DataFrame:
     by_market = wanted.join(
         pointers.where("level = 'market'"), ["brand_key", "market_key"]
     ).select("request_id", "run_id", F.lit(1).alias("prio"))
-    best = by_domain.unionByName(by_market).groupBy("request_id").agg(
+    best = by_domain.unionByName(by_market).unionByName(_scanned(wanted, usable)).groupBy("request_id").agg(
         F.min_by("run_id", "prio").alias("run_id"), F.min("prio").alias("prio")
     )
-    return best.withColumn("matched_by", F.when(F.col("prio") == 0, "domain").otherwise("market")).drop("prio")
+    matched = F.when(F.col("prio") == 0, "domain").when(F.col("prio") == 1, "market").otherwise("scan")
+    return best.withColumn("matched_by", matched).drop("prio")
+
+
+def _scanned(wanted: DataFrame, usable: DataFrame) -> DataFrame:
+    """Per request the run that a scan finds, by aggregations of the runs for each kind of request.
+
+    A request asks for brand and market, one of them or neither; each kind joins the newest run of its keys, of any domain
+    or of the request's own and none.
+    """
+    m = keyed_manifests(usable).where(is_report_ready())
+    newest = F.max(F.struct(recency().alias("t"), F.col("run_id").alias("r"))).alias("_found")
+    arms = []
+    for any_brand in (False, True):
+        for any_market in (False, True):
+            keys = ([] if any_brand else ["brand_key"]) + ([] if any_market else ["market_key"])
+            asked = wanted.where((F.col("_any_brand") == any_brand) & (F.col("_any_market") == any_market))
+            every = asked.where(~F.col("_by_domain") | F.col("_any_domain"))
+            own = asked.where(F.col("_by_domain") & ~F.col("_any_domain"))
+            either = own.select("request_id", *keys, F.explode(F.array_distinct(F.array("_domain", F.lit("")))).alias("domain_key"))
+            for rows, by in ((every, keys), (either, [*keys, "domain_key"])):
+                found = m.groupBy(*by).agg(newest).where("_found IS NOT NULL")
+                arms.append((rows.join(found, by) if by else rows.crossJoin(found)).select("request_id", "_found"))
+    both = functools.reduce(DataFrame.unionByName, arms)
+    return both.groupBy("request_id").agg(F.max("_found")["r"].alias("run_id"), F.lit(2).alias("prio"))
 
 
 def history(manifests: DataFrame, statuses: DataFrame, brand=None, market=None, domain=None, limit: int = 20) -> DataFrame:

@@ -206,6 +206,27 @@ def test_active_truth_table(spark, status, stage, auditor_error, error, failed,
     assert df.select(S.is_active(df.columns, F.lit(now))).first()[0] is expected
 
 
+def test_latest_run_falls_back_to_a_scan(spark):
+    """Each request gets the run that the single-request functions find for it."""
+    ready = ("completed", "report_bundle_ready", True)
+    values = [("Acme", "UK", "https://a.example"), ("Acme", "UK", None), ("Acme", "Peru", "b.example"), ("", "Peru", None), ("Solo", "", "a.example"), (None, None, None)]
+    rows = [(f"r{i}", b, m, d, *ready, 100 - 7 * i, i != 1) for i, (b, m, d) in enumerate(values)]
+    runs = spark.createDataFrame(rows, "run_id string, brand string, market string, domain string, status string, stage string, dashboard_ready boolean, completed_at_epoch bigint, has_payload boolean")
+    asked = [(b, m, d) for b in ("Acme", "Solo", "", "ALL", None, "nobody") for m in ("UK", "Peru", "", "all", None) for d in ("a.example", "b.example", "all", "", None)]
+    requests = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "request_id int, brand string, market string, domain string")
+    got = {r.request_id: (r.run_id, r.matched_by) for r in registry.resolve_latest(requests, runs).collect()}
+    key = lambda v: (v or "").lower().replace("https://", "")
+    usable = [(key(b), key(m), key(d), e, r) for r, b, m, d, _, _, _, e, ok in rows if ok]
+    for i, (b, m, d) in enumerate(asked):
+        b, m, d = key(b), key(m), key(d)
+        pick = lambda test: max(((e, r) for x, y, z, e, r in usable if test(x, y, z)), default=(0, None))[1]
+        named = lambda x, y: x == b and y == m and x and y
+        hand = [(pick(lambda x, y, z: named(x, y) and d and z == d), "domain"), (pick(lambda x, y, z: named(x, y)), "market"),
+                (pick(lambda x, y, z: (b in ("", "all") or x == b) and (m in ("", "all") or y == m) and (d in ("", "all") or z in ("", d))), "scan")]
+        assert got.get(i) == next((h for h in hand if h[0]), None), asked[i]
+    assert {how for _, how in got.values()} == {"domain", "market", "scan"}
+
+
 def test_running_newer_run_does_not_replace_completed(spark):
     m = spark.createDataFrame([
         ("old", "Acme", "Japan", None, "report_bundle_ready", "completed", True, 100, 100),

@@ -339,6 +339,24 @@ def run_telemetry(spark, sf):
     return crawl.run_telemetry(p, cites)
 
 
+# The query above reads the citations of even ids only, as does its SQL; this one reads those of all documents.
+@query(rf"""
+WITH s AS ({SPARSE_SQL}), {ENRICHED_SQL},
+k AS (SELECT *, pos % 3 <> 0 AS own, status NOT IN ('', 'not_requested', 'pending') AS tried, status = 'success' AS ok,
+  status IN ('failed', 'blocked', 'error', 'partial_success_empty_text') AS bad FROM c)
+SELECT run_id, {", ".join(
+    f"count(*) FILTER ({test}) AS {side}_{name}" for side, own in (("owned", "own"), ("external", "NOT own")) for name, test in (
+        ("page_candidates", own), ("pages_attempted", f"{own} AND tried"), ("pages_crawled", f"{own} AND ok"),
+        ("pages_failed", f"{own} AND bad"), ("pages_scoreable", f"{own} AND ok AND words >= 20")))},
+  sum(pos % 4)::BIGINT AS external_citation_count,
+  CASE WHEN bool_or(tried) THEN round_even(count(*) FILTER (ok)::DOUBLE / count(*) FILTER (tried), 4) END AS crawl_success_rate
+FROM k GROUP BY run_id""")
+def run_telemetry_all_citations(spark, sf):
+    p = crawl.enrich_pages(_sparse_pages(spark, sf)).withColumn("kind", F.when(F.col("pos") % 3 != 0, "owned").otherwise("external"))
+    cites = table(spark, sf, "documents").select(F.col("source").alias("run_id"), (F.col("doc_id") % 4).alias("citation_count"))
+    return crawl.run_telemetry(p, cites)
+
+
 @query(rf"""
 WITH d AS (SELECT source AS run_id, CASE doc_id % 5 WHEN 0 THEN 'weak' WHEN 1 THEN 'blocked' WHEN 2 THEN 'partial' ELSE 'success' END AS s FROM documents)
 SELECT run_id, count(*) AS pages_requested, count(*) FILTER (s = 'success') AS pages_collected, count(*) FILTER (s IN ('weak', 'partial')) AS pages_weak,

@@ -46,3 +46,9 @@ def test_query_agrees_with_sql(spark, db, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert rows == sorted((tuple(plain(r[i]) for i in order) for r in found.fetchall()), key=repr)
+
+
+def test_telemetry_counts_the_citations_of_all_documents(spark, db):
+    rows = catalogue.QUERIES["run_telemetry_all_citations"](spark, SF).collect()
+    hand = dict(db.execute("SELECT source, sum(doc_id % 4)::BIGINT FROM documents GROUP BY 1").fetchall())
+    assert {r.run_id: r.external_citation_count for r in rows} == hand

@@ -254,7 +254,7 @@ SELECT run_id, url, count(*) AS query_count, max(mapping_score) AS mapping_score
        md5(string_agg(query, '|' ORDER BY n) FILTER (n <= 10)) AS related FROM o GROUP BY 1, 2""")
 def mapping_rollup(spark, sf):
     q = portfolio_queries(spark, sf)
-    r = mapping.mapping_rollup(checkpointed(mapping.map_queries(q, site_urls(spark, sf), 3)), q)
+    r = mapping.mapping_rollup(checkpointed(mapping.map_queries(q, site_urls(spark, sf), 3)), q, seeds=10)
     return r.select("run_id", "url", "query_count", "mapping_score", F.coalesce("brand_topic_category", F.lit("-")).alias("brand_topic_category"),
                     F.md5(F.array_join("related_queries_seed", "|")).alias("related"))
 

@@ -68,6 +68,16 @@ s AS (SELECT run_id, count(DISTINCT url) AS n FROM m GROUP BY 1)
 SELECT run_id, (SELECT count(*) FROM ({CAPPED_SQL}) c WHERE c.run_id = s.run_id) AS queries, least(60, n) AS owned_pages,
        (SELECT count(*) FROM m WHERE m.run_id = s.run_id) AS mappings, (SELECT count(*) FROM pages) AS sitemap_urls FROM s""")
 def refresh_scope(spark, sf):
+    limits = refresh.RefreshOptions(query_limit=50, max_owned_urls=60)
+    return refresh.scope(portfolio_queries(spark, sf), site_urls(spark, sf), limits)["counts"]
+
+
+@query(f"""
+WITH {MAPPING_SQL}
+SELECT run_id, (SELECT count(*) FROM ({QUERIES_SQL}) c WHERE c.run_id = m.run_id) AS queries, count(DISTINCT url) AS owned_pages,
+       count(*) AS mappings, (SELECT count(*) FROM pages) AS sitemap_urls FROM m GROUP BY run_id""")
+def refresh_scope_whole(spark, sf):
+    """All queries and all mapped URLs of each run."""
     return refresh.scope(portfolio_queries(spark, sf), site_urls(spark, sf))["counts"]
 
 

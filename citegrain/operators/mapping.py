@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from citegrain.functions.text import match_tokens, text_or_empty
 from citegrain.operators.frames import first_n
+from citegrain.operators.ordinals import first_or_all
 
 # Fixed values: (term in the query, terms in the URL), each worth BOOST points.
 BOOST = 3
@@ -141,14 +142,15 @@ def map_queries(queries: DataFrame, urls: DataFrame, k: int = 3, run: str = "run
     )
 
 
-def selected_urls(mappings: DataFrame, n: int, run: str = "run_id") -> DataFrame:
-    """Distinct mapped URLs in mapping order, the first ``n`` per run, ranked."""
+def selected_urls(mappings: DataFrame, n: int | None = None, run: str = "run_id") -> DataFrame:
+    """Distinct mapped URLs in mapping order, ranked; with ``n`` the first ``n`` per run."""
     first = mappings.groupBy(run, "url").agg(F.min(F.struct("qpos", "rank")).alias("first_seen"))
-    return first_n(first, run, ["first_seen"], n)
+    placed = first.select("*", F.col("first_seen.qpos").alias("_qpos"), F.col("first_seen.rank").alias("_at"))
+    return first_or_all(placed, run, ["_qpos", "_at"], n).drop("_qpos", "_at")
 
 
-def mapping_rollup(mappings: DataFrame, queries: DataFrame, run: str = "run_id", seeds: int = 10) -> DataFrame:
-    """Per mapped URL: queries, best score, first topic and the first ten related queries."""
+def mapping_rollup(mappings: DataFrame, queries: DataFrame, run: str = "run_id", seeds: int | None = None) -> DataFrame:
+    """Per mapped URL: queries, best score, first topic and the related queries; with ``seeds`` the first so many."""
     topics = queries.select(run, "query_id", *[c for c in ("topic",) if c in queries.columns])
     joined = mappings.join(topics, [run, "query_id"], "left")
     if "topic" not in joined.columns:
@@ -160,8 +162,10 @@ def mapping_rollup(mappings: DataFrame, queries: DataFrame, run: str = "run_id",
         F.max("mapping_score").alias("mapping_score"),
         F.min_by(topic, F.when(topic.isNotNull(), order)).alias("brand_topic_category"),
     )
-    seed_rows = first_n(joined.select(run, "url", "query", "qpos", "rank"), [run, "url"], ["qpos", "rank"], seeds, rank="_n")
+    seed_rows = joined.select(run, "url", "query", "qpos", "rank")
+    if seeds is not None:
+        seed_rows = first_n(seed_rows, [run, "url"], ["qpos", "rank"], seeds, rank="_n")
     seed_lists = seed_rows.groupBy(run, "url").agg(
-        F.array_sort(F.collect_list(F.struct("_n", "query"))).alias("_seeds")
+        F.array_sort(F.collect_list(F.struct("qpos", "rank", "query"))).alias("_seeds")
     ).select(run, "url", F.transform("_seeds", lambda s: s["query"]).alias("related_queries_seed"))
     return totals.join(seed_lists, [run, "url"]).withColumn("mapping_quality", F.lit("candidate"))

@@ -8,31 +8,32 @@ from pyspark.sql import DataFrame, functions as F
 
 from citegrain.operators import citations as C
 from citegrain.operators import crawl, hygiene as H, mapping, merging
-from citegrain.operators.frames import first_n
+from citegrain.operators.ordinals import first_or_all
 from citegrain.operators.portfolio import normalise_queries
 from citegrain.session import checkpointed
 
 
 @dataclass(frozen=True)
 class RefreshOptions:
-    """Limits and switches of a refresh."""
+    """Limits and switches of a refresh; without a limit all queries and all mapped URLs of a run are kept.
 
-    query_limit: int = 50
+    ``pages_per_query`` is the k of the mapping, whose purpose is the best k pages of each query.
+    """
+
+    query_limit: int | None = None
     pages_per_query: int = 3
-    max_owned_urls: int = 60
-    max_external_urls: int = 30
+    max_owned_urls: int | None = None
     crawl_owned: bool = True
-    crawl_external: bool = False
     collect_answers: bool = False
 
 
 def scope(queries: DataFrame, urls: DataFrame, options: RefreshOptions = RefreshOptions()) -> dict[str, DataFrame]:
-    """Portfolio queries and site URLs → capped queries, mappings, selected pages, placeholders.
+    """Portfolio queries and site URLs → queries, mappings, selected pages, placeholders.
 
     ``queries``: run_id, pos, query_id, query, topic, recommended_page_type; ``urls``: run_id, pos, url.
     """
-    capped = first_n(normalise_queries(queries), "run_id", ["pos"], options.query_limit, rank="query_rank")
-    # the mapping is the costly part and feeds four outputs
+    # the mapping reads the queries many times; it is the costly part and feeds four outputs
+    capped = checkpointed(first_or_all(normalise_queries(queries), "run_id", ["pos"], options.query_limit, rank="query_rank"))
     mappings = checkpointed(mapping.map_queries(capped, urls, options.pages_per_query))
     selected = mapping.selected_urls(mappings, options.max_owned_urls)
     status = "pending" if options.crawl_owned else "not_requested"

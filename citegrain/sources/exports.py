@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from citegrain.functions.text import text_or_empty, truncate
 from citegrain.operators.crawl import enrich_pages
-from citegrain.operators.frames import first_n
+from citegrain.operators.ordinals import first_or_all
 
 OWNED_MARKDOWN_CHARS, OWNED_EXTRACT_CHARS, EXTERNAL_EXTRACT_CHARS = 60000, 12000, 8000
 OWNED_LINKS, EXTERNAL_LINKS, PDF_LINKS = 75, 25, 25
@@ -61,13 +61,13 @@ def slim_pages(pages: DataFrame, external: bool = False, keys=("run_id",)) -> Da
     return p.select(*[k for k in keys if k not in keep], *keep, *[c.alias(n) for n, c in extra.items()])
 
 
-def slim_failed(failed: DataFrame, run: str = "run_id", order: str = "pos") -> DataFrame:
-    """The first 100 failed pages per run with a shortened error."""
+def slim_failed(failed: DataFrame, run: str = "run_id", order: str = "pos", n: int | None = MAX_FAILED) -> DataFrame:
+    """The first ``n`` failed pages per run, or all without ``n``, with a shortened error."""
     rows = failed.select(
         run, order, F.coalesce(F.nullif("url", F.lit("")), F.col("source_url")).alias("url"), "crawl_status",
         "extraction_status", truncate(text_or_empty("error"), FAILED_ERROR_CHARS).alias("error"),
     )
-    return first_n(rows, run, [order, "url"], MAX_FAILED)
+    return first_or_all(rows, run, [order, "url"], n)
 
 
 def export_counts(owned: DataFrame, external: DataFrame, failed: DataFrame, run: str = "run_id") -> DataFrame:

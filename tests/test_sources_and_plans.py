@@ -179,6 +179,23 @@ def test_refresh_scope_and_canonical_pages(spark):
     assert out["hygiene"].first().llms_status == "not checked"
 
 
+def test_refresh_without_limits_keeps_all(spark):
+    n = 70
+    queries = spark.createDataFrame([("r", i * 100, None, f"topic{i:03} common", "T", None) for i in range(n)],
+                                    "run_id string, pos int, query_id string, query string, topic string, recommended_page_type string")
+    urls = spark.createDataFrame([("r", i, f"https://b.example/topic{i:03}") for i in range(n)] + [("r", n, "https://b.example/common")], "run_id string, pos int, url string")
+    s = refresh.scope(queries, urls)
+    counts = s["counts"].first()
+    assert (counts.queries, counts.owned_pages, counts.sitemap_urls) == (n, n + 1, n + 1)
+    assert sorted(r.query_rank for r in s["queries"].collect()) == list(range(1, n + 1))
+    pages = {r.url: r for r in s["owned_pages"].collect()}
+    assert sorted(r.rank for r in pages.values()) == list(range(1, n + 2))
+    assert pages["https://b.example/common"].related_queries_seed == [f"topic{i:03} common" for i in range(n)]
+    bad = spark.createDataFrame([("r", i, f"https://f/{i}", None, "failed", None, "e") for i in range(120)],
+                                "run_id string, pos int, url string, source_url string, crawl_status string, extraction_status string, error string")
+    assert sorted(r.rank for r in X.slim_failed(bad, n=None).collect()) == list(range(1, 121))
+
+
 def test_collected_answers_win_over_placeholders(spark):
     placeholders = spark.createDataFrame([("r", 0, "q1", "pending"), ("r", 1, "q2", "pending")], "run_id string, pos int, query_id string, status string")
     collected = spark.createDataFrame([("r", 5, "q1", "done")], "run_id string, pos int, query_id string, status string")

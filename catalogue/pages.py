@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.base import CRAWLED_SQL, OWNED, crawled, in_list, query, quoted, table
+from catalogue.base import CRAWLED_SQL, ORACLE, OWNED, crawled, in_list, query, quoted, table
 from catalogue.texts import (
     NUMBER_RE2, block_sql, clean_sql, compact_sql, count_sql, line_key_sql, numeric_count_sql, questions_sql, re2,
 )
@@ -611,7 +611,11 @@ SELECT run_id, robots_status, llms_status,
     || CASE WHEN robots_status = 'available' THEN 'is available' ELSE 'was not found' END || '; LLMs.txt was not found.' END AS summary
 FROM h""")
 def hygiene_priority(spark, sf):
-    c = H.structured_coverage(_marked_pages(spark, sf), "run_id")
+    return _priority(_marked_pages(spark, sf))
+
+
+def _priority(pages):
+    c = H.structured_coverage(pages, "run_id")
     robots = H.file_status(F.when(F.col("run_id").endswith(".com"), " Fetched ").otherwise("not_requested"),
                            F.when(F.col("run_id").endswith(".com"), 0).otherwise(2))
     llms = H.file_status(F.when(F.col("run_id").endswith(".org"), "pending").otherwise("404"))
@@ -622,7 +626,11 @@ def hygiene_priority(spark, sf):
 SELECT run_id, CASE WHEN run_id LIKE '%.com' THEN 'stored' WHEN run_id LIKE '%.net' THEN 'nested' ELSE 'recomputed' END AS origin,
        owned_pages_total AS pages FROM ({COVERAGE_SQL})""")
 def hygiene_source(spark, sf):
-    c = H.structured_coverage(_marked_pages(spark, sf), "run_id")
+    return _source(_marked_pages(spark, sf))
+
+
+def _source(pages):
+    c = H.structured_coverage(pages, "run_id")
     full = H.hygiene(c, F.lit("available"), F.lit("available"))
     stored = full.withColumn("summary", F.when(F.col("run_id").endswith(".com"), F.col("summary"))).withColumn("origin", F.lit("stored"))
     nested = full.where(~F.col("run_id").endswith(".org")).withColumn("origin", F.lit("nested"))
@@ -630,6 +638,48 @@ def hygiene_source(spark, sf):
     return best.select("run_id", "origin", F.col("owned_pages_total").alias("pages"))
 
 
+# The five queries above take their signals from page_id, as does their SQL; these read them from the html.
+def _html_pages(spark, sf):
+    f = rich_features(spark, sf).withColumn("crawl_status", crawl.fetch_status("url", F.lit("text/html"), F.col("main_text")))
+    return f.select(U.site_domain(U.host("url")).alias("run_id"), F.col("page_id").alias("pos"), "url", T.compact("title").alias("title"),
+                    "json_ld_present", "json_ld_block_count", "schema_types", "schema_types_detected", "crawl_status")
+
+
+HTML_MARKED_SQL = rf"""
+SELECT page_id, array_to_string(string_split({AUTH}, '.')[-2:], '.') AS run_id, page_id AS pos, url, {decoded(compact_sql(TITLE_SQL))} AS title, page_id % 4 < 3 AS ld,
+   CASE page_id % 4 WHEN 0 THEN ['Product', 'Offer'] WHEN 1 THEN ['FAQPage', 'WebPage', 'Question'] WHEN 2 THEN ['Broken'] ELSE [] END AS types FROM pages"""
+
+
+def _of_html(name):
+    """The SQL of a query above over the pages' markup."""
+    return ORACLE[name].replace(MARKED_SQL, HTML_MARKED_SQL)
+
+
+@query(_of_html("hygiene_coverage"))
+def html_hygiene_coverage(spark, sf):
+    return H.structured_coverage(_html_pages(spark, sf), "run_id")
+
+
+@query(_of_html("schema_type_counts"))
+def html_schema_type_counts(spark, sf):
+    return H.schema_type_counts(_html_pages(spark, sf), "run_id")
+
+
+@query(f"SELECT run_id, pos, url, coalesce(nullif(title, ''), '-') AS title FROM ({HTML_MARKED_SQL}) WHERE NOT ld")
+def html_missing_json_ld(spark, sf):
+    return H.missing_json_ld(_html_pages(spark, sf), "run_id").select("run_id", "pos", "url", F.coalesce(F.nullif("title", F.lit("")), F.lit("-")).alias("title"))
+
+
+@query(_of_html("hygiene_priority"))
+def html_hygiene_priority(spark, sf):
+    return _priority(_html_pages(spark, sf))
+
+
+@query(_of_html("hygiene_source"))
+def html_hygiene_source(spark, sf):
+    return _source(_html_pages(spark, sf))
+
+
 @query(rf"""
 SELECT regexp_replace({AUTH}, '^www\.', '') AS host, count(*) AS pages, 0 AS pages_with_json_ld, 'high' AS priority,
        count(*) FILTER (regexp_matches(html, '<title>\s*</title>')) AS untitled, count(*) AS pages_scored

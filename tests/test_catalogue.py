@@ -52,3 +52,12 @@ def test_telemetry_counts_the_citations_of_all_documents(spark, db):
     rows = catalogue.QUERIES["run_telemetry_all_citations"](spark, SF).collect()
     hand = dict(db.execute("SELECT source, sum(doc_id % 4)::BIGINT FROM documents GROUP BY 1").fetchall())
     assert {r.run_id: r.external_citation_count for r in rows} == hand
+
+
+def test_hygiene_is_read_from_the_html(spark, monkeypatch):
+    """Pages whose markup holds no linked data have none, whatever their ids."""
+    from catalogue import pages
+
+    monkeypatch.setattr(pages, "rich_features", pages.features)
+    rows = catalogue.QUERIES["html_hygiene_coverage"](spark, SF).collect()
+    assert rows and all(r.pages_with_json_ld == r.pages_with_schema == 0 for r in rows)

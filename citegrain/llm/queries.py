@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citegrain.llm import bm25_search, byte_bpe, jaccard_join, language_filters, mixing, repetition, sharding, suffix_dedup, token_files, url_templates
+from citegrain.llm import (
+    bm25_search, byte_bpe, jaccard_join, language_filters, merkle_manifest, mixing, period_runs, repetition, sharding, stream_dedup, suffix_dedup, token_files,
+    url_templates,
+)
 from citegrain.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +98,42 @@ def op10_pareto_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf, "documents"))
 
 
+def id_hash(id_col: str = "doc_id"):
+    """Unsigned CRC-32 of the decimal id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary"))
+
+
+@query
+def op11_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Group and survivor of every document among equal texts, by a stream with state on disk."""
+    found = stream_dedup.deduplicate(spark, f"{sf}/documents.parquet")
+    return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+@query
+def op12_period_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of every document; every tenth one, by hash, is given a periodic tail first."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", id_hash().alias("h"))
+    g = F.floor(F.col("h") / 10)
+    docs = period_runs.with_periodic_tail(
+        docs, F.col("h") % 10 == 0, lambda n: (g % n).cast("int"), lambda n, a: (1 + F.floor((n - a) / (3 + g % 8))).cast("int"),
+    )
+    found = period_runs.periodic_runs(docs).withColumn("best", period_runs.most_repeated(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether tampering with every third one is seen."""
+    found = merkle_manifest.manifest(read_table(spark, sf, "documents"), id_hash() % 3 == 0)
+    return found.withColumn("proof_sha256", merkle_manifest.proof_digest(F.col("path"))).drop("path")
+
+
 ORACLE["op10_pareto_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -158,3 +197,87 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT query_id, rank::INTEGER AS rank, doc_id, score / 16777216.0::DOUBLE AS score FROM r WHERE rank <= 10
 """
+
+ORACLE["op11_stream_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+# Unsigned CRC-32 of the decimal doc_id, byte by byte and bit by bit.
+ID_HASH_SQL = """xor(4294967295::BIGINT, list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ord(substr(doc_id::VARCHAR, k::INTEGER, 1))::BIGINT)),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, bit: xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"""
+
+ORACLE["op12_period_runs"] = rf"""
+WITH d AS (
+  SELECT doc_id, {ID_HASH_SQL} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS original FROM documents),
+a AS (SELECT *, len(original)::BIGINT AS n, h % 10 = 0 AND len(original) > 0 AS tailed, (h // 10) % greatest(len(original), 1) AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+w AS (
+  SELECT doc_id, n, i, original[(CASE WHEN tailed AND i >= a THEN a + (i - a) % p ELSE i END) + 1] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+m AS (SELECT x.doc_id, x.i, x.i - y.i AS lag FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+s AS (
+  SELECT doc_id, lag AS period, min(i) - lag AS start, count(*) + lag AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island FROM m) GROUP BY doc_id, lag, island
+  HAVING count(*) + lag >= greatest(6, 4 * lag)),
+r AS (
+  SELECT * FROM s WHERE NOT EXISTS (
+    SELECT 1 FROM s t WHERE t.doc_id = s.doc_id AND t.period < s.period AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+b AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS listed,
+         arg_min({{'start': start, 'length': length, 'period': period}}, {{'k': -length::DOUBLE / period, 's': start, 'p': period}}) AS best
+  FROM r GROUP BY doc_id),
+k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM w WHERE NOT EXISTS (
+    SELECT 1 FROM r WHERE r.doc_id = w.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+       ((1000 * best.length) // best.period)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+       sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """Levels of the trees per language, then of the tree of their roots; 8 ** levels rows a tree at most."""
+    field = "coalesce(concat(strlen({0}::VARCHAR), ':', {0}::VARCHAR), '-')"
+    leaf = lambda text: "sha256(concat(" + ", ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+    changed = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""d AS (
+  SELECT doc_id, lang AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, {leaf('text')} AS node,
+         CASE WHEN {ID_HASH_SQL} % 3 = 0 THEN {leaf(changed)} ELSE {leaf('text')} END AS folded FROM documents)""",
+        "l0 AS (SELECT tree, pos, node FROM d)"]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            parts.append(f"""{name}{k + 1} AS (
+  SELECT tree, pos // 8 AS pos, CASE WHEN max(alone) THEN any_value(node) ELSE sha256(string_agg(node, '' ORDER BY pos)) END AS node
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) = 1 AS alone FROM {name}{k}) GROUP BY tree, pos // 8)""")
+
+    def fold(name: str, nodes: str, start: str) -> str:
+        now = start
+        for k in range(levels):
+            parts.append(f"""{nodes}_s{k} AS (
+  SELECT x.tree, x.pos, coalesce(string_agg(y.node, '' ORDER BY y.pos) FILTER (WHERE y.pos < x.pos), '') AS lhs,
+         coalesce(string_agg(y.node, '' ORDER BY y.pos) FILTER (WHERE y.pos > x.pos), '') AS rhs, (SELECT count(*) FROM {nodes}{k} z WHERE z.tree IS NOT DISTINCT FROM x.tree) = 1 AS alone
+  FROM {nodes}{k} x JOIN {nodes}{k} y ON x.tree IS NOT DISTINCT FROM y.tree AND x.pos // 8 = y.pos // 8 GROUP BY x.tree, x.pos)""")
+            parts.append(f"""{name}{k} AS (
+  SELECT f.* REPLACE (CASE WHEN alone THEN folded ELSE sha256(lhs || folded || rhs) END AS folded, f.pos // 8 AS pos, proof || lhs || rhs AS proof)
+  FROM {now} f JOIN {nodes}_s{k} s ON f.tree IS NOT DISTINCT FROM s.tree AND f.pos = s.pos)""")
+            now = f"{name}{k}"
+        return now
+
+    climb("l")
+    parts.append(f"t0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, tree AS name, node FROM l{levels})")
+    climb("t")
+    parts.append("f AS (SELECT doc_id, tree, pos, node AS leaf, folded, '' AS proof FROM d)")
+    low = fold("f", "l", "f")
+    parts.append(f"g AS (SELECT doc_id, t0.tree, t0.pos, leaf, t0.node AS subroot, folded, proof FROM {low} x JOIN t0 ON x.tree IS NOT DISTINCT FROM t0.name)")
+    high = fold("g", "t", "g")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, t{levels}.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t{levels}.node AS verified
+FROM {high} x, t{levels}"""
+
+
+ORACLE["op13_merkle_manifest"] = _merkle_sql()

@@ -149,7 +149,8 @@ def manifest(
         F.col(tree_col).alias("tree"), F.col(id_col).alias("id"), leaf.alias("node"),
         F.when(F.lit(False) if tampered is None else tampered, other).alias("forged"),
     )
-    rounds, subroots = climb(numbered(rows, "id", "node"), ["id", "forged"])
+    # stored first, as both the sampling of ranges and the sorting read it
+    rounds, subroots = climb(numbered(stored(rows, "merkle-leaves"), "id", "node"), ["id", "forged"])
     trees = subroots.select(F.lit(0).alias("tree"), F.col("tree").alias("name"), "node")
     tree_rounds, top = climb(numbered(trees, "name"), ["name"])
     top = top.select("tree", F.col("node").alias("root"), F.array().cast(PATH).alias("path"))

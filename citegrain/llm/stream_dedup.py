@@ -9,8 +9,8 @@ A hit, a row whose digest the state knows from another row, counts as equal only
 with the content at the locator. Digests under which bytes differ are grouped by the bytes themselves.
 
 Defined results: null and empty texts are equal; of rows with equal text and equal id the one with the larger locator
-stays; null ids are below all others, and ``keep_id`` is null only if all ids of a group are; an empty table, or a
-folder without files, gives no rows; whole texts are read; other columns are not read, so their names cannot clash.
+stays; null ids are below all others, and ``keep_id`` is null only if all ids of a group are; an empty table
+gives no rows; whole texts are read; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -11,16 +11,17 @@ uint64 number of chunks, the chunks, the bitmap of ceil(n/8) bytes and ceil(n/51
 Segments are rows of a table that Spark writes and commits, one file per range of document ids, so that a lost
 executor costs a retry of its tasks only and any store that Spark writes to will do.
 
-Defined results: a null or empty text has no ids but its end id; rows with equal ids stand in the order of their
-texts, null ids come first; an empty table gives an empty file set; other columns are not read.
+Defined results: a null or empty text has no ids but its end id; rows with equal ids stand in the order of the
+hashes of their texts, null ids come first; an empty table gives an empty file set; other columns are not read.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,12 @@ DIRECTORY_BITS = 512
 SEGMENT_TOKENS = 1 << 17
 MEMORY_WORDS = 1_000_000
 TAIL = ".,;:!?"
+TAIL_BYTES = TAIL.encode()
+# Stems that the library gets as one text.
+JOINED = 2000
 # Letters below are Latin ones that normalisation keeps as single letters.
 FIRST_UNSAFE = "\u0250"
+PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01ba\u01c0-\u024f]+")
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -113,22 +118,74 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer whose tokens never span white space.
 
     Each distinct word goes through the library once per worker; closing punctuation after letters and the case of
-    ASCII letters are taken off first, as the tokenizer itself splits the one and folds the other.
+    ASCII letters are taken off first, as the tokenizer itself splits the one and folds the other. Stems of letters
+    alone go as one text of many: each ends with one token that ends a word, so the ids are cut there. Words with a
+    mark of the tokenizer's special tokens go to the library as they are.
     """
 
     def __init__(self, path: str, memory: int = MEMORY_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.memory = memory
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.marks = [token.content.lower().encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
         self.known = Numbers()
-        self.parts = Numbers()
+        self.parts: dict[bytes, int] = {}
         self.part_ids, self.part_counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.word_ids, self.word_counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
+    def _cut(self, word: bytes, marked: bool) -> tuple[bytes, bytes]:
+        """A word's stem and closing punctuation; all of it is the stem where the two may not be told apart."""
+        if marked and any(mark in word.lower() for mark in self.marks):
+            return word, b""
+        if word.isascii():
+            word = word.lower()
+        stem = word.rstrip(TAIL_BYTES)
+        last = stem.decode()[-1:]
+        return (stem, word[len(stem) :]) if last.isalpha() and last < FIRST_UNSAFE and len(last.lower()) == 1 else (word, b"")
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stems(self, stems: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stems of plain letters, one after the other, and the number of each one's ids."""
+        texts = [b" ".join(stems[i : i + JOINED]).decode() for i in range(0, len(stems), JOINED)]
+        ids = np.fromiter(chain.from_iterable(self._library(texts)), np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) == len(stems):
+            return ids, np.diff(last, prepend=-1)
+        return self._others(stems)
+
+    def _others(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_stems``, for any parts."""
+        found = self._library([part.decode() for part in parts])
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Take words into the memory, in the order of their numbers."""
+        lower = b" ".join(fresh).lower()
+        marked = any(mark in lower for mark in self.marks)
+        stems = [word.rstrip(TAIL_BYTES) for word in lower.split()]
+        tails = [word[len(stem) :] for word, stem in zip(fresh, stems)]
+        for i in [i for i, plain in enumerate(map(bytes.isalpha, stems)) if not plain]:
+            stems[i], tails[i] = self._cut(fresh[i], marked)
+        new = [part for part in dict.fromkeys(chain(stems, tails)) if part not in self.parts]
+        # letters below the bound, but for the one that is two characters in lower case, are letters to the library too
+        letters = [part.isalpha() or bool(PLAIN.fullmatch(part.decode())) for part in new]
+        for parts, encode in (([p for p, ok in zip(new, letters) if ok], self._stems), ([p for p, ok in zip(new, letters) if not ok], self._others)):
+            ids, counts = encode(parts) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            self.parts.update(zip(parts, range(len(self.parts), len(self.parts) + len(parts))))
+            self.part_ids, self.part_counts = np.append(self.part_ids, ids), np.append(self.part_counts, counts)
+        numbers = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(zip(stems, tails))), np.int64, 2 * len(stems))
+        self.word_ids = np.append(self.word_ids, gather(self.part_ids, self.part_counts, numbers))
+        self.word_counts = np.append(self.word_counts, self.part_counts[numbers].reshape(-1, 2).sum(axis=1))
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text, without special tokens."""
         if len(self.known) > self.memory:
@@ -139,23 +196,8 @@ class WordEncoder:
         for text in texts:
             words = text.split()
             split.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        fresh, old_parts = list(islice(known, old, None)), len(self.parts)
-        parts, counts = [], []
-        for word in map(bytes.decode, fresh):
-            stem = word.rstrip(TAIL)
-            last = stem[-1:]
-            plain = last.isalpha() and last < FIRST_UNSAFE and len(last.lower()) == 1
-            cut = [stem, word[len(stem) :]] if plain and len(stem) < len(word) else [word]
-            cut[0] = cut[0].lower() if cut[0].isascii() else cut[0]
-            parts += [self.parts[p] for p in cut]
-            counts.append(len(cut))
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(list(islice(self.parts, old_parts, None)), add_special_tokens=False)]
-        self.part_counts = np.append(self.part_counts, np.array([len(f) for f in found], np.int64))
-        self.part_ids = np.append(self.part_ids, np.fromiter((i for f in found for i in f), np.uint32))
-        per_part = self.part_counts[parts] if parts else np.zeros(0, np.int64)
-        self.word_ids = np.append(self.word_ids, gather(self.part_ids, self.part_counts, np.array(parts, np.int64)))
-        word_of = np.repeat(np.arange(len(fresh)), counts) if fresh else np.zeros(0, np.int64)
-        self.word_counts = np.append(self.word_counts, np.bincount(word_of, weights=per_part, minlength=len(fresh)).astype(np.int64))
+        if len(known) > old:
+            self._learn(list(islice(known, old, None)))
         starts = np.cumsum(self.word_counts) - self.word_counts
         return [gather(self.word_ids, self.word_counts, numbers, starts) for numbers in split]
 
@@ -210,8 +252,10 @@ def write_segments(
         if names:
             yield close()
 
-    ordered = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    ordered = ordered.repartitionByRange(id_col).sortWithinPartitions(id_col, "__text")
+    text = F.col(text_col).cast("string")
+    ordered = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), F.xxhash64(text).alias("__hash"))
+    # rows of one id, or without one, may be many: ranges divide them by the hash of their text
+    ordered = ordered.repartitionByRange("__id", "__hash").sortWithinPartitions("__id", "__hash", "__text").drop("__hash")
     return stored(ordered.mapInArrow(work, schema), "token-segments")
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from citegrain.session import shared_dir
 
@@ -48,6 +51,26 @@ def discard(*tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def is_one_scan(df: DataFrame) -> bool:
+    """Whether a plan only projects and filters one table of files, so that each of its rows is one row of a file."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
+def identified(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns with a stable identity of each row: file and row of the file, or a number in a stored table.
+
+    Rows that were exploded, joined or united share files and rows, so they are numbered.
+    """
+    if is_one_scan(docs):
+        with contextlib.suppress(AnalysisException):  # a table without files
+            return docs.select(*columns, F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    numbered = docs.select(*columns, F.lit(0).cast("long").alias("__file"), F.monotonically_increasing_id().alias("__row"))
+    return stored(numbered, "numbered")
+
+
 def byte_values(column: pa.Array) -> list[bytes]:
     """The values of a string column as UTF-8 bytes; null is empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
@@ -65,8 +88,16 @@ def blocks(sizes: list[int], budget: int = BLOCK_BYTES) -> Iterator[tuple[int, i
         yield start, len(sizes)
 
 
+def text_blocks(column: pa.Array, budget: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """The ranges of a string column's blocks with their UTF-8 texts; texts of one block at a time leave the column."""
+    data = column.cast(pa.binary())
+    for start, stop in blocks(pc.fill_null(pc.binary_length(data), 0).to_pylist(), budget):
+        yield start, stop, data.slice(start, stop - start).to_pylist()
+
+
 def per_text(
     docs: DataFrame, id_col: str, text_col: str, schema: str, compute: Callable[[list[bytes | None]], dict[str, object]],
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One result row per document from whole texts: ``compute`` maps a block of UTF-8 texts (None for null) to columns.
 
@@ -79,9 +110,9 @@ def per_text(
 
     def work(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
-            for start, stop in blocks([len(t) if t else 1 for t in texts]):
-                found = compute(texts[start:stop])
+            ids = batch.column(0)
+            for start, stop, texts in text_blocks(batch.column(1), block_bytes):
+                found = compute(texts)
                 arrays = [ids.slice(start, stop - start).cast(target.field(0).type)]
                 arrays += [pa.array(found[f.name], type=f.type) for f in list(target)[1:]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)

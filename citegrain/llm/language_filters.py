@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from citegrain.llm.common import blocks, mixed, per_text, stored
+from citegrain.llm.common import mixed, per_text, stored, text_blocks
 
 UNDETERMINED = "und"
 GRAM_LENGTHS = (3, 4)
@@ -36,6 +36,8 @@ HASHES = 3
 # A document is kept if its language leads the next by this share, or has too few n-grams to tell.
 MIN_MARGIN = 0.1
 MIN_GRAMS = 100
+# Text bytes whose n-grams are looked up at once; a character takes some 25 numbers of eight bytes.
+GRAM_BLOCK_BYTES = 500_000
 
 
 @functools.lru_cache(1)
@@ -97,8 +99,8 @@ class Filter:
             total += np.bincount(doc_of, minlength=len(texts))
             masks = self.contains(hashes)
             for i in range(len(self.languages)):
-                bit = (masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-                hits[i] += np.bincount(doc_of, weights=bit, minlength=len(texts))
+                hit = masks[i // 64] & (np.uint64(1) << np.uint64(i % 64)) != 0
+                hits[i] += np.bincount(doc_of[hit], minlength=len(texts))
         rates = self.rates[:, None]
         share = (hits / np.maximum(total, 1) - rates) / (1 - rates)
         return np.clip(share, 0.0, 1.0), total
@@ -138,11 +140,11 @@ def learn(
 
     def count(batches):
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]
-            for start, stop in blocks(list(map(len, texts))):
+            langs = batch.column(0).to_pylist()
+            for start, stop, texts in text_blocks(batch.column(1), GRAM_BLOCK_BYTES):
                 parts = []
                 for n in lengths:
-                    found, doc_of = grams(texts[start:stop], n)
+                    found, doc_of = grams(texts, n)
                     pairs = np.unique(np.stack([found, doc_of.astype(np.uint64)]), axis=1)
                     names, codes = np.unique(np.array(langs[start:stop], object), return_inverse=True)
                     lang_of = codes[pairs[1].astype(np.int64)]
@@ -181,7 +183,7 @@ def predict(
     def compute(texts):
         return verdicts(shared.value, texts, lengths)
 
-    return per_text(docs, id_col, text_col, "lang_pred string, score double, margin double, n_grams long", compute)
+    return per_text(docs, id_col, text_col, "lang_pred string, score double, margin double, n_grams long", compute, GRAM_BLOCK_BYTES)
 
 
 def verdicts(model: Filter, texts: list[bytes | None], lengths: tuple[int, ...] = GRAM_LENGTHS) -> dict[str, object]:
@@ -220,10 +222,11 @@ def kept(
 
     def work(batches):
         for batch in batches:
-            texts = [t.encode() if t is not None else None for t in batch.column(at).to_pylist()]
-            for start, stop in blocks([len(t) if t else 1 for t in texts]):
-                found = verdicts(shared.value, texts[start:stop], lengths)
+            stays = []
+            for _, _, texts in text_blocks(batch.column(at), GRAM_BLOCK_BYTES):
+                found = verdicts(shared.value, texts, lengths)
                 clear = (found["margin"] >= min_margin) | (found["n_grams"] < min_grams)
-                yield batch.slice(start, stop - start).filter(pa.array((np.array(found["lang_pred"]) != UNDETERMINED) & clear))
+                stays.append((np.array(found["lang_pred"]) != UNDETERMINED) & clear)
+            yield batch.filter(pa.array(np.concatenate(stays) if stays else np.zeros(0, bool)))
 
     return docs.mapInArrow(work, docs.schema)

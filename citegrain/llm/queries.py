@@ -31,8 +31,8 @@ def query(fn):
 
 
 def held_out(id_col: str = "doc_id"):
-    """Documents that no model may learn from."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    """Documents that no model may learn from; those without an id are not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 @query

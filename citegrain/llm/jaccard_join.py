@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from citegrain.llm.common import blocks, byte_values, discard, mixed, stored, to_arrow
+from citegrain.llm.common import blocks, byte_values, discard, identified, mixed, stored, to_arrow
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -143,10 +143,10 @@ def grouped(batches, n_keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id, name of the shingle set (null without shingles) and MinHash values of each document."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([narrow.schema["id"], T.StructField("name", T.StringType()), T.StructField("values", T.BinaryType())])
+def named(rows: DataFrame) -> DataFrame:
+    """Id, name of the shingle set (null without shingles), MinHash values and identity of each identified row."""
+    narrow = rows.select("id", "text", "__file", "__row")
+    schema = T.StructType([narrow.schema["id"], *T.StructType.fromDDL("name string, values binary, __file long, __row long").fields])
     target = to_arrow(schema)
 
     def work(batches):
@@ -155,12 +155,11 @@ def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for start, stop in blocks(list(map(len, texts))):
                 sets = [shingles(t) for t in texts[start:stop]]
                 full = [s for s in sets if len(s)]
-                rows = iter(signatures(full)) if full else iter(())
+                found = iter(signatures(full)) if full else iter(())
                 names = [set_name(s) if len(s) else None for s in sets]
-                values = [next(rows).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, stop - start).cast(target.field(0).type), pa.array(names, pa.string()), pa.array(values, pa.binary())], schema=target,
-                )
+                values = [next(found).tobytes() if len(s) else None for s in sets]
+                ids, files, numbers = (batch.column(i).slice(start, stop - start) for i in (0, 2, 3))
+                yield pa.RecordBatch.from_arrays([ids.cast(target.field(0).type), pa.array(names, pa.string()), pa.array(values, pa.binary()), files, numbers], schema=target)
 
     return narrow.mapInArrow(work, schema)
 
@@ -280,34 +279,26 @@ def verify(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     return out
 
 
-def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float, chunk: int) -> DataFrame:
+def links(texts: DataFrame, classes: DataFrame, clusters: DataFrame, threshold: float, tolerance: float, chunk: int) -> DataFrame:
     """Verified links within clusters: rows (name, other, docs, texts); other is null in rows that carry counts."""
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n_members"))
-    members = clusters.join(sizes, "root").join(classes.select(F.col("name").alias("node"), "copies", "id"), "node")
-    members = members.select("root", "n_members", F.col("node").alias("name"), "copies", F.col("id").alias("class_id"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(members, F.col("id").eqNullSafe(F.col("class_id")))
+    # a class has the text of one row, whatever ids its documents have
+    own = classes.select(F.col("name").alias("node"), "copies", F.col("at.__file").alias("f"), F.col("at.__row").alias("r"))
+    members = clusters.join(sizes, "root").join(own, "node").withColumnRenamed("node", "name")
+    rows = texts.select("__file", "__row", "text").join(members, (F.col("__file") == F.col("f")) & (F.col("__row") == F.col("r")))
     dealt = chunk_pairs(rows, "root", "n_members", chunk).select("root", "i", "j", "chunk", "n_chunks", "name", "copies", "text")
 
     def work(batches):
         for group in grouped(batches, 3):
             i, j, n_chunks = group.column(1)[0].as_py(), group.column(2)[0].as_py(), group.column(4)[0].as_py()
             names, copies, chunks = group.column(5).to_pylist(), group.column(6).to_pylist(), group.column(3).to_pylist()
-            # an id may stand for other texts too; a class is there once
-            found, sets, at = {}, [], []
-            for row, text in enumerate(group.column(7).combine_chunks().cast(pa.binary()).to_pylist()):
-                content = shingles(text or b"")
-                if names[row] not in found and set_name(content) == names[row]:
-                    found[names[row]] = row
-                    sets.append(content)
-                    at.append(row)
-            if len(at) < 2:
+            if len(names) < 2:
                 continue
-            names = [names[r] for r in at]
-            weight, side = np.array([copies[r] for r in at], np.int64), np.array([chunks[r] for r in at])
+            sets = [shingles(text or b"") for text in group.column(7).combine_chunks().cast(pa.binary()).to_pylist()]
+            weight, side = np.array(copies, np.int64), np.array(chunks)
             values = signatures(sets)
             pairs_a, pairs_b = [], []
-            for one in range(len(at) - 1):
+            for one in range(len(names) - 1):
                 rest = one + 1 + survivors(values[one], values[one + 1 :], threshold, tolerance)
                 if n_chunks > 1:
                     # two members of one chunk count in one of the pairs that the chunk takes part in
@@ -318,10 +309,10 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col: str,
             a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
             ok = verify(sets, a, b, threshold)
             a, b = a[ok], b[ok]
-            docs_of = np.bincount(a, weights=weight[b], minlength=len(at)) + np.bincount(b, weights=weight[a], minlength=len(at))
-            texts_of = np.bincount(a, minlength=len(at)) + np.bincount(b, minlength=len(at))
+            docs_of = np.bincount(a, weights=weight[b], minlength=len(names)) + np.bincount(b, weights=weight[a], minlength=len(names))
+            texts_of = np.bincount(a, minlength=len(names)) + np.bincount(b, minlength=len(names))
             has = np.flatnonzero(texts_of)
-            tree = spanning(a, b, len(at))
+            tree = spanning(a, b, len(names))
             yield pa.RecordBatch.from_arrays([
                 pa.array([names[k] for k in has] + [names[x] for x, _ in tree], pa.string()),
                 pa.array([None] * len(has) + [names[y] for _, y in tree], pa.string()),
@@ -350,16 +341,17 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """Classes of equal shingle sets: name, smallest id, number of copies, MinHash values."""
-    return rows.where("name is not null").groupBy("name").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"))
+    """Classes of equal shingle sets: name, smallest id, number of copies, MinHash values, identity of one row."""
+    at = F.min(F.struct("__file", "__row")).alias("at")
+    return rows.where("name is not null").groupBy("name").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"), at)
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float, chunk: int) -> DataFrame:
+def linked_classes(texts: DataFrame, classes: DataFrame, threshold: float, tolerance: float, chunk: int) -> DataFrame:
     """Per class with links: name, root class of its group, smallest id of the group, linked documents and texts."""
     keys = stored(band_keys(classes), "band-keys")
     clusters = components(candidate_edges(classes, keys, threshold, tolerance, chunk), "candidate-clusters")
     discard(keys)
-    found = stored(links(docs, classes, clusters, id_col, text_col, threshold, tolerance, chunk), "links")
+    found = stored(links(texts, classes, clusters, threshold, tolerance, chunk), "links")
     roots = components(found.where("other is not null").select(F.col("name").alias("a"), F.col("other").alias("b")), "link-components")
     counts = found.groupBy("name").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     members = roots.join(classes.select(F.col("name").alias("node"), "id"), "node")
@@ -373,9 +365,10 @@ def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, chunk: int = CHUNK,
 ) -> DataFrame:
     """Class id, linked documents (copies included) and linked different texts of each document."""
-    rows = stored(named(docs, id_col, text_col), "minhash")
+    texts = identified(docs, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = stored(named(texts), "minhash")
     classes = stored(classes_of(rows), "classes")
-    linked = linked_classes(docs, classes, id_col, text_col, threshold, tolerance, chunk)
+    linked = linked_classes(texts, classes, threshold, tolerance, chunk)
     per_class = classes.select("name", "id", "copies").join(linked, "name", "left").select(
         "name", F.coalesce("group_id", "id").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"),
         F.col("id").alias("copy_of"),
@@ -394,8 +387,9 @@ def one_of_each_group(
 
     Documents without shingles belong to no group and all stay.
     """
-    classes = stored(classes_of(stored(named(docs, id_col, text_col), "minhash")), "classes")
-    linked = linked_classes(docs, classes, id_col, text_col, threshold, tolerance, chunk)
+    texts = identified(docs, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    classes = stored(classes_of(stored(named(texts), "minhash")), "classes")
+    linked = linked_classes(texts, classes, threshold, tolerance, chunk)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("name"))
     ranked = linked.select("name", "root").join(classes.select("name", "id"), "name")
     leaders = ranked.groupBy("root").agg(F.min_by("name", order).alias("leader"))

@@ -27,10 +27,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from citegrain.llm.common import blocks, byte_values, discard, stored, to_arrow
+from citegrain.llm.common import blocks, byte_values, discard, identified, stored, to_arrow
 from citegrain.llm.jaccard_join import grouped
 from citegrain.llm.suffix_names import LENGTH, named, samples
 
@@ -38,15 +37,6 @@ from citegrain.llm.suffix_names import LENGTH, named, samples
 SPANS_PER_TASK = 1000
 
 
-def identified(docs: DataFrame, *columns: Column) -> DataFrame:
-    """The columns with a stable identity of each row: file and row of the file, or a number in a stored table."""
-    try:
-        return docs.select(*columns, F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    except AnalysisException:
-        numbered = docs.select(*columns, F.lit(0).cast("long").alias("__file"), F.monotonically_increasing_id().alias("__row"))
-        return stored(numbered, "numbered")
-
-
 def sampled(docs: DataFrame) -> DataFrame:
     """Samples of all texts: file, row, place (position, farthest and nearest string start), gram and span."""
     rows = docs.select("__file", "__row", "__text").where(F.octet_length("__text") >= LENGTH)

@@ -19,6 +19,7 @@ import corpus_pipeline
 from citegrain.llm import (
     bm25_search, byte_bpe, jaccard_join, language_filters, mixing, queries, repetition, sharding, suffix_dedup, token_files, url_templates,
 )
+from citegrain.llm.common import identified, is_one_scan
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -83,6 +84,7 @@ def test_language_accuracy_on_held_out_documents(spark, docs):
     known = {r["doc_id"]: r["lang"] for r in docs.collect()}
     for k, r in found.items():
         assert r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2)
+    assert [r[0] for r in frame(docs.sparkSession, [(None, "a", None, None, None)]).select(queries.held_out()).collect()] == [False]
     held = [k for k in found if found[k]["held_out"]]
     assert sum(found[k]["lang_pred"] == known[k] for k in held) >= 0.95 * len(held)
 
@@ -305,6 +307,19 @@ def test_one_document_of_each_group_stays(spark, awkward, empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+@pytest.mark.parametrize("one_id", [None, 5])
+def test_links_of_rows_that_share_an_id(spark, tmp_path, one_id):
+    """Each class brings one text to its cluster, whether ids tell rows apart or not."""
+    rows = [r[:2] for r in awkward_rows()] + [(100 + i, f"{i // 2} a b c d e f g h i j k l m n o p q r s t u v w") for i in range(8)]
+    spark.createDataFrame([(i, one_id, r[1]) for i, r in enumerate(rows)], "row long, doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    found = tuples(jaccard_join.jaccard_join(df), "n_links", "n_text_links")
+    assert found == tuples(jaccard_join.jaccard_join(df, id_col="row"), "n_links", "n_text_links")
+    texts = identified(df, F.col("doc_id").alias("id"), F.col("text"))
+    classes = jaccard_join.classes_of(jaccard_join.named(texts))
+    assert texts.join(classes, (F.col("__file") == F.col("at.__file")) & (F.col("__row") == F.col("at.__row"))).count() == classes.count()
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(0)
     lost = 0
@@ -351,6 +366,18 @@ def test_repeated_strings(spark, docs, corpus, awkward, empty, monkeypatch, span
         assert suffix_dedup.report(empty).count() == 0
 
 
+def test_repeated_strings_of_rows_that_share_a_row_of_a_file(spark, docs):
+    """Texts cut in two, joined rows and united tables: each row is judged as a document of its own."""
+    halves = F.explode(F.array(F.expr("substring(text, 1, length(text) div 2)"), F.expr("substring(text, length(text) div 2 + 1)"))).alias("text")
+    derived = [
+        docs.select("doc_id", halves), docs.join(spark.range(2).withColumnRenamed("id", "n"), F.col("doc_id") % 3 == F.col("n")), docs.union(docs.where("doc_id % 5 = 0")),
+    ]
+    for df in derived:
+        found = suffix_dedup.report(df)
+        assert tuples(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_by_hand([(r["doc_id"], r["text"]) for r in df.collect()])
+    assert is_one_scan(docs.where("doc_id > 1").select("text")) and not any(map(is_one_scan, derived))
+
+
 def test_repeated_strings_at_the_edge_of_the_length(spark):
     rng = random.Random(1)
     piece = "".join(rng.choice("abcdefgh") for _ in range(230))
@@ -429,9 +456,9 @@ def test_coverage_counts_characters():
 
 def test_token_files(docs, corpus, awkward, empty):
     tokenizer = Tokenizer.from_file(queries.WORD_TOKENIZER)
-    tokenizer.encode_special_tokens = True
     for df, source in ((docs, corpus), (awkward, [r[:2] for r in awkward_rows()])):
-        source = sorted(source, key=lambda r: (r[0] is not None, r[0] or 0, text_bytes(r[1])))
+        hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+        source = sorted(source, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
         expected, start = Counter(), 0
         for key, text in source:
             ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
@@ -442,6 +469,22 @@ def test_token_files(docs, corpus, awkward, empty):
     assert token_files.read_documents(token_files.write_segments(empty, queries.WORD_TOKENIZER, 1)).count() == 0
 
 
+def test_word_encoder_gives_the_ids_of_the_library():
+    """Random texts with marks of special tokens, marks in other case, contractions and letters that fold oddly."""
+    rng = random.Random(4)
+    letters = "abcXYZ '.,;:!?<|>endoftextÀéßİıǰJ\u030cñ漢字한ㅎㅏ12٣_-/\t\n\x85\x1c 🙂ſ\u212aΣσςǅʼŉﬁªºµ"
+    fixed = ["<|endoftext|>", "a<|endoftext|>.", "A<|ENDOFTEXT|>b", "<|startoftext|>x", "don't", "Hello,", "wörld!?"]
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(rng.choice([word(), word(), *fixed]) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    texts += [f"a{chr(c)}b {chr(c)} x{chr(c)}. {chr(c)}{chr(c)}" for c in range(32, 0x300)]
+    library, own = Tokenizer.from_file(queries.WORD_TOKENIZER), token_files.WordEncoder(queries.WORD_TOKENIZER, memory=1000)
+    assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    for i in range(0, len(texts), 300):
+        part = texts[i : i + 300]
+        expected = [e.ids for e in library.encode_batch_fast(part, add_special_tokens=False)]
+        assert [ids.tolist() for ids in own.encode([t.encode() for t in part])] == expected
+
+
 def test_addressable_codes():
     rng = np.random.default_rng(4)
     for n in (0, 1, 511, 512, 513, 5000):

@@ -341,8 +341,8 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """Classes of equal shingle sets: name, smallest id, number of copies, MinHash values, identity of one row."""
-    at = F.min(F.struct("__file", "__row")).alias("at")
+    """Classes of equal shingle sets: name, smallest id, number of copies, MinHash values, identity of the row with that id."""
+    at = F.min(F.struct(F.col("id").isNull(), "id", "__file", "__row")).alias("at")
     return rows.where("name is not null").groupBy("name").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"), at)
 
 
@@ -387,24 +387,15 @@ def one_of_each_group(
 
     Documents without shingles belong to no group and all stay.
     """
-    texts = identified(docs, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    classes = stored(classes_of(stored(named(texts), "minhash")), "classes")
-    linked = linked_classes(texts, classes, threshold, tolerance, chunk)
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+    rows = identified(docs, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), columns)
+    marks = stored(named(rows), "minhash")
+    classes = stored(classes_of(marks), "classes")
+    linked = linked_classes(rows, classes, threshold, tolerance, chunk)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("name"))
     ranked = linked.select("name", "root").join(classes.select("name", "id"), "name")
     leaders = ranked.groupBy("root").agg(F.min_by("name", order).alias("leader"))
-    gone = ranked.join(leaders, "root").where("name <> leader").select(F.col("name").alias("gone"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    schema = T.StructType([rows.schema["__doc"], rows.schema["__id"], T.StructField("__name", T.StringType())])
-
-    def work(batches):
-        for batch in batches:
-            sets = [shingles(t) for t in byte_values(batch.column(2))]
-            names = pa.array([set_name(s) if len(s) else None for s in sets], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names], names=["__doc", "__id", "__name"])
-
-    rows = rows.mapInArrow(work, schema)
-    # copies of one text meet in the partial aggregation, before anything is dealt by name
-    first = rows.where("__name is not null").groupBy("__name").agg(F.min_by("__doc", F.struct(F.col("__id").isNull(), F.col("__id"))).alias("__doc"))
-    first = first.join(gone, F.col("__name") == F.col("gone"), "left_anti")
-    return first.select("__doc").unionByName(rows.where("__name is null").select("__doc")).select("__doc.*")
+    gone = ranked.join(leaders, "root").where("name <> leader").select("name")
+    stay = classes.join(gone, "name", "left_anti").select("at.__file", "at.__row").unionByName(marks.where("name is null").select("__file", "__row"))
+    stay = stay.withColumnsRenamed({"__file": "f", "__row": "r"})
+    return rows.join(stay, (F.col("__file") == F.col("f")) & (F.col("__row") == F.col("r"))).select("__doc.*")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citegrain.functions.text import match_tokens, text_or_empty
 from citegrain.operators.frames import first_n
 from citegrain.operators.ordinals import first_or_all
+from citegrain.session import checkpointed
 
 # Fixed values: (term in the query, terms in the URL), each worth BOOST points.
 BOOST = 3
@@ -19,15 +20,6 @@ BOOST_RULES = (
 )
 REASON = "Sitemap lexical match against query, topic and recommended page type."
 
-# Tokens of a run that tell its URLs apart best are followed first; this many frequent ones are left to patterns.
-FREQUENT = 12
-
-
-def _weighted(tokens: Column, boosts: Column) -> Column:
-    """array<struct<token,weight>>: plain tokens weigh 1, boost rules BOOST."""
-    item = lambda weight: lambda t: F.struct(t.alias("token"), F.lit(weight).alias("weight"))
-    return F.concat(F.transform(tokens, item(1)), F.transform(boosts, item(BOOST)))
-
 
 def _boosts(low: Column, side: int) -> Column:
     hits = []
@@ -43,9 +35,7 @@ def _boosts(low: Column, side: int) -> Column:
 def query_tokens(queries: DataFrame, run: str = "run_id") -> DataFrame:
     parts = [text_or_empty(c) for c in ("query", "topic", "recommended_page_type") if c in queries.columns]
     text = F.concat_ws(" ", *parts)
-    return queries.select(run, F.col("pos").alias("qpos"), F.explode(
-        _weighted(match_tokens(text), _boosts(F.lower(text), 0))
-    ).alias("t")).select(run, "qpos", "t.token", "t.weight")
+    return queries.select(run, F.col("pos").alias("qpos"), F.explode(F.concat(match_tokens(text), _boosts(F.lower(text), 0))).alias("token"))
 
 
 def url_token_rows(urls: DataFrame, run: str = "run_id") -> DataFrame:
@@ -55,78 +45,100 @@ def url_token_rows(urls: DataFrame, run: str = "run_id") -> DataFrame:
     ).alias("token"))
 
 
-def _patterns(urls: DataFrame, tokens: DataFrame, name: str, k: int, run: str) -> tuple[DataFrame, DataFrame]:
-    """(tokens of each distinct token set, its ``k`` best URLs): URLs with one set are equal to every query.
+def _weight(token: Column) -> Column:
+    """What a token shared by a query and a URL is worth."""
+    return F.when(token.startswith("boost:"), BOOST).otherwise(1)
 
-    A set is named by the hash of its sorted tokens; URLs without any of the tokens have the set 0.
-    """
-    # the tokens of one URL bound the collected set
-    sets = tokens.groupBy(run, "upos").agg(F.array_sort(F.collect_set("token")).alias("set"))
-    named = urls.join(sets, [run, "upos"], "left").withColumn(name, F.when(F.col("set").isNotNull(), F.xxhash64("set")).otherwise(0))
-    best = first_n(named.select(run, name, "upos", "url", "ulen", "set"), [run, name], ["ulen", "upos"], k, rank="r")
-    members = best.where("r = 1").select(run, name, F.explode("set").alias("token"))
-    return members, best.drop("set", "r")
 
+def _told_apart(sets: DataFrame, urls: DataFrame, run: str, frequent: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tokens of query sets and of URLs, and what each set gains on all URLs of its run alike.
 
-def map_queries(queries: DataFrame, urls: DataFrame, k: int = 3, run: str = "run_id", frequent: int = FREQUENT) -> DataFrame:
+    Tokens that no query asks for are left out, and those that every URL of a run has only shift a set's scores. ``n``,
+    the number of a token's URLs, is the order in which tokens are followed; the ``frequent`` most common tokens of a
+    run, by default log2 of its URLs, so that the sets of such tokens do not outnumber the URLs, are told by a flag.
+    """
+    u_tokens = url_token_rows(urls, run)
+    sizes = urls.groupBy(run).agg(F.count("*").alias("n_urls"))
+    q_tokens = sets.select(run, "qset", F.explode("tokens").alias("token"))
+    counted = u_tokens.groupBy(run, "token").agg(F.count("*").alias("n")).join(q_tokens.select(run, "token").distinct(), [run, "token"], "left_semi")
+    counted = counted.join(sizes, run).withColumn("everywhere", F.col("n") == F.col("n_urls"))
+    # no run has more URLs than a bigint counts, so 64 places are enough to rank
+    places = first_n(counted.where("NOT everywhere"), run, [F.desc("n"), "token"], 64 if frequent is None else max(frequent, 1), rank="place")
+    most = F.ceil(F.log2("n_urls")) if frequent is None else F.lit(frequent)
+    common = places.where(F.col("place") <= most).select(run, "token", F.lit(True).alias("common"))
+    kinds = counted.drop("n_urls").join(common, [run, "token"], "left").withColumns({"common": F.col("common").isNotNull(), "weight": _weight(F.col("token"))})
+    # both are read several times: stored once, the plan of each use stays small
+    q_kinds, u_kinds = checkpointed(q_tokens.join(kinds, [run, "token"])), checkpointed(u_tokens.join(kinds.where("NOT everywhere").drop("everywhere"), [run, "token"]))
+    shift = q_kinds.where("everywhere").groupBy(run, "qset").agg(F.sum("weight").alias("shift"))
+    return q_kinds.where("NOT everywhere").drop("everywhere"), u_kinds, shift
+
+
+def _bounded(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rest``: what a row's token and all more frequent ones of the same key are worth together."""
+    later = Window.partitionBy(*keys).orderBy(F.desc("n"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("rest", F.sum("weight").over(later))
+
+
+def candidate_pairs(q_tokens: DataFrame, u_tokens: DataFrame, keyed: DataFrame, k: int, run: str) -> DataFrame:
+    """(set, URL) pairs that hold every set's best ``k`` URLs: a rank join with upper bounds.
+
+    Frequent tokens alone are scored exactly: URLs with the same ones are a pattern that stands for its k best URLs,
+    sets with the same ones are a part, and there are few of either. The k-th best of these scores is a bound that the
+    set's k-th best URL reaches. Rarer tokens then form pairs. A pair is found by the rarest token it shares; from that
+    token on the set has ``rest`` to give and the URL ``rest`` to take, so the smaller of the two and the exact score of
+    the frequent tokens limit the pair's score. Below the bound, or at the bound and later in the order of ties, no pair
+    is formed; so frequent tokens complete pairs but never form them.
+    """
+    patterns = u_tokens.where("common").groupBy(run, "upos").agg(F.array_sort(F.collect_set("token")).alias("set"))
+    placed = keyed.select(run, "upos", "ulen").join(patterns.withColumn("pattern", F.xxhash64("set")), [run, "upos"], "left")
+    best = first_n(placed.where("pattern IS NOT NULL"), [run, "pattern"], ["ulen", "upos"], k, rank="r")
+    members = best.where("r = 1").select(run, "pattern", F.explode("set").alias("token"))
+    parts = q_tokens.where("common").groupBy(run, "qset").agg(F.array_sort(F.collect_set("token")).alias("set")).withColumn("part", F.xxhash64("set"))
+    part_tokens = parts.groupBy(run, "part").agg(F.first("set").alias("set")).select(run, "part", F.explode("set").alias("token"))
+    exact = part_tokens.join(members, [run, "token"]).groupBy(run, "part", "pattern").agg(F.sum(_weight(F.col("token"))).alias("exact"))
+    top = first_n(exact.join(best.select(run, "pattern", "ulen", "upos"), [run, "pattern"]), [run, "part"], [F.desc("exact"), "ulen", "upos"], k, rank="r")
+    bounds = top.where(F.col("r") == k).select(run, "part", F.col("exact").alias("bound"), F.struct("ulen", "upos").alias("tie"))
+
+    known = parts.select(run, "qset", "part").join(bounds, [run, "part"], "left")
+    asking = _bounded(q_tokens.where("NOT common"), [run, "qset"]).select(run, "qset", "token", F.col("rest").alias("gives")).join(known, [run, "qset"], "left")
+    postings = _bounded(u_tokens.where("NOT common"), [run, "upos"]).select(run, "upos", "token", F.col("rest").alias("takes")).join(placed.drop("set"), [run, "upos"])
+    met = asking.join(postings, [run, "token"]).join(exact, [run, "part", "pattern"], "left")
+    limit = F.least("gives", "takes") + F.coalesce("exact", F.lit(0))
+    in_time = F.struct("ulen", "upos") <= F.col("tie")
+    formed = met.where(F.col("bound").isNull() | (limit > F.col("bound")) | ((limit == F.col("bound")) & in_time)).select(run, "qset", "upos")
+    return formed.unionByName(parts.select(run, "qset", "part").join(top, [run, "part"]).select(run, "qset", "upos")).distinct()
+
+
+def map_queries(queries: DataFrame, urls: DataFrame, k: int = 3, run: str = "run_id", frequent: int | None = None) -> DataFrame:
     """Best ``k`` URLs per query: score desc, shorter URL, earlier position; ranks 1..k.
 
     ``queries``: run_id, pos, query_id, query[, topic, recommended_page_type];
     ``urls``: run_id, pos, url — pos unique per run. Queries matching nothing get the k
-    shortest URLs of their run with score 0.
-
-    Exact without pairing everything, in one plan:
-    tokens that every URL of a run has only shift scores and are added at the end. URLs are the
-    same to all queries if they share the tokens that queries ask for, so each such pattern
-    stands for its k best URLs. A query's rare tokens are joined with patterns; its ``frequent``
-    most common tokens of the run are scored on patterns of those tokens alone, of which there
-    are few however many URLs there are, and added to the candidates of the rare ones.
+    shortest URLs of their run with score 0. Exact without pairing everything, see ``candidate_pairs``;
+    ``frequent`` moves work between its two steps and changes no result.
     """
-    # a query's tokens may differ only in place from another one's, so each distinct set is scored once
-    q_tokens = query_tokens(queries, run)
-    asked = q_tokens.groupBy(run, "qpos").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("tokens"))
-    asked = asked.withColumn("qset", F.xxhash64("tokens"))
-    q_sets = asked.groupBy(run, "qset").agg(F.first("tokens").alias("tokens")).select(run, "qset", F.explode("tokens").alias("t")).select(
-        run, "qset", "t.token", "t.weight"
-    )
-    u_tokens = url_token_rows(urls, run)
+    # queries with the same tokens are mapped once
+    asked = query_tokens(queries, run).groupBy(run, "qpos").agg(F.array_sort(F.collect_set("token")).alias("tokens")).withColumn("qset", F.xxhash64("tokens"))
+    sets = asked.groupBy(run, "qset").agg(F.first("tokens").alias("tokens"))
     keyed = urls.select(run, F.col("pos").alias("upos"), "url", F.length("url").alias("ulen"))
-    run_sizes = urls.groupBy(run).agg(F.count("*").alias("n_urls"))
-    counted = u_tokens.groupBy(run, "token").agg(F.count("*").alias("n")).join(q_sets.select(run, "token").distinct(), [run, "token"], "left_semi")
-    kinds = first_n(counted.join(run_sizes, run).where("n < n_urls"), run, [F.desc("n"), "token"], frequent, rank="place")
-    kinds = counted.join(kinds.select(run, "token", "place"), [run, "token"], "left").join(run_sizes, run).select(
-        run, "token", F.when(F.col("n") == F.col("n_urls"), "all").when(F.col("place").isNotNull(), "frequent").otherwise("rare").alias("kind")
+    q_tokens, u_tokens, shift = _told_apart(sets, urls, run, frequent)
+    pairs = candidate_pairs(q_tokens, u_tokens, keyed, k, run)
+    # the tokens of one URL bound its list; a set's list holds the tokens of one query that its run's URLs have
+    boosts = F.collect_list(F.when(F.col("weight") > 1, F.xxhash64("token")))
+    q_lists = q_tokens.groupBy(run, "qset").agg(F.collect_list(F.xxhash64("token")).alias("q_list"), boosts.alias("q_boosts"))
+    u_lists = u_tokens.groupBy(run, "upos").agg(F.collect_list(F.xxhash64("token")).alias("u_list"))
+    common = lambda c: F.size(F.array_intersect(c, "u_list"))
+    scores = pairs.join(u_lists, [run, "upos"]).join(q_lists, [run, "qset"]).select(
+        run, "qset", "upos", (common("q_list") + (BOOST - 1) * common("q_boosts")).cast("bigint").alias("part")
     )
-    u_kinds = u_tokens.join(kinds.where("kind <> 'all'"), [run, "token"])
-    q_kinds = q_sets.join(kinds, [run, "token"])
-
-    # patterns of frequent tokens: bounded in number, scored against the bounded number of frequent query parts
-    f_members, f_best = _patterns(keyed, u_kinds.where("kind = 'frequent'"), "fset", k, run)
-    f_parts = q_kinds.where("kind = 'frequent'").groupBy(run, "qset").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("part"))
-    f_parts = f_parts.withColumn("fpart", F.xxhash64("part"))
-    part_tokens = f_parts.groupBy(run, "fpart").agg(F.first("part").alias("part")).select(run, "fpart", F.explode("part").alias("t")).select(run, "fpart", "t.token", "t.weight")
-    f_scores = part_tokens.join(f_members, [run, "token"]).groupBy(run, "fpart", "fset").agg(F.sum("weight").alias("fscore"))
-    f_top = first_n(f_scores.join(f_best, [run, "fset"]), [run, "fpart"], [F.desc("fscore"), "ulen", "upos"], k, rank="r")
-    from_frequent = f_parts.select(run, "qset", "fpart").join(f_top, [run, "fpart"]).select(run, "qset", "upos")
-
-    # candidates of rare tokens, by patterns of all tokens that tell URLs apart
-    members, best = _patterns(keyed, u_kinds.select(run, "upos", "token"), "uset", k, run)
-    rare = q_kinds.where("kind = 'rare'").join(members, [run, "token"]).select(run, "qset", "uset").distinct()
-    set_of = keyed.join(u_kinds.groupBy(run, "upos").agg(F.xxhash64(F.array_sort(F.collect_set("token"))).alias("uset")), [run, "upos"], "left")
-    frequent_sets = from_frequent.join(set_of.select(run, "upos", F.coalesce("uset", F.lit(0)).alias("uset")), [run, "upos"]).select(run, "qset", "uset")
-    pairs = rare.unionByName(frequent_sets).distinct()
-    told = q_kinds.where("kind <> 'all'").select(run, "qset", "token", "weight")
-    scores = pairs.join(members, [run, "uset"]).join(told, [run, "qset", "token"]).groupBy(run, "qset", "uset").agg(F.sum("weight").alias("part"))
-    shift = q_kinds.where("kind = 'all'").groupBy(run, "qset").agg(F.sum("weight").alias("shift"))
-    ranked = first_n(scores.join(best, [run, "uset"]), [run, "qset"], [F.desc("part"), "ulen", "upos"], k)
+    ranked = first_n(scores.join(keyed, [run, "upos"]), [run, "qset"], [F.desc("part"), "ulen", "upos"], k)
 
     # sets that share fewer than k URLs on telling tokens are filled with the shortest of the rest, as all URLs share
     # the tokens of every URL; without such tokens only queries that match nothing are filled
     shortest = first_n(keyed, run, ["ulen", "upos"], 2 * k, rank="at")
-    all_sets = asked.select(run, "qset").distinct().join(shift, [run, "qset"], "left")
     have = ranked.groupBy(run, "qset").agg(F.count("*").alias("have"), F.collect_list("upos").alias("taken"))
     wanted = F.when(F.col("shift").isNotNull(), k).when(F.col("have").isNull(), 1).otherwise(0)
-    open_sets = all_sets.join(have, [run, "qset"], "left").where(F.coalesce("have", F.lit(0)) < wanted)
+    open_sets = sets.select(run, "qset").join(shift, [run, "qset"], "left").join(have, [run, "qset"], "left").where(F.coalesce("have", F.lit(0)) < wanted)
     fill = open_sets.join(shortest, run).where(F.col("taken").isNull() | ~F.array_contains("taken", F.col("upos"))).select(
         run, "qset", "upos", "url", "ulen", F.lit(0).cast("bigint").alias("part")
     )

@@ -121,7 +121,7 @@ def brute_force(queries, urls, k, tokens):
     return out
 
 
-@pytest.mark.parametrize("frequent", [0, 3, 1000])
+@pytest.mark.parametrize("frequent", [0, 3, None])
 def test_mapping_equals_brute_force(spark, frequent):
     rng = random.Random(7)
     words = ["price", "safety", "ev", "service", "range", "battery", "city", "leaf", "model", "kei", "zz", "charging"]
@@ -138,6 +138,25 @@ def test_mapping_equals_brute_force(spark, frequent):
     assert got == brute_force(queries, urls, 3, tokens)
 
 
+def test_mapping_forms_pairs_in_proportion_to_the_site(spark):
+    """Sections of a growing site have words of their own; the words that all sections share form no pairs."""
+    rng, pairs, matches = random.Random(9), [], []
+    for n in (200, 400, 800):
+        words = lambda section, m: [f"w{section}x{rng.randrange(12)}" for _ in range(m)] + rng.sample(["the", "price", "service", "guide", "dealer"], 3)
+        urls = [("a", i, f"https://example.org/{'-'.join(words(i // 20, 3))}/{i}") for i in range(n)]
+        queries = [("a", i, f"q{i}", " ".join(words(rng.randrange(n // 20), 2))) for i in range(n // 2)]
+        u = spark.createDataFrame(urls, "run_id string, pos int, url string")
+        asked = mapping.query_tokens(spark.createDataFrame(queries, "run_id string, pos int, query_id string, query string"))
+        sets = asked.groupBy("run_id", F.col("qpos").alias("qset")).agg(F.collect_set("token").alias("tokens"))
+        q_tokens, u_tokens, _ = mapping._told_apart(sets, u, "run_id", None)
+        keyed = u.select("run_id", F.col("pos").alias("upos"), "url", F.length("url").alias("ulen"))
+        pairs.append(mapping.candidate_pairs(q_tokens, u_tokens, keyed, 3, "run_id").count())
+        matches.append(q_tokens.join(u_tokens, "token").select("qset", "upos").distinct().count())
+    assert all(b < 2.4 * a for a, b in zip(pairs, pairs[1:]))  # in proportion
+    assert all(b > 3.4 * a for a, b in zip(matches, matches[1:]))  # pairs that share a word grow with the square
+    assert pairs[-1] * 10 < matches[-1]
+
+
 def test_first_n_beyond_the_map_side_limit(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("pos"))
     rows = first_n(df, "k", ["pos"], 1500).groupBy("k").agg(F.count("*").alias("n"), F.max("pos").alias("m"), F.max("rank").alias("r")).collect()

@@ -99,7 +99,7 @@ WITH c AS (SELECT *, CASE WHEN l_partkey % 4 <> 0 THEN 'T' || citation_position
 h AS (SELECT run_id, url, arg_max(title, {HINT_ORDER}) FILTER (title IS NOT NULL) AS title, arg_max(source_type, {HINT_ORDER}) AS source_type FROM c GROUP BY 1, 2)
 SELECT s.s_suppkey, p.p_partkey, coalesce(h.title, '-') AS title, coalesce(h.source_type, '-') AS source_type
 FROM part p JOIN supplier s ON s.s_suppkey = p.p_partkey % 100
-LEFT JOIN h ON h.run_id = 'A' AND h.url = 'https://s' || s.s_suppkey || '.example.net/p/' || p.p_partkey""")
+LEFT JOIN h ON h.run_id = ['A', 'N', 'R'][p.p_partkey % 3 + 1] AND h.url = 'https://s' || s.s_suppkey || '.example.net/p/' || p.p_partkey""")
 def hint_fill(spark, sf):
     cites = citations(spark, sf).withColumns({
         "title": F.when(F.col("l_partkey") % 4 != 0, F.concat(F.lit("T"), F.col("citation_position").cast("string"))),
@@ -107,7 +107,7 @@ def hint_fill(spark, sf):
     })
     suppliers = table(spark, sf, "supplier")
     pages = table(spark, sf, "part").join(suppliers, F.col("s_suppkey") == F.col("p_partkey") % 100).select(
-        "s_suppkey", "p_partkey", F.lit("A").alias("run_id"),
+        "s_suppkey", "p_partkey", F.element_at(F.array(*map(F.lit, "ANR")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("run_id"),
         F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit(".example.net/p/"), F.col("p_partkey").cast("string")).alias("url"),
     )
     out = merging.fill_from_hints(pages, cites, ("title", "source_type"))
@@ -251,20 +251,20 @@ def query_page_mapping(spark, sf):
 @query(f"""
 WITH {MAPPING_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id, url ORDER BY qpos, rank) AS n FROM m)
 SELECT run_id, url, count(*) AS query_count, max(mapping_score) AS mapping_score, coalesce(arg_min(topic, qpos * 10 + rank) FILTER (topic <> ''), '-') AS brand_topic_category,
-       md5(string_agg(query, '|' ORDER BY n) FILTER (n <= 10)) AS related FROM o GROUP BY 1, 2""")
+       md5(string_agg(query, '|' ORDER BY n)) AS related FROM o GROUP BY 1, 2""")
 def mapping_rollup(spark, sf):
     q = portfolio_queries(spark, sf)
-    r = mapping.mapping_rollup(checkpointed(mapping.map_queries(q, site_urls(spark, sf), 3)), q, seeds=10)
+    r = mapping.mapping_rollup(checkpointed(mapping.map_queries(q, site_urls(spark, sf), 3)), q)
     return r.select("run_id", "url", "query_count", "mapping_score", F.coalesce("brand_topic_category", F.lit("-")).alias("brand_topic_category"),
                     F.md5(F.array_join("related_queries_seed", "|")).alias("related"))
 
 
 @query(f"""
 WITH {MAPPING_SQL}, f AS (SELECT run_id, url, min(qpos * 10 + rank) AS f FROM m GROUP BY 1, 2), n AS (SELECT run_id, url, row_number() OVER (PARTITION BY run_id ORDER BY f) AS rank FROM f)
-SELECT * FROM n WHERE rank <= 60""")
+SELECT * FROM n""")
 def mapped_url_selection(spark, sf):
     m = mapping.map_queries(portfolio_queries(spark, sf), site_urls(spark, sf), 3)
-    return mapping.selected_urls(m, 60).select("run_id", "url", "rank")
+    return mapping.selected_urls(m).select("run_id", "url", "rank")
 
 
 # --- merging ------------------------------------------------------------------------------
@@ -399,7 +399,7 @@ SCOPE_SQL = "SELECT l_returnflag AS run_id, 'https://p.example/' || l_partkey AS
 
 @query(f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY run_id, url ORDER BY o, s, l_shipdate, l_extendedprice) AS n FROM ({SCOPE_SQL}))
-SELECT run_id, url, max(CASE WHEN n = 1 THEN s END)::BIGINT AS supplier, count(*) FILTER (n <= 10) AS related, sum(q) FILTER (n <= 10)::BIGINT AS query_sum FROM r GROUP BY 1, 2""")
+SELECT run_id, url, max(CASE WHEN n = 1 THEN s END)::BIGINT AS supplier, count(*) AS related, sum(q)::BIGINT AS query_sum FROM r GROUP BY 1, 2""")
 def scope_pages(spark, sf):
     li = table(spark, sf, "lineitem")
     rows = li.select(
@@ -407,6 +407,6 @@ def scope_pages(spark, sf):
         F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), "l_suppkey", "l_shipdate", "l_extendedprice").alias("pos"),
         F.lit("c").alias("brand_topic_category"), F.col("l_orderkey").alias("query_id"), F.lit("q").alias("query"), F.lit("t").alias("query_type"),
         F.lit("high").alias("priority"), F.col("l_suppkey").alias("supplier"))
-    pages, related = dedupe.selected_pages(rows, seed_limit=10)
+    pages, related = dedupe.selected_pages(rows)
     sums = related.groupBy("run_id", "url").agg(F.count("*").alias("related"), F.sum("query_id").alias("query_sum"))
     return pages.join(sums, ["run_id", "url"]).select("run_id", "url", "supplier", "related", "query_sum")

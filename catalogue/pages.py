@@ -328,18 +328,17 @@ r AS (SELECT run_id,
   count(*) FILTER (NOT own AND status IN ('failed', 'blocked', 'error', 'partial_success_empty_text')) AS external_pages_failed,
   count(*) FILTER (own AND status = 'success' AND words >= 20) AS owned_pages_scoreable,
   count(*) FILTER (NOT own AND status = 'success' AND words >= 20) AS external_pages_scoreable FROM k GROUP BY run_id)
-SELECT *, coalesce((SELECT sum(pos % 4)::BIGINT FROM k WHERE k.run_id = r.run_id AND pos % 2 = 0), 0) AS external_citation_count,
+SELECT *, coalesce((SELECT sum(pos % 4)::BIGINT FROM k WHERE k.run_id = r.run_id), 0) AS external_citation_count,
   CASE WHEN owned_pages_attempted + external_pages_attempted > 0 THEN
     round_even((owned_pages_crawled + external_pages_crawled)::DOUBLE / (owned_pages_attempted + external_pages_attempted), 4) END AS crawl_success_rate
 FROM r""")
 def run_telemetry(spark, sf):
     p = crawl.enrich_pages(_sparse_pages(spark, sf)).withColumn("kind", F.when(F.col("pos") % 3 != 0, "owned").otherwise("external"))
-    cites = table(spark, sf, "documents").where("doc_id % 2 = 0").select(
-        F.col("source").alias("run_id"), (F.col("doc_id") % 4).alias("citation_count"))
+    cites = table(spark, sf, "documents").select(F.col("source").alias("run_id"), (F.col("doc_id") % 4).alias("citation_count"))
     return crawl.run_telemetry(p, cites)
 
 
-# The query above reads the citations of even ids only, as does its SQL; this one reads those of all documents.
+# The same figures in SQL of another form.
 @query(rf"""
 WITH s AS ({SPARSE_SQL}), {ENRICHED_SQL},
 k AS (SELECT *, pos % 3 <> 0 AS own, status NOT IN ('', 'not_requested', 'pending') AS tried, status = 'success' AS ok,
@@ -352,9 +351,7 @@ SELECT run_id, {", ".join(
   CASE WHEN bool_or(tried) THEN round_even(count(*) FILTER (ok)::DOUBLE / count(*) FILTER (tried), 4) END AS crawl_success_rate
 FROM k GROUP BY run_id""")
 def run_telemetry_all_citations(spark, sf):
-    p = crawl.enrich_pages(_sparse_pages(spark, sf)).withColumn("kind", F.when(F.col("pos") % 3 != 0, "owned").otherwise("external"))
-    cites = table(spark, sf, "documents").select(F.col("source").alias("run_id"), (F.col("doc_id") % 4).alias("citation_count"))
-    return crawl.run_telemetry(p, cites)
+    return run_telemetry(spark, sf)
 
 
 @query(rf"""
@@ -558,23 +555,17 @@ def geo_signals(spark, sf):
 
 # --- hygiene ------------------------------------------------------------------------------
 
-def _marked_pages(spark, sf):
-    n = F.col("page_id")
-    return table(spark, sf, "pages").select(
-        U.site_domain(U.host("url")).alias("run_id"), n.alias("pos"), "url",
-        F.when(n % 5 != 0, F.concat(F.lit("Page "), n.cast("string"))).otherwise("").alias("title"),
-        F.when(n % 4 != 3, n % 4 == 0).alias("json_ld_present"),
-        F.when(n % 8 == 6, 1).alias("schema_block_count"),
-        F.when(n % 4 == 0, F.array(F.lit("Product"), F.lit(" FAQPage"), F.lit("Product"))).when(n % 4 == 1, F.array(F.lit("FAQPage"))).alias("schema_types"),
-        F.when(n % 6 == 0, F.array(F.lit("Organization"))).alias("schema_types_detected"),
-        F.when(n % 2 == 0, "success").otherwise("failed").alias("crawl_status"),
-    )
+def _html_pages(spark, sf):
+    f = rich_features(spark, sf).withColumn("crawl_status", crawl.fetch_status("url", F.lit("text/html"), F.col("main_text")))
+    return f.select(U.site_domain(U.host("url")).alias("run_id"), F.col("page_id").alias("pos"), "url", T.compact("title").alias("title"),
+                    "json_ld_present", "json_ld_block_count", "schema_types", "schema_types_detected", "crawl_status")
 
 
 MARKED_SQL = rf"""
-SELECT page_id, array_to_string(string_split({AUTH}, '.')[-2:], '.') AS run_id, page_id AS pos, url, CASE WHEN page_id % 5 <> 0 THEN 'Page ' || page_id END AS title,
-   page_id % 4 = 0 OR page_id % 8 = 6 AS ld, list_concat(CASE page_id % 4 WHEN 0 THEN ['Product', 'FAQPage'] WHEN 1 THEN ['FAQPage'] ELSE [] END,
-   CASE WHEN page_id % 6 = 0 THEN ['Organization'] ELSE [] END) AS types FROM pages"""
+SELECT page_id, array_to_string(string_split({AUTH}, '.')[-2:], '.') AS run_id, page_id AS pos, url, {decoded(compact_sql(TITLE_SQL))} AS title, page_id % 4 < 3 AS ld,
+   CASE page_id % 4 WHEN 0 THEN ['Product', 'Offer'] WHEN 1 THEN ['FAQPage', 'WebPage', 'Question'] WHEN 2 THEN ['Broken'] ELSE [] END AS types FROM pages"""
+
+
 COVERAGE_SQL = f"""
 SELECT run_id, count(*) AS owned_pages_total, count(*) FILTER (ld OR len(types) > 0) AS pages_with_schema, count(*) FILTER (ld) AS pages_with_json_ld,
        round_even(count(*) FILTER (ld)::DOUBLE / count(*) * 100, 1) AS coverage_pct, true AS structured_checked FROM ({MARKED_SQL}) GROUP BY 1"""
@@ -582,7 +573,7 @@ SELECT run_id, count(*) AS owned_pages_total, count(*) FILTER (ld OR len(types)
 
 @query(COVERAGE_SQL)
 def hygiene_coverage(spark, sf):
-    return H.structured_coverage(_marked_pages(spark, sf), "run_id")
+    return H.structured_coverage(_html_pages(spark, sf), "run_id")
 
 
 @query(f"""
@@ -590,14 +581,13 @@ WITH t AS (SELECT run_id, pos, unnest(types) AS schema_type, generate_subscripts
 c AS (SELECT run_id, schema_type, count(*) AS pages, min(pos * 100 + i) AS f FROM t GROUP BY 1, 2)
 SELECT run_id, schema_type, pages, row_number() OVER (PARTITION BY run_id ORDER BY pages DESC, f) AS rank FROM c""")
 def schema_type_counts(spark, sf):
-    return H.schema_type_counts(_marked_pages(spark, sf), "run_id")
+    return H.schema_type_counts(_html_pages(spark, sf), "run_id")
 
 
-@query(f"""
-WITH r AS (SELECT run_id, pos, url, title, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS rank FROM ({MARKED_SQL}) WHERE NOT ld)
-SELECT run_id, pos, url, coalesce(title, '-') AS title, rank FROM r WHERE rank <= 20""")
+@query(f"SELECT run_id, pos, url, coalesce(nullif(title, ''), '-') AS title FROM ({MARKED_SQL}) WHERE NOT ld")
 def missing_json_ld(spark, sf):
-    return H.missing_json_ld(_marked_pages(spark, sf), "run_id", n=20).withColumn("title", F.coalesce("title", F.lit("-")))
+    found = H.missing_json_ld(_html_pages(spark, sf), "run_id")
+    return found.select("run_id", "pos", "url", F.coalesce(F.nullif("title", F.lit("")), F.lit("-")).alias("title"))
 
 
 @query(f"""
@@ -611,7 +601,7 @@ SELECT run_id, robots_status, llms_status,
     || CASE WHEN robots_status = 'available' THEN 'is available' ELSE 'was not found' END || '; LLMs.txt was not found.' END AS summary
 FROM h""")
 def hygiene_priority(spark, sf):
-    return _priority(_marked_pages(spark, sf))
+    return _priority(_html_pages(spark, sf))
 
 
 def _priority(pages):
@@ -626,7 +616,7 @@ def _priority(pages):
 SELECT run_id, CASE WHEN run_id LIKE '%.com' THEN 'stored' WHEN run_id LIKE '%.net' THEN 'nested' ELSE 'recomputed' END AS origin,
        owned_pages_total AS pages FROM ({COVERAGE_SQL})""")
 def hygiene_source(spark, sf):
-    return _source(_marked_pages(spark, sf))
+    return _source(_html_pages(spark, sf))
 
 
 def _source(pages):
@@ -638,46 +628,30 @@ def _source(pages):
     return best.select("run_id", "origin", F.col("owned_pages_total").alias("pages"))
 
 
-# The five queries above take their signals from page_id, as does their SQL; these read them from the html.
-def _html_pages(spark, sf):
-    f = rich_features(spark, sf).withColumn("crawl_status", crawl.fetch_status("url", F.lit("text/html"), F.col("main_text")))
-    return f.select(U.site_domain(U.host("url")).alias("run_id"), F.col("page_id").alias("pos"), "url", T.compact("title").alias("title"),
-                    "json_ld_present", "json_ld_block_count", "schema_types", "schema_types_detected", "crawl_status")
-
-
-HTML_MARKED_SQL = rf"""
-SELECT page_id, array_to_string(string_split({AUTH}, '.')[-2:], '.') AS run_id, page_id AS pos, url, {decoded(compact_sql(TITLE_SQL))} AS title, page_id % 4 < 3 AS ld,
-   CASE page_id % 4 WHEN 0 THEN ['Product', 'Offer'] WHEN 1 THEN ['FAQPage', 'WebPage', 'Question'] WHEN 2 THEN ['Broken'] ELSE [] END AS types FROM pages"""
-
-
-def _of_html(name):
-    """The SQL of a query above over the pages' markup."""
-    return ORACLE[name].replace(MARKED_SQL, HTML_MARKED_SQL)
-
-
-@query(_of_html("hygiene_coverage"))
+# The names under which these queries first read the markup.
+@query(ORACLE["hygiene_coverage"])
 def html_hygiene_coverage(spark, sf):
-    return H.structured_coverage(_html_pages(spark, sf), "run_id")
+    return hygiene_coverage(spark, sf)
 
 
-@query(_of_html("schema_type_counts"))
+@query(ORACLE["schema_type_counts"])
 def html_schema_type_counts(spark, sf):
-    return H.schema_type_counts(_html_pages(spark, sf), "run_id")
+    return schema_type_counts(spark, sf)
 
 
-@query(f"SELECT run_id, pos, url, coalesce(nullif(title, ''), '-') AS title FROM ({HTML_MARKED_SQL}) WHERE NOT ld")
+@query(ORACLE["missing_json_ld"])
 def html_missing_json_ld(spark, sf):
-    return H.missing_json_ld(_html_pages(spark, sf), "run_id").select("run_id", "pos", "url", F.coalesce(F.nullif("title", F.lit("")), F.lit("-")).alias("title"))
+    return missing_json_ld(spark, sf)
 
 
-@query(_of_html("hygiene_priority"))
+@query(ORACLE["hygiene_priority"])
 def html_hygiene_priority(spark, sf):
-    return _priority(_html_pages(spark, sf))
+    return hygiene_priority(spark, sf)
 
 
-@query(_of_html("hygiene_source"))
+@query(ORACLE["hygiene_source"])
 def html_hygiene_source(spark, sf):
-    return _source(_html_pages(spark, sf))
+    return hygiene_source(spark, sf)
 
 
 @query(rf"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.base import CRAWLED_SQL, crawled, query, table
+from catalogue.base import CRAWLED_SQL, ORACLE, crawled, query, table
 from catalogue.evidence import MAPPING_SQL, QUERIES_SQL, answers, portfolio_queries, site_urls
 from catalogue.pages import READY_SQL, SCORED_SQL, TITLE_SQL, _ready_input
 from catalogue.texts import TABLE_LINES, count_sql, re2
@@ -59,28 +59,20 @@ def content_metrics(spark, sf):
 
 # --- refresh ------------------------------------------------------------------------------
 
-CAPPED_SQL = f"SELECT * FROM ({QUERIES_SQL}) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY pos) <= 50"
-
-
-@query(f"""
-WITH {MAPPING_SQL.replace(QUERIES_SQL, CAPPED_SQL)},
-s AS (SELECT run_id, count(DISTINCT url) AS n FROM m GROUP BY 1)
-SELECT run_id, (SELECT count(*) FROM ({CAPPED_SQL}) c WHERE c.run_id = s.run_id) AS queries, least(60, n) AS owned_pages,
-       (SELECT count(*) FROM m WHERE m.run_id = s.run_id) AS mappings, (SELECT count(*) FROM pages) AS sitemap_urls FROM s""")
-def refresh_scope(spark, sf):
-    limits = refresh.RefreshOptions(query_limit=50, max_owned_urls=60)
-    return refresh.scope(portfolio_queries(spark, sf), site_urls(spark, sf), limits)["counts"]
-
-
 @query(f"""
 WITH {MAPPING_SQL}
 SELECT run_id, (SELECT count(*) FROM ({QUERIES_SQL}) c WHERE c.run_id = m.run_id) AS queries, count(DISTINCT url) AS owned_pages,
        count(*) AS mappings, (SELECT count(*) FROM pages) AS sitemap_urls FROM m GROUP BY run_id""")
-def refresh_scope_whole(spark, sf):
+def refresh_scope(spark, sf):
     """All queries and all mapped URLs of each run."""
     return refresh.scope(portfolio_queries(spark, sf), site_urls(spark, sf))["counts"]
 
 
+@query(ORACLE["refresh_scope"])
+def refresh_scope_whole(spark, sf):
+    return refresh_scope(spark, sf)
+
+
 def _canonical(spark, sf):
     run = lambda c: (F.col(c) % 3).cast("string").alias("run_id")
     owned = crawled(spark, sf).select(run("pos"), "pos", "url", "title", "markdown", "crawl_status")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalogue.base import (
-    EVENTS_SQL, MANIFESTS_SQL, OWNED, READY_SQL, RECENCY_SQL, in_list, key_sql, manifests, query, status_events, table,
+    EVENTS_SQL, MANIFESTS_SQL, OWNED, READY_SQL, RECENCY_SQL, in_list, key_sql, manifests, query, quoted, status_events, table,
 )
 from catalogue.pages import ENRICHED_SQL, SPARSE_SQL, _sparse_pages
 from catalogue.urls import AUTH
@@ -378,6 +378,34 @@ def status_listing(spark, sf):
     return S.listing(_decided(spark, sf), 1000).select("run_id", "updated_at_epoch")
 
 
+REQUESTS_SQL = f"""
+SELECT c_custkey AS request_id, CASE WHEN c_custkey % 4 = 3 THEN '' ELSE {key_sql('c_mktsegment')} END AS b, CASE WHEN c_custkey % 5 = 4 THEN '' ELSE {key_sql("'Nation ' || c_nationkey")} END AS m,
+   CASE WHEN c_custkey % 2 = 0 THEN 'www.c' || (c_custkey % 4 // 2) || '.example.com' ELSE '' END AS d FROM customer"""
+
+
+@query(f"""
+WITH q AS ({REQUESTS_SQL}), k AS (SELECT DISTINCT b, m, d FROM q),
+s AS (SELECT *, {key_sql('brand')} AS bk, {key_sql('market')} AS mk, {key_sql('domain')} AS dk, coalesce(completed_at_epoch, created_at_epoch) AS up, {READY_SQL} AS ready,
+   {RECENCY_SQL} AS rec FROM ({MANIFESTS_SQL})),
+j AS (SELECT k.*, run_id, up, rec, ready, status = 'running' AS active FROM k JOIN s ON (b = '' OR b = bk) AND (m = '' OR m = mk) AND (d = '' OR dk = '' OR d = dk)),
+r AS (SELECT *, row_number() OVER (PARTITION BY b, m, d ORDER BY up DESC, run_id DESC) AS n FROM j),
+g AS (SELECT b, m, d, arg_max(run_id, (rec, run_id)) FILTER (ready) AS latest, arg_max(run_id, (up, run_id)) FILTER (active) AS active, string_agg(run_id, ' ' ORDER BY n) FILTER (n <= 20) AS runs
+  FROM r GROUP BY 1, 2, 3)
+SELECT request_id, coalesce(latest, '-') AS latest_successful_run_id, coalesce(active, '-') AS active_run_id, coalesce(runs, '') AS runs FROM q LEFT JOIN g USING (b, m, d)""")
+def status_requests(spark, sf):
+    """The status answer to a request of every customer: filters left open, runs of any domain, newest first."""
+    n = F.col("c_custkey")
+    requests = table(spark, sf, "customer").select(
+        n.alias("request_id"), F.when(n % 4 != 3, F.col("c_mktsegment")).alias("brand"),
+        F.when(n % 5 != 4, F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string"))).alias("market"),
+        F.when(n % 2 == 0, F.concat(F.lit("https://www.c"), F.floor(n % 4 / 2).cast("string"), F.lit(".example.com"))).alias("domain"))
+    runs = manifests(spark, sf)
+    states = runs.withColumn("updated_at_epoch", F.coalesce("completed_at_epoch", "created_at_epoch"))
+    states = states.withColumn("active", S.is_active(states.columns, F.col("updated_at_epoch")))
+    found = S.requested(requests, states, runs)
+    return found.select("request_id", *[F.coalesce(c, F.lit("-")).alias(c) for c in ("latest_successful_run_id", "active_run_id")], F.array_join("runs", " ").alias("runs"))
+
+
 @query(f"WITH {ACTIVE_SQL} SELECT status, arg_max(run_id, (up, run_id)) AS active_run_id FROM a WHERE open GROUP BY 1")
 def first_active(spark, sf):
     return S.first_active(_decided(spark, sf).withColumn("active", F.col("active_without_error")), ("status",))
@@ -473,6 +501,32 @@ def sitemap_read(spark, sf):
     return M.site_inventory(parsed, M.read_order(parsed, candidates))[0]
 
 
+@query(rf"""
+WITH p AS ({SITE_PAGES}), b AS (SELECT site, page_id // {PAGES_PER_FILE} AS n, count(*) AS c FROM p GROUP BY 1, 2),
+f AS (SELECT DISTINCT site, 0 AS level, 0::BIGINT AS o, 'broken' AS kind, 'error' AS status, 0::BIGINT AS locs, 0::BIGINT AS urls FROM p
+  UNION ALL SELECT site, 1, n // {FILES_PER_INDEX}, 'index', 'success', count(*), 0 FROM b GROUP BY 1, 3
+  UNION ALL SELECT site, 2, n, 'pages', 'success', c, c FROM b)
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY level, o) AS idx, 'https://' || site || '/' || kind || '-' || o || '.xml?v=1' AS sitemap_url, status, locs AS loc_count, urls AS url_count FROM f""")
+def sitemap_stats(spark, sf):
+    """Every sitemap file in the order of reading: whether it could be read, its entries and its pages."""
+    files, candidates = landed_sitemaps(spark, sf)
+    parsed = M.parse_sitemaps(files)
+    return M.site_inventory(parsed, M.read_order(parsed, candidates))[1]
+
+
+@query(rf"""
+WITH p AS ({SITE_PAGES}), paths AS (SELECT * FROM (VALUES {", ".join(f"({i}, {quoted(path)})" for i, path in enumerate(U.FALLBACK_PATHS, 1))}) t(pos, path))
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY page_id) AS pos, url, false AS fallback_used FROM p WHERE site NOT LIKE '%.net'
+UNION ALL SELECT site, pos, 'https://' || site || path, true FROM (SELECT DISTINCT site FROM p WHERE site LIKE '%.net'), paths""")
+def sitemap_fallback(spark, sf):
+    """Pages of every site; those whose sitemap files cannot be read get the well-known pages."""
+    files, candidates = landed_sitemaps(spark, sf)
+    cut = F.when(F.col("site").endswith(".net"), F.expr("left(content, length(content) - 4)")).otherwise(F.col("content"))
+    parsed = M.parse_sitemaps(files.withColumn("content", cut))
+    sites = candidates.select("site", F.concat(F.lit("https://"), "site", F.lit("/")).alias("domain")).distinct()
+    return M.with_fallback(M.site_inventory(parsed, M.read_order(parsed, candidates))[0], sites)
+
+
 @query(rf"""
 WITH s AS (SELECT DISTINCT array_to_string(string_split({AUTH}, '.')[-2:], '.') AS site FROM pages)
 SELECT site, 'https://maps.' || site || '/a:b.xml' AS sitemap_url, 1 AS part, 1 AS pos FROM s

@@ -109,12 +109,7 @@ def resolve_latest(requests: DataFrame, manifests: DataFrame) -> DataFrame:
     """
     usable = manifests.where(F.coalesce("has_payload", F.lit(True)))
     pointers = latest_successful(usable)
-    any_of = lambda c: (text_or_empty(c) == "") | (F.lower(text_or_empty(c)) == "all")
-    wanted = requests.select(
-        "request_id", U.registry_key("brand").alias("brand_key"), U.registry_key("market").alias("market_key"),
-        U.registry_key("domain").alias("_domain"), any_of("brand").alias("_any_brand"), any_of("market").alias("_any_market"),
-        (text_or_empty("domain") != "").alias("_by_domain"), any_of("domain").alias("_any_domain"),
-    )
+    wanted = wanted_keys(requests)
     by_domain = wanted.where("_domain != ''").join(
         pointers.where("level = 'domain'").withColumnRenamed("domain_key", "_domain"), ["brand_key", "market_key", "_domain"]
     ).select("request_id", "run_id", F.lit(0).alias("prio"))
@@ -128,6 +123,21 @@ def resolve_latest(requests: DataFrame, manifests: DataFrame) -> DataFrame:
     return best.withColumn("matched_by", matched).drop("prio")
 
 
+def wanted_keys(requests: DataFrame) -> DataFrame:
+    """Requests (request_id, brand, market, domain) with their keys and with what they leave open."""
+    any_of = lambda c: (text_or_empty(c) == "") | (F.lower(text_or_empty(c)) == "all")
+    return requests.select(
+        "request_id", U.registry_key("brand").alias("brand_key"), U.registry_key("market").alias("market_key"),
+        U.registry_key("domain").alias("_domain"), any_of("brand").alias("_any_brand"), any_of("market").alias("_any_market"),
+        (text_or_empty("domain") != "").alias("_by_domain"), any_of("domain").alias("_any_domain"),
+    )
+
+
+def scan_for_requests(requests: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(request_id, run_id): what ``scan_latest`` finds for each request that finds anything."""
+    return _scanned(wanted_keys(requests), manifests).drop("prio")
+
+
 def _scanned(wanted: DataFrame, usable: DataFrame) -> DataFrame:
     """Per request the run that a scan finds, by aggregations of the runs for each kind of request.
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from citegrain.functions import url as U
 from citegrain.functions.text import text_or_empty
-from citegrain.operators.frames import ensure_columns
+from citegrain.operators import registry
+from citegrain.operators.frames import ensure_columns, first_n
 from citegrain.operators.registry import (
     FAILED_STATES, IN_PROGRESS_STATES, REPORT_READY_STAGES, SUCCESS_STATES,
 )
@@ -79,6 +81,39 @@ def listing(states: DataFrame, limit: int = 20) -> DataFrame:
     return states.orderBy(F.desc(recent), F.desc("run_id")).limit(max(1, limit))
 
 
+def requested(requests: DataFrame, states: DataFrame, manifests: DataFrame, limit: int = 20) -> DataFrame:
+    """Status answers to requests (request_id, brand, market, domain): one row each.
+
+    ``runs`` are the matching runs newest first, the first ``limit`` of them (1 to 100), ``active_run_id`` the newest
+    active one of all that match, ``latest_successful_run_id`` the newest report-ready run. A blank filter fits every
+    run, and a run without domain fits every domain. ``states``: run_id, brand, market, domain, updated_at_epoch,
+    created_at_epoch, active. Each state counts for eight kinds of request, whose lists are cut before any request is
+    joined, so that requests never meet all runs.
+    """
+    keyed = ensure_columns(states, created_at_epoch="bigint", brand="string", market="string", domain="string")
+    recent = F.coalesce(F.nullif("updated_at_epoch", F.lit(0)), F.nullif("created_at_epoch", F.lit(0)), F.lit(0))
+    either = lambda c, name: F.explode(F.array(F.lit(None).cast("string"), U.registry_key(c))).alias(name)
+    rows = keyed.select("run_id", "active", recent.alias("recent"), "market", "domain", either("brand", "b"))
+    rows = rows.select("run_id", "active", "recent", "b", "domain", either("market", "m")).select("run_id", "active", "recent", "b", "m", either("domain", "d"))
+    newest = [F.desc("recent"), F.desc("run_id")]
+    lists = first_n(rows, ["b", "m", "d"], newest, max(1, min(limit, 100)))
+    active = rows.where("active").groupBy("b", "m", "d").agg(F.max(F.struct("recent", "run_id")).alias("active"))
+
+    open_or = lambda c: F.when(text_or_empty(c) != "", U.registry_key(c))
+    asked = requests.select("request_id", open_or("brand").alias("rb"), open_or("market").alias("rm"), open_or("domain").alias("rd"))
+    own = F.explode(F.when(F.col("rd").isNull(), F.array(F.col("rd"))).otherwise(F.array_distinct(F.array("rd", F.lit(""))))).alias("rd")
+    asked = asked.select("request_id", "rb", "rm", own)
+    meet = F.col("rb").eqNullSafe(F.col("b")) & F.col("rm").eqNullSafe(F.col("m")) & F.col("rd").eqNullSafe(F.col("d"))
+    top = first_n(asked.join(lists.drop("rank"), meet).select("request_id", "recent", "run_id"), "request_id", newest, max(1, min(limit, 100)))
+    # at most a hundred runs a request
+    runs = top.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("rank", "run_id"))).alias("runs"))
+    best = asked.join(active, meet).groupBy("request_id").agg(F.max("active")["run_id"].alias("active_run_id"))
+    found = registry.scan_for_requests(requests, manifests).withColumnRenamed("run_id", "latest_successful_run_id")
+    out = requests.select("request_id").join(runs, "request_id", "left").join(best, "request_id", "left").join(found, "request_id", "left")
+    ids = F.coalesce(F.transform("runs", lambda r: r["run_id"]), F.array().cast("array<string>"))
+    return out.select("request_id", "latest_successful_run_id", "active_run_id", ids.alias("runs"))
+
+
 def first_active(states: DataFrame, keys=()) -> DataFrame:
     """The most recently updated active run per key."""
     active = states.where("active")

@@ -615,6 +615,6 @@ SELECT run_id, reason = 'in_progress' AS active, reason, ms AS updated_ms FROM d
 def active_runs_stream(spark, sf):
     """The last word of the stream on every run, after timers have fired."""
     events = status_events(spark, sf, event_stream(spark, sf))
-    out = run_stream(spark, X.active_runs_stream(events), "append")
+    out = run_stream(spark, X.active_runs_stream(events), "update")
     last = out.groupBy("run_id").agg(F.max_by(F.struct("active", "reason", "updated_at"), "_batch").alias("r"))
     return last.select("run_id", "r.active", "r.reason", F.floor(F.unix_micros("r.updated_at") / 1000).cast("bigint").alias("updated_ms"))

@@ -18,7 +18,7 @@ SCHEMA = "run_id string, ts timestamp, event_id long, status string, stage strin
 def source(spark, path):
     raw = "run_id string, s long, event_id long, status string, stage string, error string"
     for i, rows in enumerate(EVENTS):
-        batch = spark.createDataFrame(rows, raw).withColumn("ts", F.timestamp_seconds("s")).select("run_id", "ts", "event_id", "status", "stage", "error")
+        batch = spark.createDataFrame(rows, raw).withColumn("ts", F.timestamp_seconds(F.col("s") + 86400)).select("run_id", "ts", "event_id", "status", "stage", "error")
         batch.coalesce(1).write.mode("append").parquet(str(path / f"in/{i}"))
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path / "in"))
 
@@ -31,7 +31,7 @@ def run(stream, path, mode):
 
 
 def test_fold_equals_batch(spark, tmp_path):
-    rows = run(X.status_stream(source(spark, tmp_path), ("status", "stage", "error")), tmp_path, "update")
+    rows = run(X.status_stream(source(spark, tmp_path), ("status", "stage", "error"), "1 day"), tmp_path, "update")
     latest = {}
     for _, r in rows:
         latest[r.run_id] = r
@@ -43,7 +43,7 @@ def test_fold_equals_batch(spark, tmp_path):
 
 
 def test_active_runs_expire(spark, tmp_path):
-    rows = run(X.active_runs_stream(source(spark, tmp_path), "1 minute"), tmp_path, "append")
+    rows = run(X.active_runs_stream(source(spark, tmp_path), "1 minute"), tmp_path, "update")
     history = {}
     for _, r in rows:
         history.setdefault(r.run_id, []).append((r.active, r.reason))
@@ -53,6 +53,18 @@ def test_active_runs_expire(spark, tmp_path):
     assert history["e"] == [(False, "terminal")]
 
 
+def test_state_falls_after_the_stated_age(spark, tmp_path):
+    """Runs leave the state an hour after their last patch; only those of the last hour are held at the end."""
+    held = []
+    for keep in (3600 * 1000, 3600):
+        folder = tmp_path / str(keep)
+        folder.mkdir()
+        run(X.active_runs_stream(source(spark, folder), "1 minute", keep), folder, "update")
+        state = spark.read.format("statestore").option("stateVarName", "run").load(str(folder / "ck"))
+        held.append({r.k for r in state.select(F.col("key.run_id").alias("k")).collect()})
+    assert held == [{"a", "b", "c", "d", "e"}, {"e"}]
+
+
 def test_counters_and_episodes(spark, tmp_path):
     pages = source(spark, tmp_path).select("run_id", F.lit("owned").alias("kind"), F.when(F.col("status") == "completed", "success").otherwise("failed").alias("crawl_status"))
     rows = run(X.counters_stream(pages, "kind"), tmp_path, "complete")

@@ -504,6 +504,31 @@ def text_feature_scores(spark, sf):
         "doc_id", "s.score", "s.geo_score_120", "s.word_count", "s.features.*", F.col("s.citation_likelihood").alias("outlook"))
 
 
+PROMOTIONAL_TERMS = ("the", "ing", "ion", "best", "amazing")
+FEATURE_WEIGHTS = {"answer_first": 2, "query_relevance": 1.5, "statistics": 0.5, "schema": 0}
+PENALTY_WEIGHTS = {"promotional_language_penalty": 1.5, "noise_penalty": 2}
+CLARITY = {"content_clarity": {"max": 30, "feature_weights": {"answer_first": 2, "extractable_passages": 2, "neutral_tone": 1}}}
+_weights = {k: float(FEATURE_WEIGHTS.get(k, 1.0)) for k in X.FEATURES}
+_toned = lambda k: "(5 - promo)" if k == "neutral_tone" else k
+
+
+@query(rf"""
+WITH {TEXT_SCORE_SQL}, p AS (SELECT *, {" + ".join(f"contains(low, {quoted(t)})::INT" for t in PROMOTIONAL_TERMS)} AS promo FROM f),
+g AS (SELECT *, greatest(0, least(100, round_even((0.0::DOUBLE + {" + ".join(f"{_toned(k)} * {w}::DOUBLE" for k, w in _weights.items())} - promo * 1.5::DOUBLE)
+        / {5 * sum(_weights.values())}::DOUBLE * 100, 0)))::INT AS score,
+   greatest(0, least(30, round_even((0.0::DOUBLE + answer_first / 5.0::DOUBLE * 2.0::DOUBLE + extractable_passages / 5.0::DOUBLE * 2.0::DOUBLE + (5 - promo) / 5.0::DOUBLE * 1.0::DOUBLE)
+        / 5.0::DOUBLE * 30, 0)::INT - least(3, promo))) AS content_clarity FROM p)
+SELECT doc_id, score, round_even(score * 1.2::DOUBLE, 0)::INT AS geo_score_120, promo AS promotion, content_clarity, 30 AS clarity_max FROM g""")
+def weighted_text_scores(spark, sf):
+    """Scores with weights of features and penalties, and a dimension with a highest score of its own."""
+    terms = {"promotional_terms": PROMOTIONAL_TERMS}
+    plain = _scored(spark, sf, heuristics=terms, feature_weights=FEATURE_WEIGHTS, penalty_weights=PENALTY_WEIGHTS)
+    clarity = _scored(spark, sf, heuristics=terms, dimensions=CLARITY).select("doc_id", F.col("s.dimension_scores")[0].alias("c"))
+    return plain.join(clarity, "doc_id").select(
+        "doc_id", "s.score", "s.geo_score_120", F.col("s.penalties.promotional_language_penalty").alias("promotion"),
+        F.col("c.score").alias("content_clarity"), F.col("c.max").alias("clarity_max"))
+
+
 def dimension_sql(name: str) -> str:
     weights = X.EXAMPLE_DIMENSIONS[name]
     total = float(sum(weights.values()))

@@ -19,6 +19,8 @@ FEATURES = (
     "source_citations", "comparison_readiness", "faq_readiness", "schema", "freshness", "neutral_tone",
     "authority_signals", "accessibility",
 )
+PENALTIES = ("promotional_language_penalty", "noise_penalty", "keyword_stuffing")
+DIMENSION_MAX = 20
 PROMOTION_DIMENSIONS = ("content_clarity", "eeat_signals")
 NOISE_DIMENSIONS = ("content_clarity", "freshness_index")
 
@@ -43,12 +45,17 @@ def text_scores(
     markdown, query=None, page_url=None, page_type=None, signals: Column | None = None,
     metrics: Column | None = None, dimensions: dict | None = None, heuristics: dict | None = None,
     footer_chars: Column | None = None, likely_from: int = 90, occasional_from: int = 60,
+    feature_weights: dict | None = None, penalty_weights: dict | None = None, full_markdown_chars: Column | None = None,
+    metadata_schema_types: Column | None = None, visible_dates: Column | None = None,
 ) -> Column:
     """Struct of features, penalties, dimension scores and totals for one text.
 
     Weights and term lists are configuration, so they become constants of the expression
-    and the score needs neither a join nor a shuffle. Without ``dimensions`` all features
-    weigh the same. ``signals`` and ``metrics`` are optional structs of the page's manifest.
+    and the score needs neither a join nor a shuffle. A dimension is a dict of feature weights, or a dict of
+    ``feature_weights`` and ``max``, its highest score (20 if not given). Without ``dimensions`` the features weigh
+    ``feature_weights`` (1 where not given) and the penalties, times ``penalty_weights`` (0 where not given), are taken
+    off. ``signals`` and ``metrics`` are optional structs of the page's manifest; ``full_markdown_chars`` is the size of
+    the whole page, ``metadata_schema_types`` the types its metadata names, ``visible_dates`` the dates it shows.
     """
     h = {**DEFAULTS, **(heuristics or {})}
     blank = F.lit("")
@@ -56,6 +63,7 @@ def text_scores(
     value = lambda struct, name, default: F.coalesce(struct[name], F.lit(default)) if struct is not None else F.lit(default)
     sig = lambda name: value(signals, name, False)
     met = lambda name: value(metrics, name, 0)
+    listed = lambda c: F.lit(False) if c is None else F.coalesce(F.size(c) > 0, F.lit(False))
 
     def measure(both: Column) -> Column:
         text, low = both["text"], both["low"]
@@ -102,13 +110,18 @@ def text_scores(
         raw_low = F.lower(raw)
         schema = (
             F.contains(raw_low, F.lit("application/ld+json")) | F.contains(raw_low, F.lit("schema.org"))
-            | sig("schema_json_ld") | (F.size(signals["schema_types"]) > 0 if signals is not None else F.lit(False))
+            | sig("schema_json_ld") | listed(signals["schema_types"] if signals is not None else None) | listed(metadata_schema_types)
         )
         overlap = m["overlap"]
         ratio = overlap / F.greatest(F.lit(1), F.least(m["q_size"], F.lit(12)))
         direct = ((overlap >= 2) & m["early_hit"]) | sig("answer_first")
-        dated = sig("freshness_signals") | (F.coalesce(footer_chars, F.lit(0)) > 150 if footer_chars is not None else F.lit(False))
+        dates = listed(visible_dates)
+        dated = sig("freshness_signals") | dates | (F.coalesce(footer_chars, F.lit(0)) > 150 if footer_chars is not None else F.lit(False))
         md_chars = met("markdown_chars")
+        if full_markdown_chars is not None:
+            # the whole page's size does not count for the lowest step
+            whole = F.coalesce(full_markdown_chars, F.lit(0))
+            md_chars = F.greatest(md_chars, F.when(whole >= 2500, whole).otherwise(0))
         passages = (
             (m["headings"] >= 2).cast("int") + (m["words"] >= h["min_word_count_basic"]).cast("int")
             + (m["words"] >= h["min_word_count_strong"]).cast("int") + (m["questions"] >= 2).cast("int")
@@ -158,24 +171,29 @@ def text_scores(
         f, p = r["features"], r["penalties"]
         if dimensions:
             scores = []
-            for name, weights in dimensions.items():
+            for name, spec in dimensions.items():
+                weights, most = spec.get("feature_weights", spec), int(spec.get("max", DIMENSION_MAX))
                 whole = sum(float(w) for w in weights.values()) or 1.0
                 weighted = sum((f[k] / 5.0 * float(w) for k, w in weights.items() if k in FEATURES), F.lit(0.0)) / whole
-                points = F.bround(weighted * 20).cast("int")
+                points = F.bround(weighted * most).cast("int")
                 if name in PROMOTION_DIMENSIONS:
                     points = points - F.least(F.lit(3), p["promotional_language_penalty"])
                 if name in NOISE_DIMENSIONS:
                     points = points - F.least(F.lit(3), p["noise_penalty"])
-                scores.append(F.struct(F.lit(name).alias("dimension"), F.greatest(F.lit(0), F.least(F.lit(20), points)).alias("score")))
+                scores.append(F.struct(F.lit(name).alias("dimension"), F.greatest(F.lit(0), F.least(F.lit(most), points)).alias("score"), F.lit(most).alias("max")))
             scored = F.transform(F.array(*scores), lambda s: F.struct(
-                s["dimension"].alias("dimension"), s["score"].alias("score"), band(s["score"]).alias("band")
+                s["dimension"].alias("dimension"), s["score"].alias("score"), band(s["score"]).alias("band"), s["max"].alias("max")
             ))
             geo = F.aggregate(scored, F.lit(0), lambda acc, s: acc + s["score"])
             hundred = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(geo / 1.2).cast("int")))
         else:
-            scored = F.array().cast("array<struct<dimension:string,score:int,band:string>>")
-            weighted = sum((f[k] for k in FEATURES), F.lit(0))
-            hundred = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(weighted / (5 * len(FEATURES)) * 100).cast("int")))
+            scored = F.array().cast("array<struct<dimension:string,score:int,band:string,max:int>>")
+            weight = {k: float((feature_weights or {}).get(k, 1.0)) for k in FEATURES}
+            best = 5 * sum(weight.values())
+            weighted = sum((f[k] * w for k, w in weight.items()), F.lit(0.0))
+            off = sum((p[k] * float(w) for k, w in (penalty_weights or {}).items() if k in PENALTIES), F.lit(0.0))
+            share = F.bround((weighted - off) / best * 100).cast("int") if best else F.lit(0)
+            hundred = F.greatest(F.lit(0), F.least(F.lit(100), share))
             geo = F.bround(hundred * 1.2).cast("int")
         return let(
             F.struct(hundred.alias("score"), geo.alias("geo_score_120"), scored.alias("dimension_scores")),

@@ -13,11 +13,12 @@ from catalogue.pages import ENRICHED_SQL, SPARSE_SQL, _sparse_pages
 from catalogue.urls import AUTH
 from catalogue.texts import compact_sql
 from citegrain.functions import url as U
-from citegrain.operators import json_walks, merging, portfolio as V, registry as R, status as S
+from citegrain.operators import hygiene as H, json_walks, merging, portfolio as V, registry as R, status as S
 from citegrain.operators import crawl
 from citegrain.session import shared_dir
 from citegrain.sources import artifacts as A
 from citegrain.sources import exports as E
+from citegrain.sources import pages as P
 from citegrain.sources import sitemaps as M
 from citegrain.streaming import status as X
 
@@ -571,6 +572,91 @@ def export_counts(spark, sf):
     return E.export_counts(owned, external, E.slim_failed(bad))
 
 
+# --- files of runs ------------------------------------------------------------------------
+
+STATUS_WORDS = ("available", "not_found", "not_requested", " Fetched ", "pending", "odd", "")
+COUNTS = ("7", "", "12x", " 3", "0")
+
+
+@query(f"""
+WITH p AS (SELECT page_id, url, ['available', 'not found', 'not checked', 'available', 'not checked', 'none', 'not checked'][page_id % 7 + 1] AS word, page_id % 2 = 0 AS tried,
+  page_id % 3 = 0 AS has_url, [{in_list(COUNTS)}][page_id % 5 + 1] AS c FROM pages)
+SELECT page_id, CASE WHEN word = 'not checked' AND (tried OR has_url) THEN 'not found' WHEN word = 'none' THEN 'not checked' ELSE word END AS status, CASE WHEN has_url THEN url ELSE '-' END AS url,
+       coalesce(CASE WHEN c = '' THEN 0 ELSE try_cast(c AS INTEGER) END, -1) AS sitemap_entries_count, CASE WHEN tried THEN page_id::INTEGER ELSE -1 END AS chars FROM p""")
+def file_status_fields(spark, sf):
+    """Status of a fetched file with its url, sitemap entries and size, from words and counts of any form."""
+    n = F.col("page_id")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    p = table(spark, sf, "pages").select("page_id", H.file_record(
+        pick(STATUS_WORDS), F.when(n % 3 == 0, F.col("url")).otherwise(""), F.when(n % 2 == 0, 2), None, pick(COUNTS), F.when(n % 2 == 0, n)).alias("f"))
+    return p.select("page_id", "f.status", F.coalesce("f.url", F.lit("-")).alias("url"), *[F.coalesce(f"f.{c}", F.lit(-1)).alias(c) for c in ("sitemap_entries_count", "chars")])
+
+
+PLACES = [(name, place, rank) for name, places in A.ARTIFACT_PATHS.items() for rank, place in enumerate(places)]
+
+
+@query(f"""
+WITH c AS (SELECT * FROM (VALUES {", ".join(f"({i}, {quoted(n)}, {quoted(place)}, {r})" for i, (n, place, r) in enumerate(PLACES))}) t(i, artifact, place, rank)),
+f AS (SELECT 'r' || (o_orderkey % 997) AS run_id, artifact, '/data/runs/r' || (o_orderkey % 997) || '/' || place AS path, rank FROM orders JOIN c ON o_custkey % 9 = i)
+SELECT run_id, artifact, arg_min(path, rank) AS path FROM f GROUP BY 1, 2""")
+def artifact_locations(spark, sf):
+    """Each artifact of a run at its first known place, from a listing of paths; other files are passed over."""
+    places = F.array(*[F.lit(place) for _, place, _ in PLACES], F.lit("notes/other.json"))
+    place = F.element_at(places, (F.col("o_custkey") % 9 + 1).cast("int"))
+    run = F.concat(F.lit("r"), (F.col("o_orderkey") % 997).cast("string"))
+    files = table(spark, sf, "orders").select(F.concat(F.lit("/data/runs/"), run, F.lit("/"), place).alias("path"))
+    return A.locate_artifacts(files, "/data/runs")
+
+
+@query("SELECT source AS run_id, doc_id, n_chars + (source < 'src1')::BIGINT AS n_chars FROM documents")
+def artifact_write_twice(spark, sf):
+    """Rows of all runs written, those of some runs written anew, twice: only these are replaced, and once."""
+    folder = f"{shared_dir(spark)}/artifact-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "documents").select(F.col("source").alias("run_id"), "doc_id", "n_chars")
+    A.write_artifact(rows, folder)
+    for _ in range(2):
+        A.write_artifact(rows.where("run_id < 'src1'").withColumn("n_chars", F.col("n_chars") + 1), folder)
+    return spark.read.parquet(folder).select(F.col("run_id").cast("string").alias("run_id"), "doc_id", "n_chars")
+
+
+@query("""
+SELECT p.page_id, coalesce(len(d.text), 0) AS raw_markdown_chars,
+       CASE WHEN p.page_id % 5 = 0 OR p.page_id % 3 = 2 THEN p.url WHEN p.page_id % 3 = 0 THEN 'https://r/' || p.page_id ELSE 'https://s/' || p.page_id END AS final_url,
+       CASE WHEN p.page_id % 5 <> 0 THEN 'lang' || p.page_id % 5 ELSE '' END AS language, CASE WHEN p.page_id % 5 <> 0 THEN 1 ELSE 0 END AS links,
+       p.page_id % 5 <> 0 AND p.page_id % 2 = 0 AS json_ld_present, md5(coalesce(d.text, '')) AS markdown_md5
+FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id""")
+def page_side_files(spark, sf):
+    """Pages with the whole text and the manifest fields of their side files; every fifth manifest is missing."""
+    n = F.col("page_id")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}/"), c.cast("string"))
+    rows = table(spark, sf, "pages").select("page_id", "url", name("md", n).alias("markdown_file"), name("manifest", n).alias("manifest_file"))
+    texts = table(spark, sf, "documents").select(name("md", F.col("doc_id")).alias("path"), F.col("text").alias("value"))
+    fields = F.to_json(F.struct(
+        F.struct(F.concat(F.lit("lang"), (n % 5).cast("string")).alias("language"), (n % 2 == 0).alias("json_ld_present")).alias("metadata"),
+        F.array(F.struct("url", F.lit("t").alias("text"))).alias("links"),
+        F.struct(F.when(n % 3 == 0, F.concat(F.lit("https://r/"), n.cast("string"))).otherwise("").alias("final_url")).alias("rendered_fetch"),
+        F.struct(F.when(n % 3 == 1, F.concat(F.lit("https://s/"), n.cast("string"))).alias("final_url")).alias("static_fetch")))
+    manifests = table(spark, sf, "pages").where("page_id % 5 <> 0").select(name("manifest", n).alias("path"), F.from_json(fields, P.MANIFEST_SCHEMA).alias("manifest"))
+    found = P.with_side_files(rows, texts, manifests)
+    return found.select("page_id", F.col("raw_markdown_chars"), "final_url", "language", F.size("links").alias("links"), "json_ld_present", F.md5("markdown").alias("markdown_md5"))
+
+
+@query("""
+SELECT c_custkey AS request_id, c_custkey % 4 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AS valid, CASE WHEN c_custkey % 4 = 1 THEN 'brand_topic_query_portfolio.v1' ELSE coalesce(
+         CASE c_custkey % 4 WHEN 0 THEN 'other.v1' WHEN 2 THEN 'brand_topic_query_portfolio.v0' WHEN 3 THEN 'brand_topic_query_portfolio' END, '') END AS schema_version,
+       CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment ELSE c_name END AS brand, 'user_upload' AS portfolio_source FROM customer""")
+def portfolio_gate(spark, sf):
+    """Uploaded portfolios with what is missing filled in, and whether they may be taken: version, queries, topics."""
+    n = F.col("c_custkey")
+    some = lambda test: F.when(test, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    version = F.when(n % 4 == 0, "other.v1").when(n % 4 == 2, "brand_topic_query_portfolio.v0").when(n % 4 == 3, "brand_topic_query_portfolio")
+    p = table(spark, sf, "customer").select(
+        n.alias("request_id"), version.alias("schema_version"), F.when(n % 6 != 0, F.col("c_name")).otherwise(F.when(n % 12 == 0, " ")).alias("brand"),
+        F.lit("m").alias("market"), F.col("c_mktsegment").alias("request_brand"), some(n % 3 != 0).alias("queries"), some(n % 5 != 0).alias("topics"))
+    filled = V.with_defaults(p)
+    return filled.select("request_id", V.is_valid_portfolio().alias("valid"), "schema_version", "brand", "portfolio_source")
+
+
 # --- streams ------------------------------------------------------------------------------
 
 def event_stream(spark, sf):

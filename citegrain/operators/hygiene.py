@@ -44,6 +44,20 @@ def file_status(status, attempts: Column | None = None, http_code: Column | None
     )
 
 
+def file_record(status, url: Column | None = None, attempts: Column | None = None, http_code: Column | None = None,
+                sitemap_entries: Column | None = None, chars: Column | None = None) -> Column:
+    """Struct of a file's status with its url, number of sitemap entries and size; what is blank or no whole number is NULL.
+
+    An empty count is zero, a missing one is NULL.
+    """
+    whole = lambda c: F.lit(None).cast("int") if c is None else F.when(strip_ws(c.cast("string")) == "", 0).otherwise(c.cast("string").try_cast("int"))
+    address = F.lit(None).cast("string") if url is None else F.nullif(url, F.lit(""))
+    return F.struct(
+        file_status(status, attempts, http_code, url).alias("status"), address.alias("url"),
+        whole(sitemap_entries).alias("sitemap_entries_count"), whole(chars).alias("chars"),
+    )
+
+
 def page_types() -> Column:
     """Distinct non-empty schema types of a page, first-seen order."""
     empty = F.array().cast("array<string>")

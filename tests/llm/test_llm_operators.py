@@ -495,7 +495,12 @@ def compare_with_sql(spark, name, sf=SF):
     got = queries.QUERIES[name](spark, sf).toPandas()[columns].sort_values(columns).reset_index(drop=True)
     assert len(got) == len(expected) > 0
     for column in columns:
-        assert np.allclose(got[column].astype(float), expected[column].astype(float), rtol=1e-9, atol=0)
+        assert (got[column].isna() == expected[column].isna()).all()
+        a, b = got[column].dropna(), expected[column].dropna()
+        if len(a) and isinstance(a.iloc[0], str):
+            assert a.tolist() == b.tolist()
+        else:
+            assert np.allclose(a.astype(float), b.astype(float), rtol=1e-9, atol=0)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))

@@ -149,3 +149,18 @@ def test_extraction_summary(spark):
     s = df.select(M.extraction_summary(
         "v", F.array(F.lit("a"), F.lit("b")), F.create_map().cast("map<string,string>"), F.lit(None).cast("array<string>")).alias("s")).first()[0]
     assert (s.word_count, s.question_signal_count, s.has_heading_structure, s.has_metadata, s.link_count) == (4, 5, True, False, 0)
+
+
+def test_prose_keeps_lines_without_a_reason_to_go(spark):
+    from citegrain.functions import markdown as M
+
+    page = "\\n".join([
+        "One sentence stays.", "ab", "We use a cookie here.", "see https://a.example/x now", "photo.JPG below", "a | b | c | d | e", "a | b | c | d | e.",
+        "Home - Cars - Service - Price - Help", "![alt\ntext](x.png) after an image", "[named](https://a.example/b) link", "id=1 utm_source=z&k=2 kept",
+    ])
+    rows = spark.createDataFrame([(page,), (f"markdown='{page}'''",), (None,), ("markdown=plain",)], "t string")
+    found = [r.c for r in rows.select(M.clean_for_scoring("t").alias("c")).collect()]
+    prose = "One sentence stays.\nsee   now\na | b | c | d | e.\nafter an image\nnamed link\nid=1  &k=2 kept"
+    assert found == [prose, prose, "", "markdown=plain"]
+    reasons = spark.createDataFrame([(x,) for x in ("ok line", "no", "site map", "x.pdf", "a|b|c|d|e")], "s string")
+    assert [r.r for r in reasons.select(M.drop_reason(F.col("s")).alias("r")).collect()] == [None, "short", "furniture", "asset", "menu"]

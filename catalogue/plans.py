@@ -118,16 +118,19 @@ def canonical_sources(spark, sf):
 
 @query(rf"""
 WITH s AS ({READY_SQL}), {SCORED_SQL},
-r AS (SELECT run_id, lower(url) AS url_key, pos, score, pos % 2 = 0 AS reported, pos % 7 = 0 AS mapped FROM z),
+r AS (SELECT run_id, lower(url) AS url_key, pos, score, pos % 2 = 0 AS reported, pos % 7 = 0 OR pos % 11 = 0 AS mapped FROM z),
+n AS (SELECT run_id, count(*) AS citations FROM z GROUP BY 1),
 k AS (SELECT *, CASE WHEN reported AND pos % 10 <> 0 THEN (pos % 10)::DOUBLE ELSE score END AS current_geo_score_120 FROM r WHERE reported OR crawl_ok(pos))
-SELECT run_id, url_key, current_geo_score_120, mapped AS query_mapped FROM k""".replace("crawl_ok(pos)", "pos % 4 <> 0"))
+SELECT run_id, url_key, current_geo_score_120, mapped AS query_mapped, citations FROM k JOIN n USING (run_id)""".replace("crawl_ok(pos)", "pos % 4 <> 0"))
 def report_readiness(spark, sf):
-    """Reported rows carry a score unless zero; crawled artifacts add pages and computed scores."""
+    """Reported rows carry a score unless zero; crawled artifacts add pages and computed scores; citations are distinct."""
     p = _ready_input(spark, sf)
     n = F.col("pos")
     reported = p.where("pos % 2 = 0").withColumn("current_geo_score_120", (n % 10).cast("double"))
     workbench = p.where("pos % 7 = 0").select("run_id", "pos", F.col("pos").cast("string").alias("query_id"), F.col("title").alias("query"), F.concat("url", F.lit("/#x")).alias("url"))
-    none = p.limit(0)
-    cites = none.select("run_id", F.lit("q").alias("query_id"), "url", F.lit(1).alias("citation_position"), F.lit(0).alias("source_rank"), "pos")
-    out = report.enrich(reported, [p], workbench, none.select("run_id", "url"), cites)
-    return out["readiness"].select("run_id", "url_key", "current_geo_score_120", "query_mapped")
+    recommendations = p.where("pos % 11 = 0").select("run_id", F.concat(F.upper("url"), F.lit("/")).alias("url"))
+    cited = p.select("run_id", (n % 5).cast("string").alias("query_id"), "url", (n % 3).alias("citation_position"), F.lit(0).alias("source_rank"), "pos")
+    again = cited.where("pos % 2 = 0").withColumns({"url": F.concat("url", F.lit("#x")), "source_rank": F.lit(1)})
+    out = report.enrich(reported, [p], workbench, recommendations, cited.unionByName(again))
+    citations = out["citations"].groupBy("run_id").agg(F.count("*").alias("citations"))
+    return out["readiness"].join(citations, "run_id").select("run_id", "url_key", "current_geo_score_120", "query_mapped", "citations")

@@ -132,6 +132,22 @@ def page_tables(spark, sf):
     return rich_features(spark, sf).select("page_id", PF.tables_markdown(F.col("tables")).alias("tables"))
 
 
+@query("""
+WITH d AS (SELECT doc_id, text AS body, CASE doc_id % 4 WHEN 0 THEN '  ' || left(text, len(text) // 2) || ' ' WHEN 1 THEN left(text, len(text) // 5) WHEN 2 THEN '' END AS extracted,
+  CASE WHEN doc_id % 3 = 0 THEN '# ' || text WHEN doc_id % 3 = 1 THEN left(text, len(text) // 3) END AS md FROM documents),
+b AS (SELECT *, CASE WHEN coalesce(len(extracted), 0) > len(body) * 0.3::DOUBLE THEN regexp_replace(extracted, '^\\s+|\\s+$', '', 'g') ELSE body END AS best FROM d)
+SELECT doc_id, md5(best) AS text_md5, md5(CASE WHEN coalesce(len(md), 0) >= len(best) THEN coalesce(md, '') ELSE best END) AS markdown_md5 FROM b""")
+def chosen_text(spark, sf):
+    """Best text and Markdown of every document as a page: what an extractor took, the body, or the Markdown."""
+    n, size = F.col("doc_id") % 4, F.length("text")
+    part = lambda k: F.left("text", F.floor(size / k).cast("int"))
+    d = table(spark, sf, "documents").withColumns({
+        "extracted": F.when(n == 0, F.concat(F.lit("  "), part(2), F.lit(" "))).when(n == 1, part(5)).when(n == 2, ""),
+        "md": F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# "), "text")).when(F.col("doc_id") % 3 == 1, part(3))})
+    found = d.select("doc_id", PF.chosen_text(F.col("md"), F.col("text"), F.col("extracted")).alias("c"))
+    return found.select("doc_id", F.md5("c.text").alias("text_md5"), F.md5("c.markdown").alias("markdown_md5"))
+
+
 @query(r"""
 SELECT page_id, false AS cookie_in_main, false AS hidden_in_main, true AS media_in_main, true AS heading_in_main, true AS cookie_in_text,
        len(regexp_extract(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '(?s)<footer>(.*?)</footer>', 1)) AS footer_chars

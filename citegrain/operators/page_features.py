@@ -185,6 +185,20 @@ def longer_text(markdown: Column, text: Column) -> Column:
     return F.when(F.length(text_or_empty(markdown)) >= F.length(text_or_empty(text)), markdown).otherwise(text)
 
 
+def chosen_text(markdown: Column, body: Column, extracted: Column | None = None, min_share: float = 0.3) -> Column:
+    """Struct of a page's best text and Markdown.
+
+    The text that an extractor took from the page counts if it is longer than ``min_share`` of the body's, else the body
+    does; the Markdown counts unless the best text is longer.
+    """
+    best = text_or_empty(body)
+    if extracted is not None:
+        # the length as extracted decides, its blank ends go afterwards
+        taken = F.length(text_or_empty(extracted)) > F.length(best) * min_share
+        best = F.when(taken, strip_ws(text_or_empty(extracted))).otherwise(best)
+    return F.struct(best.alias("text"), longer_text(text_or_empty(markdown), best).alias("markdown"))
+
+
 def technical_lines() -> Column:
     """Lines on schema types, linked data, canonical, robots and description of a feature row."""
     line = lambda label, value, present: F.when(present, F.concat(F.lit(label), value))

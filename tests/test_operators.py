@@ -157,6 +157,24 @@ def test_mapping_forms_pairs_in_proportion_to_the_site(spark):
     assert pairs[-1] * 10 < matches[-1]
 
 
+def test_mapping_returns_k_pairs_per_set_and_shard(spark, monkeypatch):
+    """Words that recur at fixed rates on every part of a site; several shards and blocks give the same mapping."""
+    rng, words = random.Random(3), [f"word{i}" for i in range(60)]
+    urls = [("a", i, f"https://example.org/{'-'.join(rng.sample(words, 8))}/{i}") for i in range(600)]
+    queries = [("a", i, " ".join(rng.sample(words + ["dealer", "nothing"], 5))) for i in range(60)]
+    u = spark.createDataFrame(urls, "run_id string, pos int, url string")
+    q = spark.createDataFrame([(r, p, f"q{p}", t) for r, p, t in queries], "run_id string, pos int, query_id string, query string")
+    sets = mapping.query_tokens(q).groupBy("run_id", F.col("qpos").alias("qset")).agg(F.collect_set("token").alias("tokens"))
+    q_tokens, u_tokens, _ = mapping._told_apart(sets, u, "run_id", None)
+    keyed = u.select("run_id", F.col("pos").alias("upos"), "url", F.length("url").alias("ulen"))
+    assert mapping.candidate_pairs(q_tokens, u_tokens, keyed, 3, "run_id").count() <= 3 * len(queries)
+    tokens = {t: {x for x in t.translate(str.maketrans("-_/.:", "     ")).split() if len(x) >= 3} for t in [x[2] for x in queries + urls]}
+    want = brute_force(queries, urls, 3, tokens)
+    for name, value in {"URLS_PER_SHARD": 150, "LEAST_SETS": 7, "RARE_SHARE": 8}.items():
+        monkeypatch.setattr(mapping, name, value)
+    assert {(r.run_id, r.qpos, r["rank"]): (r.url, r.mapping_score) for r in mapping.map_queries(q, u, 3).collect()} == want
+
+
 def test_first_n_beyond_the_map_side_limit(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("pos"))
     rows = first_n(df, "k", ["pos"], 1500).groupBy("k").agg(F.count("*").alias("n"), F.max("pos").alias("m"), F.max("rank").alias("r")).collect()

@@ -49,9 +49,13 @@ def strip_ws(c: Column | str) -> Column:
     return F.trim(col(c), F.lit(P.WS_CHARS))
 
 
+# P.WS in Java's form, where three ranges tell most other characters apart.
+WS_RUN = r"[\x{09}-\x{20}\x{85}\x{a0}\x{1680}-\x{3000}&&" + P.WS + "]+"
+
+
 def compact(c: Column | str) -> Column:
     """One line, single blanks, no blank ends; NULL becomes ''."""
-    return F.trim(F.regexp_replace(text_or_empty(c), f"{P.WS}+", " "))
+    return F.trim(F.regexp_replace(text_or_empty(c), WS_RUN, " "))
 
 
 def compact_limited(c: Column | str, limit: int) -> Column:
@@ -144,13 +148,14 @@ def terms_present(c: Column | str, terms) -> Column:
 
 def any_term(low: Column, terms) -> Column:
     """Whether a lower-cased text holds one of the terms; stops at the first found."""
-    return F.exists(constants(terms), lambda t: F.contains(low, t))
+    return let(low, lambda text: F.exists(constants(terms), lambda t: F.contains(text, t)))
 
 
 def occurrences(low: Column, term: str) -> Column:
     """Non-overlapping occurrences of a fixed term in already lower-cased text."""
     shorter = F.length(F.replace(low, F.lit(term), F.lit("")))
-    return ((F.length(low) - shorter) / len(term)).cast("int")
+    found = F.when(F.contains(low, F.lit(term)), ((F.length(low) - shorter) / len(term)).cast("int"))
+    return F.when(low.isNotNull(), F.coalesce(found, F.lit(0)))
 
 
 def first_present(*columns: Column | str) -> Column:

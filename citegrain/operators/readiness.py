@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citegrain.functions import url as U
-from citegrain.functions.text import blank_split_count, first_present, let, occurrences, text_or_empty
+from citegrain.functions.text import any_term, blank_split_count, first_present, let, occurrences, text_or_empty
 from citegrain.operators.crawl import has_scored_signal
 from citegrain.operators.frames import ensure_columns
 
@@ -65,6 +65,12 @@ def _sum_of(low: Column, terms) -> Column:
     return out
 
 
+def _fresh(text: Column, low: Column) -> Column:
+    """``FRESHNESS_EVIDENCE`` without an alternation of words at every position."""
+    held = lambda part, words: F.contains(low, F.lit(part)) & text.rlike(f"(?iu){words}")
+    return text.rlike("20[2-3][0-9]") | any_term(text, ("更新日", "掲載日")) | held("updated", "last updated") | held("val", "valid until")
+
+
 def readiness(pages: DataFrame) -> Column:
     """Struct ``score, dimensions, method, note`` from crawl evidence of one page row.
 
@@ -83,14 +89,14 @@ def readiness(pages: DataFrame) -> Column:
     points = lambda test, n: F.when(test, n).otherwise(0)
     structured = _cap(points(linked_data, 12) + _cap(schema_count * 3, 8), DIMENSION_MAX)
 
-    def measure(combined: Column) -> Column:
-        low = F.lower(combined)
+    def measure(both: Column) -> Column:
+        combined, low = both["text"], both["low"]
         return F.struct(
             F.coalesce(has("word_count"), blank_split_count(combined).cast("bigint")).alias("words"),
             F.regexp_count(combined, F.lit(NUMERIC_EVIDENCE)).alias("numbers"),
             _sum_of(low, QUESTION_TERMS).alias("questions"),
             _sum_of(low, PROOF_TERMS).alias("proofs"),
-            combined.rlike(FRESHNESS_EVIDENCE).alias("fresh"),
+            _fresh(combined, low).alias("fresh"),
         )
 
     def score(m: Column) -> Column:
@@ -130,7 +136,8 @@ def readiness(pages: DataFrame) -> Column:
         ))
 
     combined = F.concat(title, F.lit("\n"), description, F.lit("\n"), markdown)
-    return let(let(combined, measure), score)
+    with_lower = lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"))
+    return let(let(let(combined, with_lower), measure), score)
 
 
 def clamp_dimensions(supplied) -> Column:

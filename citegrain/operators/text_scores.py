@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from citegrain.functions import markdown as M
-from citegrain.functions.text import compact, keyword_tokens, let, terms_present, text_or_empty
+from citegrain.functions.text import any_term, compact, keyword_tokens, let, terms_present, text_or_empty
 from citegrain.operators.frames import steps
 
 # Fixed values and patterns.
@@ -14,6 +14,8 @@ NOISE_TERMS = ("cookie consent", "adobeorg", "utm_", "#container", "accept all c
 RECENT = r"(?iu)202[5-9]|2026|令和[7-9]|last updated|updated|valid until|更新日|掲載日|有効期限"
 OLDER = r"202[3-4]|令和[5-6]"
 SCHEMA_NAMES = r"(?i)(?:FAQPage|Product|Offer|OfferCatalog|Organization|WebPage|BreadcrumbList|Vehicle|Review|AggregateRating)"
+# What a text with a schema name holds in lower case.
+SCHEMA_TERMS = ("faqpage", "product", "offer", "organization", "webpage", "breadcrumblist", "vehicle", "review", "aggregaterating")
 FEATURES = (
     "answer_first", "query_relevance", "extractable_passages", "specific_facts", "statistics",
     "source_citations", "comparison_readiness", "faq_readiness", "schema", "freshness", "neutral_tone",
@@ -41,6 +43,12 @@ EXAMPLE_DIMENSIONS = {
 }
 
 
+def _recent(text: Column, low: Column) -> Column:
+    """``RECENT`` without an alternation of words at every position; "updated" covers "last updated"."""
+    words = any_term(text, ("更新日", "掲載日", "有効期限")) | F.contains(low, F.lit("updated"))
+    return words | text.rlike("202[5-9]|令和[7-9]") | (F.contains(low, F.lit("val")) & text.rlike("(?iu)valid until"))
+
+
 def text_scores(
     markdown, query=None, page_url=None, page_type=None, signals: Column | None = None,
     metrics: Column | None = None, dimensions: dict | None = None, heuristics: dict | None = None,
@@ -91,7 +99,7 @@ def text_scores(
             terms_present(text, h["authority_terms"]).alias("authority"),
             terms_present(text, h["comparison_terms"]).alias("comparison"),
             terms_present(text, h["promotional_terms"]).alias("promotion"),
-            text.rlike(RECENT).alias("recent"),
+            _recent(text, low).alias("recent"),
             text.rlike(OLDER).alias("older"),
             F.contains(low, F.lit("robots.txt")).alias("robots_txt_mentioned"),
             F.contains(low, F.lit("llms.txt")).alias("llms_txt_mentioned"),
@@ -109,7 +117,7 @@ def text_scores(
         noise = F.when(sig("low_noise_ratio"), F.least(noise, F.lit(1))).otherwise(noise)
         raw_low = F.lower(raw)
         schema = (
-            F.contains(raw_low, F.lit("application/ld+json")) | F.contains(raw_low, F.lit("schema.org"))
+            any_term(raw_low, ("application/ld+json", "schema.org"))
             | sig("schema_json_ld") | listed(signals["schema_types"] if signals is not None else None) | listed(metadata_schema_types)
         )
         overlap = m["overlap"]
@@ -162,7 +170,8 @@ def text_scores(
             ).alias("penalties"),
             m["words"].alias("word_count"),
             m["chars"].alias("cleaned_text_chars"),
-            F.array_distinct(F.regexp_extract_all(raw, F.lit(SCHEMA_NAMES), F.lit(0))).alias("schema_types"),
+            F.when(any_term(raw_low, SCHEMA_TERMS), F.array_distinct(F.regexp_extract_all(raw, F.lit(SCHEMA_NAMES), F.lit(0))))
+            .otherwise(F.array().cast("array<string>")).alias("schema_types"),
             m["robots_txt_mentioned"].alias("robots_txt_mentioned"),
             m["llms_txt_mentioned"].alias("llms_txt_mentioned"),
         )

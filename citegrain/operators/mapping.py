@@ -131,7 +131,7 @@ def _profiles(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Bit pattern and rare tokens of each row's tokens."""
     return tokens.groupBy(*keys).agg(
         F.coalesce(F.bit_or("bits"), F.lit(0).cast("bigint")).alias("mask"),
-        F.collect_list(F.when(F.col("bits").isNull(), F.xxhash64("token"))).alias("rare"),
+        F.collect_set(F.when(F.col("bits").isNull(), F.xxhash64("token"))).alias("rare"),
     )
 
 

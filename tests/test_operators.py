@@ -1,10 +1,12 @@
 """Operators on the reference cases and on properties."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from citegrain.functions import markdown
 from citegrain.functions.text import match_tokens
 from citegrain.operators import citations as C
 from citegrain.operators import classify, crawl, dedupe, hygiene as H, json_walks as J, mapping, merging, readiness as R
@@ -175,6 +177,27 @@ def test_mapping_returns_k_pairs_per_set_and_shard(spark, monkeypatch):
     assert {(r.run_id, r.qpos, r["rank"]): (r.url, r.mapping_score) for r in mapping.map_queries(q, u, 3).collect()} == want
 
 
+def test_mapping_counts_a_word_of_a_repeated_url_once(spark):
+    rows = [("a", 1, "https://example.org/alpha-other/1")] * 2 + [("a", 2, "https://example.org/alpha-beta/22")] + [("a", i, f"https://example.org/x{i}") for i in range(3, 300)]
+    u = spark.createDataFrame(rows, "run_id string, pos int, url string")
+    q = spark.createDataFrame([("a", 0, "q0", "alpha beta")], "run_id string, pos int, query_id string, query string")
+    got = [(r["rank"], r.upos, r.mapping_score) for r in mapping.map_queries(q, u, 3).orderBy("rank").collect()]
+    assert got == [(1, 2, 2), (2, 1, 1), (3, 1, 1)]
+
+
+def test_sentence_questions_equal_their_pattern(spark):
+    rng = random.Random(5)
+    bits = ["?", "？", "。", ".", "\n", "!", " ", "word", "a b c d ", "x" * 40, "y" * 130, "年次報告", "😀"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", markdown._sentence_questions("t").alias("q")).collect()
+    assert all(r.q == re.findall(markdown.QUESTION_PATTERNS[2], r.t) for r in rows) and sum(len(r.q) for r in rows) > 300
+
+
+def test_readiness_lowers_its_text_once(spark):
+    pages = spark.createDataFrame([("A text of 2024 is this?",)], "markdown string")
+    assert str(R.readiness(pages)._jc).lower().count("lower(") <= 2  # the text and the crawl status
+
+
 def test_first_n_beyond_the_map_side_limit(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("pos"))
     rows = first_n(df, "k", ["pos"], 1500).groupBy("k").agg(F.count("*").alias("n"), F.max("pos").alias("m"), F.max("rank").alias("r")).collect()

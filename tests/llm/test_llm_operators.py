@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -522,6 +523,62 @@ def test_search_prunes_nothing_that_belongs(spark, awkward, empty, monkeypatch):
     assert bm25_search.search(empty, F.lit(True)).count() == 0
 
 
+def test_search_holds_one_block_of_an_index_at_a_time(spark):
+    """Blocks, batches and groups of any size give the same rows, ties at the k-th place included; a task never holds more than a block."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words[: rng.randint(1, 40)]) for _ in range(rng.randint(0, 60)))) for i in range(400)]
+    rows += [(400 + i, rows[20 * i][1]) for i in range(20)] + [(420 + i, "tie tie w1") for i in range(30)] + [(460, "tie"), (480, "once only")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ("query_id", "rank", "doc_id", "score")
+    whole = tuples(bm25_search.search(df, F.col("doc_id") % 20 == 0, 5), *columns)
+    assert [d for q, r, d, _ in sorted(whole) if q == 460] == [420, 421, 422, 423, 424] and not any(q == 480 for q, *_ in whole)
+    for sizes in ({"docs_per_block": 7}, {"docs_per_block": 150, "docs_per_shard": 200, "queries_per_group": 6}, {"docs_per_block": 1, "queries_per_group": 1}):
+        assert tuples(bm25_search.search(df, F.col("doc_id") % 20 == 0, 5, **sizes), *columns) == whole
+
+
+def index_of(texts, k, docs_per_block):
+    """Results of an index over blocks of these texts, each being a query too, and the most postings held at once."""
+    terms = [np.sort(bm25_search.term_counts(t)[0]) for t in texts]
+    n_words = sum(len(t.split()) for t in texts)
+    known, n = np.unique(np.concatenate(terms), return_counts=True)
+    idf = np.floor(4096 * np.log(1 + (len(texts) - n + 0.5) / (n + 0.5))).astype(np.int32)
+    held = bm25_search.Queries(k)
+    lists = lambda parts, kind: pa.array([p.tolist() for p in parts], pa.list_(kind))
+    held.add(pa.array(range(len(texts))), lists([t.view(np.int64) for t in terms], pa.int64()), lists([idf[np.searchsorted(known, t)] for t in terms], pa.int32()))
+    held.close()
+    found, most = [[] for _ in texts], 0
+    for at in range(0, len(texts), docs_per_block):
+        index = bm25_search.Index(held, n_words / len(texts))
+        part = texts[at : at + docs_per_block]
+        index.add(pa.array(range(at, at + len(part))), part)
+        index.close()
+        most = max(most, index.docs.nbytes + index.impacts.nbytes + index.dense.nbytes)
+        for start in range(0, len(texts), 16):
+            out_q, out_d, out_s = index.search(start, min(start + 16, len(texts)))
+            for q, d, s in zip(out_q, np.concatenate(out_d).tolist() if out_q else [], np.concatenate(out_s).tolist() if out_q else []):
+                found[q].append((-s, at + d))
+    # by hand, in whole numbers
+    weights = []
+    for t in texts:
+        hashes, counts, size = bm25_search.term_counts(t)
+        weights.append(dict(zip(hashes.tolist(), bm25_search.term_weights(counts, np.int64(size), n_words / len(texts)).tolist())))
+    idfs = dict(zip(known.tolist(), idf.tolist()))
+    for q, own in enumerate(terms):
+        scores = [(-sum(idfs[t] * w[t] for t in own.tolist() if t in w), d) for d, w in enumerate(weights) if d != q]
+        assert sorted(found[q])[:k] == sorted(x for x in scores if x[0] < 0)[:k]
+    return most
+
+
+def test_memory_of_the_search_follows_the_block(monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(rng.randint(1, 200))).encode() for _ in range(600)]
+    assert index_of(texts, 6, 150) < 0.5 * index_of(texts, 6, 600)
+    monkeypatch.setattr(bm25_search, "DENSE_SHARE", 0.0)
+    index_of(texts[:200], 6, 150)
+
+
 # --- 7 -----------------------------------------------------------------------------------
 
 def repetition_by_hand(text):

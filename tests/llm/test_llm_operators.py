@@ -548,7 +548,7 @@ def index_of(texts, k, docs_per_block):
     lists = lambda parts, kind: pa.array([p.tolist() for p in parts], pa.list_(kind))
     held.add(pa.array(range(len(texts))), lists([t.view(np.int64) for t in terms], pa.int64()), lists([idf[np.searchsorted(known, t)] for t in terms], pa.int32()))
     held.close()
-    found, most = [[] for _ in texts], 0
+    most = 0
     for at in range(0, len(texts), docs_per_block):
         index = bm25_search.Index(held, n_words / len(texts))
         part = texts[at : at + docs_per_block]
@@ -556,9 +556,7 @@ def index_of(texts, k, docs_per_block):
         index.close()
         most = max(most, index.docs.nbytes + index.impacts.nbytes + index.dense.nbytes)
         for start in range(0, len(texts), 16):
-            out_q, out_d, out_s = index.search(start, min(start + 16, len(texts)))
-            for q, d, s in zip(out_q, np.concatenate(out_d).tolist() if out_q else [], np.concatenate(out_s).tolist() if out_q else []):
-                found[q].append((-s, at + d))
+            index.search(start, min(start + 16, len(texts)))
     # by hand, in whole numbers
     weights = []
     for t in texts:
@@ -567,7 +565,7 @@ def index_of(texts, k, docs_per_block):
     idfs = dict(zip(known.tolist(), idf.tolist()))
     for q, own in enumerate(terms):
         scores = [(-sum(idfs[t] * w[t] for t in own.tolist() if t in w), d) for d, w in enumerate(weights) if d != q]
-        assert sorted(found[q])[:k] == sorted(x for x in scores if x[0] < 0)[:k]
+        assert [(-s, d) for s, d in zip(held.best[q].tolist(), held.docs[q].tolist()) if s] == sorted(x for x in scores if x[0] < 0)[:k]
     return most
 
 

@@ -1,11 +1,14 @@
 """Operators against brute force, on awkward rows and on the smallest driver tables."""
 
 import base64
+import contextlib
 import hashlib
+import itertools
 import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -577,6 +580,53 @@ def test_memory_of_the_search_follows_the_block(monkeypatch):
     index_of(texts[:200], 6, 150)
 
 
+def test_search_shuffles_neither_texts_per_group_nor_queries_per_shard(spark, monkeypatch):
+    """More groups of queries and more shards leave what goes through shuffles as it is, apart from the k best."""
+    monkeypatch.setattr(bm25_search, "let_go", lambda _: None, raising=False)  # keeps shuffle files until they are counted
+    monkeypatch.setattr(bm25_search, "discard", lambda *_: None, raising=False)
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"{rng.randrange(10**7):x}" for _ in range(200)) + f" w{i % 7}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folders = [Path(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def files():
+        found = {}
+        for path in (p for d in folders for p in d.rglob("shuffle_*.data")):
+            with contextlib.suppress(FileNotFoundError):
+                found[path] = path.stat().st_size
+        return found
+
+    def run(**sizes):
+        before = files()
+        found = tuples(bm25_search.search(df, F.col("doc_id") % 30 == 0, 3, **sizes), "query_id", "rank", "doc_id", "score")
+        return found, sum(size for path, size in files().items() if path not in before)
+
+    whole, once = run()
+    dealt, often = run(queries_per_group=1, docs_per_shard=20)
+    assert dealt == whole and len(whole) == 24
+    assert often < 1.5 * once
+
+
+def test_search_breaks_ties_by_id_whatever_the_order_of_rows(spark):
+    """Texts of equal score lie in several blocks of a task and in several tasks, out of the order of their ids."""
+    ids = [str(i) for i in range(30)]
+    random.Random(14).shuffle(ids)
+    rows = [(i, "tie tie") for i in [None, *ids, None]] + [("q", "tie"), ("other", "x y"), ("é", "tie tie")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for k, sizes in itertools.product((4, 33), ({}, {"docs_per_block": 3}, {"docs_per_block": 1, "docs_per_shard": 5})):
+        found = sorted(tuples(bm25_search.search(df, F.col("doc_id") == "q", k, **sizes), "rank", "doc_id"))
+        assert [d for _, d in found] == [*sorted(ids), "é", None, None][:k]
+
+
+def test_search_lets_a_batch_go_when_its_documents_are_indexed():
+    held = bm25_search.Queries(2)
+    terms = bm25_search.term_counts(b"a b")[0]
+    held.add(pa.array([0]), pa.array([terms.view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([[4096, 4096]], pa.list_(pa.int32())))
+    held.close()
+    bm25_search.Index(held, 1.0).add(pa.array(range(100_000)).slice(10, 2), [b"a", b"a b"])
+    assert held.doc_ids[0].to_pylist() == [10, 11] and held.doc_ids[0].get_total_buffer_size() < 1000
+
+
 # --- 7 -----------------------------------------------------------------------------------
 
 def repetition_by_hand(text):
